@@ -276,18 +276,19 @@ def _is_one_of(names: list[str]):
     return lambda word: word.isin(names)
 
 
-def coin_mentions(text: Column, raw_case: bool = False) -> Column:
-    """Map coin -> matched words, plus ``tickers``; coins without a hit are absent.
+def coin_mentions_map(df: DataFrame, text_col: str = "cleaned_text", raw_case: bool = False) -> DataFrame:
+    """Add ``crypto_mentions`` (coin -> matched words, plus ``tickers``) and ``has_crypto_mention``.
 
     ``raw_case`` finds tickers in text that kept its capitals; the table path
     of the reference works on lower-cased text, where no ticker can match.
     """
-    words = F.split(F.lower(text), P.NWORD + "+")
-    entries = [
-        F.struct(F.lit(coin).alias("k"), F.filter(words, _is_one_of(names)).alias("v"))
-        for coin, names in L.COINS_MENTIONED.items()
-    ]
-    searched = text if raw_case else F.lower(text)
-    found = F.regexp_extract_all(searched, F.lit(P.TICKER), F.lit(1))
-    entries.append(F.struct(F.lit("tickers").alias("k"), found.alias("v")))
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["v"]) > 0))
+    text = F.col(text_col)
+    every = [n for names in L.COINS_MENTIONED.values() for n in names]
+    hits = F.filter(F.split(F.lower(text), P.NWORD + "+"), _is_one_of(every))
+    found = F.regexp_extract_all(text if raw_case else F.lower(text), F.lit(P.TICKER), F.lit(1))
+    entries = [F.struct(F.lit(coin).alias("k"), F.filter("_hits", _is_one_of(names)).alias("v"))
+               for coin, names in L.COINS_MENTIONED.items()]
+    entries.append(F.struct(F.lit("tickers").alias("k"), F.col("_tickers").alias("v")))
+    mentions = F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["v"]) > 0))
+    out = df.withColumns({"_hits": hits, "_tickers": found}).withColumn("crypto_mentions", mentions)
+    return out.withColumn("has_crypto_mention", F.size("crypto_mentions") > 0).drop("_hits", "_tickers")

@@ -269,14 +269,14 @@ UNION ALL
 SELECT post_id, 'raw_' || coin, found, CAST(1 AS INT)
 FROM ({_mention_rows('full_text', True).replace('{src}', TEXTS)}) m WHERE found <> ''""", "posts")
 def _coin_mentions_map(v):
-    maps = v.cleaned.select(
-        "post_id", F.explode(F.array(
-            F.struct(F.lit("").alias("prefix"), X.coin_mentions(F.col("cleaned_text")).alias("mentions")),
-            F.struct(F.lit("raw_").alias("prefix"), X.coin_mentions(F.col("full_text"), raw_case=True).alias("mentions")),
-        )).alias("e")).select("post_id", "e.prefix", (F.size("e.mentions") > 0).cast("int").alias("has_crypto_mention"),
-                              F.explode("e.mentions").alias("coin", "words"))
-    return maps.select("post_id", F.concat("prefix", "coin").alias("coin"), F.array_join("words", ",").alias("found"),
-                       "has_crypto_mention")
+    plain = X.coin_mentions_map(v.cleaned).withColumn("prefix", F.lit(""))
+    raw = X.coin_mentions_map(v.texts, "full_text", raw_case=True).withColumn("prefix", F.lit("raw_"))
+    wanted = ["post_id", "prefix", F.col("has_crypto_mention").cast("int").alias("has_crypto_mention"),
+              F.explode_outer("crypto_mentions").alias("coin", "words")]
+    # explode() would add a size filter below the text cleaning and so run it twice
+    return plain.select(*wanted).union(raw.select(*wanted)).filter(F.col("coin").isNotNull()).select(
+        "post_id", F.concat("prefix", "coin").alias("coin"), F.array_join("words", ",").alias("found"),
+        "has_crypto_mention")
 
 
 @query("min_length_filter", f"SELECT post_id, length(full_text) AS text_length FROM {TEXTS} WHERE length(full_text) > 50", "posts")

@@ -146,6 +146,17 @@ SELECT model_name, date_trunc('hour', predicted_at) AS slot,
 FROM predictions GROUP BY model_name, date_trunc('hour', predicted_at)""")
 
 TABLES = ("documents", "events", "labels")
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out when the scan has fewer splits than there are cores.
+
+    A file of one row group is a single task, and text work is heavy per row.  Large
+    inputs have plenty of splits and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _closure(names) -> list[str]:
@@ -185,7 +196,8 @@ class Views:
         self._made: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
 
     def view(self, name: str) -> DataFrame:
         if name not in self._made:
