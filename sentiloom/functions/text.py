@@ -13,6 +13,11 @@ def lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("int")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sentiloom import lexicons as L
 from sentiloom.functions.sentiment import heuristic_label, label_name
-from sentiloom.functions.text import full_text, tokens
+from sentiloom.functions.text import bind, full_text, tokens
 from sentiloom.operators.frames import min_length_filter
 from sentiloom.operators.ranking import with_group_position
 from sentiloom.operators.sampling import seeded, seeded_unit
@@ -49,12 +49,12 @@ def synonym_replacement(text: Column, key: list, n: int = 1, seed: int = 42, min
         spots = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))),
                          lambda i: F.lower(F.get(w, i)).isin(list(L.SYNONYMS)))
         ranked = F.transform(spots, lambda i: F.struct(seeded(seed, *key, i).alias("h"), i.alias("i")))
-        chosen = F.transform(F.slice(F.array_sort(ranked), 1, n), lambda e: e["i"])
-        replaced = F.transform(w, lambda x, i: F.when(
-            F.array_contains(chosen, i), _synonym_of(x, _draw(seed + 1, *key, i))).otherwise(x))
+        drawn = F.transform(F.slice(F.array_sort(ranked), 1, n), lambda e: e["i"])
+        replaced = bind(drawn, lambda chosen: F.transform(w, lambda x, i: F.when(
+            F.array_contains(chosen, i), _synonym_of(x, _draw(seed + 1, *key, i))).otherwise(x)))
         return F.when(F.size(w) < min_words, text).otherwise(F.array_join(replaced, " "))
 
-    return F.transform(F.array(words), edit)[0]
+    return bind(words, edit)
 
 
 def random_insertion(text: Column, key: list, seed: int = 42, min_words: int = MIN_WORDS_ADVANCED) -> Column:
@@ -63,12 +63,17 @@ def random_insertion(text: Column, key: list, seed: int = 42, min_words: int = M
     def edit(w: Column) -> Column:
         size = F.size(w)
         source = F.get(w, _pick(_draw(seed, *key, F.lit("word")), size))
-        new = F.when(F.lower(source).isin(list(L.SYNONYMS)), _synonym_of(source, _draw(seed, *key, F.lit("synonym"))))
+        new = bind(source, lambda s: F.when(
+            F.lower(s).isin(list(L.SYNONYMS)), _synonym_of(s, _draw(seed, *key, F.lit("synonym")))))
         at = _pick(_draw(seed, *key, F.lit("place")), size + 1)
-        longer = F.concat(F.slice(w, 1, at), F.array(new), F.slice(w, at + 1, F.greatest(size, F.lit(1))))
-        return F.when((size < min_words) | new.isNull(), text).otherwise(F.array_join(longer, " "))
 
-    return F.transform(F.array(_words(text)), edit)[0]
+        def place(d: Column) -> Column:
+            longer = F.concat(F.slice(w, 1, d["at"]), F.array(d["new"]), F.slice(w, d["at"] + 1, F.greatest(size, F.lit(1))))
+            return F.when((size < min_words) | d["new"].isNull(), text).otherwise(F.array_join(longer, " "))
+
+        return bind(F.struct(new.alias("new"), at.alias("at")), place)
+
+    return bind(_words(text), edit)
 
 
 def random_swap(text: Column, key: list, n: int = 2, seed: int = 42, min_words: int = MIN_WORDS_ADVANCED) -> Column:
@@ -83,12 +88,12 @@ def random_swap(text: Column, key: list, n: int = 2, seed: int = 42, min_words:
             moved = _swapped(moved, a, F.pmod(a + shift, size))
         return F.when(size < min_words, text).otherwise(F.array_join(moved, " "))
 
-    return F.transform(F.array(_words(text)), edit)[0]
+    return bind(_words(text), edit)
 
 
 def _swapped(words: Column, a: Column, b: Column) -> Column:
-    return F.transform(F.array(words), lambda w: F.transform(
-        w, lambda x, i: F.when(i == a, F.get(w, b)).when(i == b, F.get(w, a)).otherwise(x)))[0]
+    return bind(F.struct(words.alias("w"), a.alias("a"), b.alias("b")), lambda s: F.transform(
+        s["w"], lambda x, i: F.when(i == s["a"], F.get(s["w"], s["b"])).when(i == s["b"], F.get(s["w"], s["a"])).otherwise(x)))
 
 
 def random_deletion(text: Column, key: list, p: float = 0.05, seed: int = 42, min_words: int = MIN_WORDS,
@@ -97,12 +102,15 @@ def random_deletion(text: Column, key: list, p: float = 0.05, seed: int = 42, mi
 
     def edit(w: Column) -> Column:
         numbered = F.transform(w, lambda x, i: F.struct(x.alias("w"), _draw(seed, *key, i).alias("u")))
-        kept = F.transform(F.filter(numbered, lambda e: e["u"] > p), lambda e: e["w"])
-        short = (F.size(w) < min_words) | (F.size(kept) < F.size(w) * keep_share)
         one = F.get(w, _pick(_draw(seed, *key, F.lit("one")), F.size(w)))
-        return F.when(short, text).when(F.size(kept) == 0, one).otherwise(F.array_join(kept, " "))
 
-    return F.transform(F.array(_words(text)), edit)[0]
+        def join(kept: Column) -> Column:
+            short = (F.size(w) < min_words) | (F.size(kept) < F.size(w) * keep_share)
+            return F.when(short, text).when(F.size(kept) == 0, one).otherwise(F.array_join(kept, " "))
+
+        return bind(F.transform(F.filter(numbered, lambda e: e["u"] > p), lambda e: e["w"]), join)
+
+    return bind(_words(text), edit)
 
 
 def edit_text(method: Column, text: Column, key: list, seed: int, conservative: bool) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentiloom.functions import patterns as P
-from sentiloom.functions.text import tokens
+from sentiloom.functions.text import bind, tokens
 
 PAD, UNK, FIRST_ID = 0, 1, 2  # fixed values
 
@@ -14,9 +14,8 @@ PAD, UNK, FIRST_ID = 0, 1, 2  # fixed values
 def grams(text: Column) -> Column:
     """Lower-case terms of two or more word characters and their neighbours' pairs."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(P.TERM), F.lit(0))
-    # one binding of the word list serves both the words and the pairs
-    return F.transform(F.array(words), lambda w: F.concat(
-        w, F.array_compact(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))))[0]
+    return bind(words, lambda w: F.concat(w, F.array_compact(F.zip_with(
+        w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))))
 
 
 def fit_vocabulary(df: DataFrame, text_col: str, max_features: int = 100, min_df: int = 2, max_df: float = 0.95,
