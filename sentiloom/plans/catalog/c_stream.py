@@ -21,8 +21,9 @@ def streamed(v, df, name):
 
 def event_stream(v):
     """The event table itself as a stream."""
-    path = f"{v.folder}/events.parquet"
-    return v.spark.readStream.schema(v.spark.read.parquet(path).schema).parquet(path)
+    schema = v.spark.read.parquet(f"{v.folder}/events.parquet").schema
+    # a stream wants a folder or a pattern; the table may be a single file
+    return v.spark.readStream.schema(schema).parquet(f"{v.folder}/event[s].parquet")
 
 
 def prediction_stream(v):
