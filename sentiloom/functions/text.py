@@ -26,6 +26,23 @@ def has_match(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(pattern), F.lit(False)).cast("int")
 
 
+def count_char(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+
+def count_marked(text: Column, mark: str, pattern: str) -> Column:
+    """Matches of a pattern that always holds ``mark``; texts without it skip the regex."""
+    return F.when(F.contains(text, F.lit(mark)), count_matches(text, pattern)).when(text.isNotNull(), 0)
+
+
+def has_word(text: Column, words: list[str]) -> Column:
+    """1 if any of ``words`` stands in ``text`` as a whole word; cheap substring test first."""
+    near = F.lit(False)
+    for w in words:
+        near = near | F.contains(text, F.lit(w))
+    return F.coalesce(near & text.rlike(P.whole_word(words)), F.lit(False)).cast("int")
+
+
 def present(text: Column, words: list[str]) -> Column:
     """How many of ``words`` occur in ``text`` as substrings (each counts once)."""
     total = F.lit(0)
@@ -52,15 +69,27 @@ def full_text(title: Column, content: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(content, F.lit("")))
 
 
+def _where_marked(text: Column, marks: list[str], pattern: str, to: str = "") -> Column:
+    """Replace a pattern, but only run the regex on texts that hold one of its fixed characters."""
+
+    def replaced(t: Column) -> Column:
+        marked = F.lit(False)
+        for mark in marks:
+            marked = marked | F.contains(t, F.lit(mark))
+        return F.when(marked, F.regexp_replace(t, pattern, to)).otherwise(t)
+
+    return bind(text, replaced)
+
+
 def clean_text(text: Column) -> Column:
     """Lower case without links, addresses, names and hash marks."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, P.URL, "")
+    out = _where_marked(out, ["http", "www"], P.URL)
     # starting only at a word's first character keeps the match linear in Java
-    out = F.regexp_replace(out, f"(?<!{P.NWS})" + P.EMAIL, "")
-    for pattern in (P.AT_NAME, P.USER_PATH, P.FORUM_PATH):
-        out = F.regexp_replace(out, pattern, "")
-    return squeeze(F.regexp_replace(out, P.HASHTAG, "$1"))
+    out = _where_marked(out, ["@"], f"(?<!{P.NWS})" + P.EMAIL)
+    for mark, pattern in (("@", P.AT_NAME), ("u/", P.USER_PATH), ("r/", P.FORUM_PATH)):
+        out = _where_marked(out, [mark], pattern)
+    return squeeze(_where_marked(out, ["#"], P.HASHTAG, "$1"))
 
 
 def strip_special(text: Column, keep_dollar: bool = True) -> Column:
@@ -130,10 +159,10 @@ def char_class_counts(df: DataFrame, text_col: str = "full_text") -> DataFrame:
         "lowercase_count": count_matches(t, "[a-z]"),
         "digit_count": count_matches(t, P.DIGIT),
         "space_count": count_matches(t, P.WS),
-        "exclamation_count": count_matches(t, "!"),
-        "question_count": count_matches(t, "[?]"),
-        "comma_count": count_matches(t, ","),
-        "period_count": count_matches(t, "[.]"),
+        "exclamation_count": count_char(t, "!"),
+        "question_count": count_char(t, "?"),
+        "comma_count": count_char(t, ","),
+        "period_count": count_char(t, "."),
     })
 
 
@@ -141,9 +170,9 @@ def url_mention_hashtag(df: DataFrame, text_col: str = "full_text") -> DataFrame
     t = F.col(text_col)
     return df.withColumns({
         "has_url": has_match(t, "http|www"),
-        "url_count": count_matches(t, "https?://" + P.NWS + "+"),
-        "mention_count": count_matches(t, P.AT_NAME),
-        "hashtag_count": count_matches(t, "#" + P.WORD + "+"),
+        "url_count": count_marked(t, "http", "https?://" + P.NWS + "+"),
+        "mention_count": count_marked(t, "@", P.AT_NAME),
+        "hashtag_count": count_marked(t, "#", "#" + P.WORD + "+"),
     })
 
 
@@ -185,11 +214,16 @@ def avg_word_length(df: DataFrame, text_col: str = "full_text") -> DataFrame:
     return df.withColumn("avg_word_length", F.coalesce(mean_word_length(F.col(text_col)), F.lit(0.0)))
 
 
+def _words_in(df: DataFrame, text_col: str) -> Column:
+    """The table's word count if it has one, else counted here."""
+    return F.col("word_count") if "word_count" in df.columns else word_count(F.col(text_col))
+
+
 def sentence_features(df: DataFrame, text_col: str = "full_text") -> DataFrame:
     ends = count_matches(F.col(text_col), P.SENTENCE_END)
     return df.withColumns({
         "sentence_count": ends,
-        "avg_sentence_length": word_count(F.col(text_col)) / (ends + 1),
+        "avg_sentence_length": _words_in(df, text_col) / (ends + 1),
     })
 
 
@@ -212,14 +246,14 @@ def keyword_ratios(df: DataFrame, text_col: str = "full_text", urgency: bool = T
     return df.withColumns({
         "bullish_bearish_ratio": F.col("bullish_keyword_count") / (F.col("bearish_keyword_count") + 1),
         "total_keyword_count": total,
-        "keyword_density": total / (word_count(F.col(text_col)) + 1),
+        "keyword_density": total / (_words_in(df, text_col) + 1),
     })
 
 
 def coin_flags(df: DataFrame, text_col: str = "full_text", coins: dict | None = None) -> DataFrame:
     coins = coins or L.COINS_CLEAN
     t = F.lower(F.col(text_col))
-    flags = {f"mentions_{c}": has_match(t, P.whole_word(words)) for c, words in coins.items()}
+    flags = {f"mentions_{c}": has_word(t, words) for c, words in coins.items()}
     out = df.withColumns(flags)
     return out.withColumn("total_crypto_mentions", sum((F.col(c) for c in flags), F.lit(0)))
 
@@ -230,13 +264,13 @@ def price_percent(df: DataFrame, text_col: str = "full_text", advanced: bool = F
         return df.withColumns({
             "has_price_mention": has_match(t, P.ADVANCED_PRICE),
             "has_percentage_mention": has_match(t, P.ADVANCED_PERCENT),
-            "price_mention_count": count_matches(t, P.ADVANCED_PRICE),
+            "price_mention_count": count_marked(t, "$", P.ADVANCED_PRICE),
         })
     return df.withColumns({
         "has_price_mention": has_match(t, P.PRICE),
-        "price_mention_count": count_matches(t, P.PRICE),
+        "price_mention_count": count_marked(t, "$", P.PRICE),
         "has_percentage": has_match(t, P.PERCENT),
-        "percentage_mention_count": count_matches(t, P.PERCENT),
+        "percentage_mention_count": count_marked(t, "%", P.PERCENT),
     })
 
 
@@ -272,8 +306,8 @@ def basic_clean_flags(df: DataFrame, text_col: str = "full_text") -> DataFrame:
         "word_count": word_count(t),
         "has_url": has_match(t, "http"),
         "has_emoji": has_match(t, "[😀-🙏]"),
-        "exclamation_count": count_matches(t, "!"),
-        "question_count": count_matches(t, "[?]"),
+        "exclamation_count": count_char(t, "!"),
+        "question_count": count_char(t, "?"),
     })
 
 

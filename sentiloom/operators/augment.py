@@ -143,11 +143,11 @@ def class_quotas(df: DataFrame, label: str, share: float, max_copies: int | None
 def replicas(df: DataFrame, label: str, share: float, max_copies: int | None, key: str, seed: int) -> DataFrame:
     """One row per copy to make, with ``copy_no``; quotas are met exactly by cycling through the class."""
     quotas = class_quotas(df, label, share, max_copies).select(label, "quota").filter("quota > 0")
-    minority = df.join(quotas, label)  # one row per class on the right
-    placed = with_group_position(minority.withColumn("_h", seeded(seed, key)), [label], ["_h", key], "_pos", "_n")
+    slim = df.select(key, label).join(quotas, label)  # one row per class on the right
+    placed = with_group_position(slim.withColumn("_h", seeded(seed, key)), [label], ["_h", key], "_pos", "_n")
     copies = F.ceil((F.col("quota") - F.col("_pos")) / F.col("_n")).cast("int")
-    return placed.withColumn("_copies", copies).filter("_copies > 0").withColumn(
-        "copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_h", "_pos", "_n", "_copies", "quota")
+    chosen = placed.select(key, copies.alias("_copies")).filter("_copies > 0")
+    return df.join(chosen, key).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
 
 
 def union_augmented(df: DataFrame, copies: DataFrame) -> DataFrame:
@@ -186,11 +186,13 @@ def text_mixup(df: DataFrame, text_col: str, label: str, alpha: float = 0.5, key
 
     Partners meet on (class, position), a unique key, so no pair grid arises.
     """
-    placed = with_group_position(df.select(key, label, text_col).withColumn("_h", seeded(seed, key)), [label], ["_h", key],
+    placed = with_group_position(df.select(key, label).withColumn("_h", seeded(seed, key)), [label], ["_h", key],
                                  "_pos", "_n").drop("_h")
     partner = placed.select(F.col(label).alias("_label"), F.pmod(F.col("_pos") - 1, F.col("_n")).alias("_at"),
-                            F.col(key).alias("partner_id"), F.col(text_col).alias("_other"))
-    pairs = placed.join(partner, (placed[label] == partner["_label"]) & (placed["_pos"] == partner["_at"]))
+                            F.col(key).alias("partner_id"))
+    couples = placed.join(partner, (placed[label] == partner["_label"]) & (placed["_pos"] == partner["_at"])).select(key, "partner_id")
+    texts = df.select(F.col(key).alias("partner_id"), F.col(text_col).alias("_other"))
+    pairs = df.select(key, label, text_col).join(couples, key).join(texts, "partner_id")
 
     def sampled(text: Column, share: float, who: str) -> Column:
         words = _words(text)

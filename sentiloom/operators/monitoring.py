@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentiloom.operators.ranking import exact_quantiles, rolling_rows
+from sentiloom.operators.ranking import exact_quantiles, rolling_mean
 from sentiloom.schemas import LABEL_NAMES
 
 CALLS, PERIOD_SECONDS = 100, 60  # fixed values
@@ -91,15 +91,13 @@ def dashboard_rollups(log: DataFrame, as_of: str) -> DataFrame:
 
 def rolling_latency(log: DataFrame, rows: int = LAST_RESPONSES, keys: list[str] = ("model_name",)) -> DataFrame:
     """Mean over the last ``rows`` response times of each model, at every call."""
-    return rolling_rows(log, list(keys), ["predicted_at", "prediction_id"], rows,
-                        {"rolling_response_ms": (F.avg, "response_time_ms")})
+    return rolling_mean(log, list(keys), ["predicted_at", "prediction_id"], rows, {"rolling_response_ms": "response_time_ms"})
 
 
 def rolling_accuracy(labeled_log: DataFrame, rows: int = LAST_LABELED, keys: list[str] = ("model_name",)) -> DataFrame:
     """Accuracy over the last ``rows`` predictions whose truth is known."""
-    hits = labeled_log.withColumn("_hit", (F.col("y_true") == F.col("y_pred")).cast("double"))
-    return rolling_rows(hits, list(keys), ["predicted_at", "prediction_id"], rows,
-                        {"rolling_accuracy": (F.avg, "_hit")}).drop("_hit")
+    hits = labeled_log.withColumn("_hit", (F.col("y_true") == F.col("y_pred")).cast("int"))
+    return rolling_mean(hits, list(keys), ["predicted_at", "prediction_id"], rows, {"rolling_accuracy": "_hit"}).drop("_hit")
 
 
 def _micros(ts: Column) -> Column:

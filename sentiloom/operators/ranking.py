@@ -52,7 +52,11 @@ def with_position(df: DataFrame, order_by: list, name: str = "pos") -> DataFrame
 
 def with_group_position(df: DataFrame, group: list[str], order_by: list, name: str = "pos",
                         size: str = "group_size") -> DataFrame:
-    """Add the 0-based position within the group and the group's size."""
+    """Add the 0-based position within the group and the group's size.
+
+    The range sort reads its input twice (once to sample the ranges), so callers with wide
+    or costly rows pass only keys here and join the positions back.
+    """
     placed = with_position(df, [*group, *order_by], "_global")
     starts = placed.groupBy(*group).agg(F.min("_global").alias("_start"), F.count(F.lit(1)).alias(size))
     keys = [placed[g].eqNullSafe(starts[g]) for g in group]
@@ -114,12 +118,13 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[flo
     return picked.select(*group, "prob", q.alias("quantile"))
 
 
-def rolling_rows(df: DataFrame, group: list[str], order_by: list, rows: int, aggs: dict, block: int = 100_000
+def rolling_mean(df: DataFrame, group: list[str], order_by: list, rows: int, means: dict[str, str], block: int = 100_000
                  ) -> DataFrame:
-    """Aggregate over the last ``rows`` rows of each group, ending at the current row.
+    """Mean of columns over the last ``rows`` rows of each group, ending at the current row.
 
-    ``aggs`` maps an output name to ``(function, column)``.  Each group is cut into
-    blocks of positions; a block also gets copies of the ``rows - 1`` rows before it.
+    ``means`` maps an output name to a column.  Each group is cut into blocks of positions
+    and a block also gets copies of the ``rows - 1`` rows before it.  Inside a block the mean
+    is a difference of two running sums, so its cost does not grow with ``rows``.
     """
     placed = with_group_position(df, group, order_by, "_pos", "_size").drop("_size")
     pos, reach = F.col("_pos"), max(rows - 1, 0)
@@ -128,6 +133,16 @@ def rolling_rows(df: DataFrame, group: list[str], order_by: list, rows: int, agg
     # a row in the last `reach` positions of its block is also needed by the next one
     targets = F.when(pos % block >= block - reach, F.array(own, own + 1)).otherwise(F.array(own))
     spread = placed.withColumn("_own", own).withColumn("_block", F.explode(targets))
-    w = Window.partitionBy(*group, "_block").orderBy("_pos").rowsBetween(-reach, 0)
-    out = spread.withColumns({name: fn(F.col(c)).over(w) for name, (fn, c) in aggs.items()})
-    return out.filter(F.col("_block") == F.col("_own")).drop("_pos", "_own", "_block")
+    order = Window.partitionBy(*group, "_block").orderBy("_pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {}
+    for name, c in means.items():
+        sums[f"_{name}_s"] = F.coalesce(F.sum(c).over(so_far), F.lit(0))
+        sums[f"_{name}_n"] = F.count(F.col(c)).over(so_far)
+
+    def last(name: str) -> Column:
+        return F.col(name) - F.coalesce(F.lag(name, rows).over(order), F.lit(0))
+
+    out = spread.withColumns(sums).withColumns({
+        n: F.try_divide(last(f"_{n}_s").cast("double"), last(f"_{n}_n").cast("double")) for n in means})
+    return out.filter(F.col("_block") == F.col("_own")).drop("_pos", "_own", "_block", *sums)

@@ -32,26 +32,26 @@ def tail_fraction(df: DataFrame, order_by: list[str], fraction: float = 0.2) ->
 
 def stratified_split(df: DataFrame, label: str, key: str = "post_id", test_size: float = 0.15, val_size: float = 0.15,
                      seed: int = 42) -> DataFrame:
-    """Add ``split`` (train, val, test) with exact shares per label.
+    """Add ``split`` (train, val, test) with exact shares per label; ``key`` is unique.
 
     If any label has fewer than two rows, the whole table is one stratum.
     """
     smallest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).select(F.min("n")).scalar()
-    placed = df.withColumns({
-        "_stratum": F.when(smallest < 2, F.lit("all")).otherwise(F.coalesce(F.col(label).cast("string"), F.lit("?"))),
-        "_order": seeded(seed, key)})
-    placed = with_group_position(placed, ["_stratum"], ["_order", key], "_pos", "_n")
+    slim = df.select(key, F.when(smallest < 2, F.lit("all")).otherwise(F.coalesce(F.col(label).cast("string"), F.lit("?")))
+                     .alias("_stratum"), seeded(seed, key).alias("_order"))
+    placed = with_group_position(slim, ["_stratum"], ["_order", key], "_pos", "_n")
     n, pos = F.col("_n"), F.col("_pos")
     test = F.floor(n * test_size + 0.5)
     val = F.floor(n * val_size + 0.5)
     split = F.when(pos < test, "test").when(pos < test + val, "val").otherwise("train")
-    return placed.withColumn("split", split).drop("_stratum", "_order", "_pos", "_n")
+    return df.join(placed.select(key, split.alias("split")), key)
 
 
 def stratified_kfold(df: DataFrame, label: str, k: int = 5, key: str = "post_id", seed: int = 42) -> DataFrame:
-    """Add ``fold`` (0..k-1); fold sizes within a label differ by at most one."""
-    placed = with_group_position(df.withColumn("_order", seeded(seed, key)), [label], ["_order", key], "_pos", "_n")
-    return placed.withColumn("fold", F.pmod("_pos", F.lit(k)).cast("int")).drop("_order", "_pos", "_n")
+    """Add ``fold`` (0..k-1); fold sizes within a label differ by at most one; ``key`` is unique."""
+    slim = df.select(key, F.col(label).alias("_label"), seeded(seed, key).alias("_order"))
+    placed = with_group_position(slim, ["_label"], ["_order", key], "_pos", "_n")
+    return df.join(placed.select(key, F.pmod("_pos", F.lit(k)).cast("int").alias("fold")), key)
 
 
 def split_label_distribution(df: DataFrame, label: str, split: str = "split") -> DataFrame:

@@ -115,12 +115,14 @@ def _compare_models(v):
 
 
 _FOLDS = """(SELECT model, fold, avg((y_true = y_pred)::INT) AS score FROM (SELECT s.*, (row_number() OVER (PARTITION BY s.model, s.y_true
- ORDER BY md5('42|' || s.post_id), s.post_id) - 1) % 5 AS fold FROM scored s) x GROUP BY model, fold) f"""
+ ORDER BY md5('42|' || s.post_id || '|' || s.model), s.post_id) - 1) % 5 AS fold FROM scored s) x GROUP BY model, fold) f"""
 
 
 @query("cv_summary", f"""SELECT model, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, round(min(score), 6) AS min,
  round(max(score), 6) AS max FROM {_FOLDS} GROUP BY model""", "scored")
 def _cv_summary(v):
-    folded = stratified_kfold(v.scored.withColumn("stratum", F.concat_ws("|", "model", F.col("y_true").cast("string"))), "stratum")
+    keyed = v.scored.withColumns({"stratum": F.concat_ws("|", "model", F.col("y_true").cast("string")),
+                                  "row_id": F.concat_ws("|", "post_id", "model")})
+    folded = stratified_kfold(keyed, "stratum", key="row_id")
     scores = folded.groupBy("model", "fold").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).alias("score"))
     return E.cv_summary(scores).select("model", *r6("mean", "std", "min", "max"))

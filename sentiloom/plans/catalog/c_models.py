@@ -27,7 +27,7 @@ def training(v):
         t = v.cleaned.select("post_id", "full_text", "cleaned_text", "score", "upvote_ratio", "num_comments")
         rows = production_features(t, "full_text").withColumn("auto_label_id", S.heuristic_label(F.col("full_text")))
         rows = rows.select("post_id", "full_text", "cleaned_text", "auto_label_id", *NUMERIC)
-        v._made["_training"] = cut(stratified_split(rows, "auto_label_id"))
+        v._made["_training"] = cut(stratified_split(cut(rows), "auto_label_id"))
     return v._made["_training"]
 
 

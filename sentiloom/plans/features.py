@@ -53,4 +53,4 @@ def advanced_features(df: DataFrame, text_col: str = "full_text") -> DataFrame:
     out = X.readability(S.valence_score(out, text_col), text_col, min_words=6).drop("syllable_count")
     out = X.emoji_features(X.price_percent(out, text_col, advanced=True), text_col, advanced=True)
     out = X.coin_flags(out, text_col, L.COINS_PRODUCTION)
-    return out.withColumn("hashtag_count", X.count_matches(F.col(text_col), "#" + X.P.WORD + "+"))
+    return out.withColumn("hashtag_count", X.count_marked(F.col(text_col), "#", "#" + X.P.WORD + "+"))
