@@ -160,7 +160,27 @@ def _save_load_model(v):
     return before.join(after, "post_id").agg(F.count(F.lit(1)).alias("rows"), F.max(gap).alias("largest_gap"))
 
 
-def keyword_scorer():
+@query("topics")
+def _topics(v):
+    from sentiloom.models.topics import topics
+
+    return topics(v.cleaned.select("post_id", "cleaned_text"), "cleaned_text")
+
+
+@query("model_interface")
+def _model_interface(v):
+    """Both classifiers through the same fit/transform contract."""
+    out = None
+    for name, model in (("baseline", baseline(v, max_iter=10)), ("boosted", boosted(v, max_iter=2))):
+        scored = model.fit(part(v, "train")).transform(part(v, "test"))
+        total = sum((F.col(p) for p in C.PROBS), F.lit(0.0))
+        row = scored.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("rows"),
+                         F.max(F.abs(total - 1)).alias("probability_gap"), F.max("label_id").alias("largest_label"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def upper_case_scorer():
     """Tiny stand-in scorer: more upper-case letters, more positive."""
 
     def predict(texts):
@@ -175,6 +195,6 @@ SELECT post_id, round(0.5 * (1 - share), 6) AS p_negative, round(0.5 * share, 6)
 FROM (SELECT post_id, len(regexp_extract_all(coalesce(title, '') || ' ' || coalesce(content, ''), '\\p{Lu}'))::DOUBLE
  / (length(coalesce(title, '') || ' ' || coalesce(content, '')) + 1) AS share FROM posts) x""", "posts")
 def _scorer_udf(v):
-    score = scorer_udf(keyword_scorer)
+    score = scorer_udf(upper_case_scorer)
     out = v.texts.select("post_id", score("full_text").alias("p"))
     return out.select("post_id", F.round(F.col("p")[0], 6).alias("p_negative"), F.round(F.col("p")[2], 6).alias("p_positive"))
