@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentiloom.models.stages import HELPERS, TextVectors
+from sentiloom.operators.joins import group_join
 from sentiloom.operators.sampling import class_weights, seeded_unit, stratified_kfold
 from sentiloom.schemas import LABEL_NAMES
 
@@ -35,9 +36,9 @@ def argmax_id(values: list[Column]) -> Column:
 
 
 def with_class_weight(df: DataFrame, label: str) -> DataFrame:
-    """Add ``weight``: balanced class weight (one row per class on the right)."""
+    """Add ``weight``: balanced class weight."""
     weights = class_weights(df, label).select(label, F.col("balanced_weight").alias("weight"))
-    return df.join(weights, label)
+    return group_join(df, weights, [label])
 
 
 def probability_columns(df: DataFrame, vector: str = "_probability") -> DataFrame:

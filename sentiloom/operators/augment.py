@@ -14,6 +14,7 @@ from sentiloom import lexicons as L
 from sentiloom.functions.sentiment import heuristic_label, label_name
 from sentiloom.functions.text import bind, full_text, tokens
 from sentiloom.operators.frames import min_length_filter
+from sentiloom.operators.joins import group_join
 from sentiloom.operators.ranking import with_group_position
 from sentiloom.operators.sampling import seeded, seeded_unit
 
@@ -143,7 +144,7 @@ def class_quotas(df: DataFrame, label: str, share: float, max_copies: int | None
 def replicas(df: DataFrame, label: str, share: float, max_copies: int | None, key: str, seed: int) -> DataFrame:
     """One row per copy to make, with ``copy_no``; quotas are met exactly by cycling through the class."""
     quotas = class_quotas(df, label, share, max_copies).select(label, "quota").filter("quota > 0")
-    slim = df.select(key, label).join(quotas, label)  # one row per class on the right
+    slim = group_join(df.select(key, label), quotas, [label])
     placed = with_group_position(slim.withColumn("_h", seeded(seed, key)), [label], ["_h", key], "_pos", "_n")
     copies = F.ceil((F.col("quota") - F.col("_pos")) / F.col("_n")).cast("int")
     chosen = placed.select(key, copies.alias("_copies")).filter("_copies > 0")

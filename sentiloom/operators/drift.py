@@ -60,8 +60,8 @@ def psi(samples: DataFrame, bins: int = BINS) -> DataFrame:
     ranges = ranges.withColumn("edges", _edges(F.col("lo"), F.col("hi"), bins))
     index = sum(((F.col("x") >= F.col("edges")[i]).cast("int") for i in range(bins - 1)), F.lit(0))
     inside = F.col("x").between(F.col("lo"), F.col("hi"))
-    # one row per feature on the right: the planner broadcasts it
-    binned = valid.join(ranges, "feature").select(
+    # one row per feature, and features are column names
+    binned = valid.join(F.broadcast(ranges), "feature").select(
         "feature", F.when(inside, index).alias("bin"), (F.col("side") == "ref").alias("is_ref"))
     counts = binned.groupBy("feature", "bin").agg(F.count_if("is_ref").alias("r"), F.count_if(~F.col("is_ref")).alias("n"))
     totals = counts.groupBy("feature").agg(F.sum("r").alias("rt"), F.sum("n").alias("nt"))
@@ -70,7 +70,7 @@ def psi(samples: DataFrame, bins: int = BINS) -> DataFrame:
         s = F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double"))
         return F.when(s > 0, s).otherwise(EMPTY_SHARE)
 
-    shares = counts.filter(F.col("bin").isNotNull()).join(totals, "feature").withColumns({
+    shares = counts.filter(F.col("bin").isNotNull()).join(F.broadcast(totals), "feature").withColumns({
         "rp": share("r", "rt"), "np": share("n", "nt")})
     return shares.groupBy("feature").agg(
         F.abs(F.sum((F.col("np") - F.col("rp")) * F.log(F.col("np") / F.col("rp")))).alias("psi"),

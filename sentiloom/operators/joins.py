@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentiloom.session import cut
+
 BROADCAST_ROWS = 200_000  # a dictionary row is a word and a number: a few tens of bytes
 SALTS = 32
 
 
+def _salt_of(rows: DataFrame) -> Column:
+    return F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+
+
 def dictionary_join(left: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Join word rows with a dictionary of unknown size.
 
@@ -18,13 +24,30 @@ def dictionary_join(left: DataFrame, table: DataFrame, on: str, how: str = "inne
     if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return left.join(F.broadcast(table), on, how)
     salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, [on, "_salt"], how).drop("_salt")
+    return left.withColumn("_salt", _salt_of(left)).join(salted, [on, "_salt"], how).drop("_salt")
+
+
+def group_join(left: DataFrame, groups: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join a per-group table (one narrow row per group) back to the group's rows.
+
+    The table is frozen first, so that counting it is free.  With few groups it is broadcast
+    and the rows stay where they are; with many, no single group is hot enough to matter
+    unless it is skewed, and the salt takes care of that one.
+    """
+    names = {c: f"_k_{c}" for c in on}
+    frozen = cut(groups.withColumnsRenamed(names))
+    if frozen.count() <= BROADCAST_ROWS:
+        same = [left[c].eqNullSafe(frozen[k]) for c, k in names.items()]  # a null group is a group too
+        return left.join(F.broadcast(frozen), same, how).drop(*names.values())
+    salted = frozen.withColumn("_k_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = left.withColumn("_salt", _salt_of(left))
+    same = [spread[c].eqNullSafe(salted[k]) for c, k in {**names, "_salt": "_k_salt"}.items()]
+    return spread.join(salted, same, how).drop("_salt", "_k_salt", *names.values())
 
 
 def join_stats(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    """Left join of one-row-per-key statistics; the planner broadcasts them while they are small."""
-    return df.join(stats, key, "left")
+    """Left join of one-row-per-key statistics."""
+    return group_join(df, stats, [key], "left")
 
 
 def latest_predictions(predictions: DataFrame, posts: DataFrame) -> DataFrame:

@@ -116,8 +116,8 @@ def confidence_distribution(df: DataFrame) -> DataFrame:
     basic = df.agg(F.avg("label_confidence").alias("mean"), F.stddev_samp("label_confidence").alias("std"),
                    F.min("label_confidence").alias("min"), F.max("label_confidence").alias("max"))
     q = _band_quantiles(df, ["label_confidence"], [0.25, 0.5, 0.75])
-    for name, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75)):
-        basic = basic.withColumn(name, q.filter(F.col("prob") == p).select("quantile").scalar())
+    parts = [F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name) for name, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))]
+    basic = basic.withColumn("_q", q.agg(F.struct(*parts).alias("q")).scalar()).select("*", "_q.*").drop("_q")
     healthy = (F.col("mean") > 0.5) & (F.col("std") < 0.3) & (F.col("median") > 0.5)
     return basic.withColumn("is_healthy", F.coalesce(healthy, F.lit(False)))
 

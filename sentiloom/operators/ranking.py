@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentiloom.operators.joins import group_join
 from sentiloom.session import cut
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
@@ -59,12 +60,7 @@ def with_group_position(df: DataFrame, group: list[str], order_by: list, name: s
     """
     placed = with_position(df, [*group, *order_by], "_global")
     starts = placed.groupBy(*group).agg(F.min("_global").alias("_start"), F.count(F.lit(1)).alias(size))
-    keys = [placed[g].eqNullSafe(starts[g]) for g in group]
-    return (
-        placed.join(starts, keys, "inner").drop(*[starts[g] for g in group])
-        .withColumn(name, F.col("_global") - F.col("_start"))
-        .drop("_global", "_start")
-    )
+    return group_join(placed, starts, group).withColumn(name, F.col("_global") - F.col("_start")).drop("_global", "_start")
 
 
 def running_totals(df: DataFrame, group: list[str], order_by: list[str], sums: list[str]) -> DataFrame:
@@ -80,7 +76,7 @@ def running_totals(df: DataFrame, group: list[str], order_by: list[str], sums: l
     stats = out.groupBy(*group).agg(
         *[F.min(F.col(f"_{s}_all") - F.col(s)).alias(f"_{s}_start") for s in sums],
         *[F.sum(s).alias(f"all_{s}") for s in sums])
-    out = out.join(stats, group)
+    out = group_join(out, stats, group)
     out = out.withColumns({f"cum_{s}": F.col(f"_{s}_all") - F.col(f"_{s}_start") for s in sums})
     return out.drop("_part", "_row", *[f"_{s}_{x}" for s in sums for x in ("run", "before", "all", "start")])
 

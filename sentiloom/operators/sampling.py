@@ -65,10 +65,9 @@ def union_train_val(train: DataFrame, val: DataFrame) -> DataFrame:
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Per class: balanced weight n/(k*count) and inverse frequency scaled to mean 1."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
-    totals = counts.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("k"),
-                        F.sum(1.0 / (F.col("count") + 1e-6)).alias("inv"))
-    n, k, inv = (totals.select(c).scalar() for c in ("n", "k", "inv"))
-    return counts.withColumns({
-        "balanced_weight": n / (k * F.col("count")),
-        "inverse_weight": 1.0 / (F.col("count") + 1e-6) / inv * k,
-    })
+    n, k = F.sum("count").alias("n"), F.count(F.lit(1)).alias("k")
+    totals = counts.agg(F.struct(n, k, F.sum(1.0 / (F.col("count") + 1e-6)).alias("inv")).alias("t")).scalar()
+    return counts.withColumn("_t", totals).withColumns({
+        "balanced_weight": F.col("_t.n") / (F.col("_t.k") * F.col("count")),
+        "inverse_weight": 1.0 / (F.col("count") + 1e-6) / F.col("_t.inv") * F.col("_t.k"),
+    }).drop("_t")

@@ -14,8 +14,10 @@ def subreddit_stats(df: DataFrame) -> DataFrame:
     """Mean, sample deviation and median per forum.
 
     Means come from ordinary partial aggregation; the exact medians come from
-    counted values, so that a forum with a third of all posts fits in no single task.
+    counted values, so that a forum with a third of all posts is in no single task.
+    Posts without a forum get no statistics.
     """
+    df = df.filter(F.col("subreddit").isNotNull())
     base = df.groupBy("subreddit").agg(
         F.avg("score").alias("subreddit_avg_score"), F.stddev_samp("score").alias("subreddit_std_score"),
         F.avg("num_comments").alias("subreddit_avg_comments"),

@@ -20,7 +20,8 @@ def write_posts(df: DataFrame, path: str, fmt: str = "parquet", stamp: str | Non
         df.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option(
             "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(target)
         return target
-    days = df.withColumn("dt", F.to_date("created_utc"))
+    # rebalance gathers each day's rows into few files and still splits a day that is too large for one task
+    days = df.withColumn("dt", F.to_date("created_utc")).hint("rebalance", "dt")
     days.write.mode("overwrite").partitionBy("dt").parquet(target)
     return target
 
@@ -35,14 +36,16 @@ def write_quality_report(checks: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-def append_quality_metrics(checks: DataFrame, batch_id: str, recorded_at, path: str) -> None:
-    to_declared(quality_metrics(checks, batch_id, recorded_at), "quality_metrics").write.mode("append").parquet(path)
+def write_quality_metrics(checks: DataFrame, batch_id: str, recorded_at, path: str) -> None:
+    """Add a batch to the metric log; the same batch written again replaces itself."""
+    rows = to_declared(quality_metrics(checks, batch_id, recorded_at), "quality_metrics")
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
 def write_bands(labeled: DataFrame, path: str, **limits) -> None:
     """High- and low-confidence rows in one pass: folders ``band=high`` and ``band=low``."""
     band = F.when(is_high_confidence(**limits), "high").otherwise("low")
-    labeled.withColumn("band", band).write.mode("overwrite").partitionBy("band").parquet(path)
+    labeled.withColumn("band", band).hint("rebalance", "band").write.mode("overwrite").partitionBy("band").parquet(path)
 
 
 def write_comparison(table: DataFrame, path: str) -> None:

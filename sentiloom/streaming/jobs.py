@@ -21,7 +21,7 @@ from sentiloom.operators.monitoring import CALLS, PERIOD_SECONDS, admit
 from sentiloom.operators.quality import run_checks
 from sentiloom.session import STATE_STORE
 from sentiloom.sources.posts import normalize_raw_posts
-from sentiloom.sources.sinks import append_quality_metrics
+from sentiloom.sources.sinks import write_quality_metrics
 
 LATENESS = "1 hour"
 
@@ -75,7 +75,7 @@ def stream_ingest_quality(raw: DataFrame, target: str, checkpoint: str, as_of: s
         if not checks.filter(~F.col("passed") & (F.col("severity") == "critical")).isEmpty():
             raise CriticalQuality(f"batch {number}: critical quality check failed")
         posts.write.mode("overwrite").parquet(f"{target}/posts/batch={number}")
-        append_quality_metrics(checks, str(number), as_of, f"{target}/quality_metrics")
+        write_quality_metrics(checks, str(number), as_of, f"{target}/quality_metrics")
         checks.unpersist()
         posts.unpersist()
 

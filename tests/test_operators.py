@@ -81,6 +81,16 @@ def test_dictionary_join_both_ways(spark, monkeypatch):
     assert small == large and len(small) == 500
 
 
+def test_group_join_both_ways_with_a_null_group(spark, monkeypatch):
+    left = spark.createDataFrame([(None if i % 7 == 0 else i % 3, i) for i in range(60)], "g int, id int")
+    groups = left.groupBy("g").agg(F.count("*").alias("n"))
+    small = sorted(map(str, joins.group_join(left, groups, ["g"]).collect()))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
+    large = sorted(map(str, joins.group_join(left, groups, ["g"]).collect()))
+    assert small == large and len(small) == 60
+    assert joins.group_join(left, groups, ["g"]).columns == ["g", "id", "n"]
+
+
 def test_splits_and_folds(spark):
     rows = [(f"{c}{i}", c) for c, n in (("a", 10), ("b", 100), ("c", 2)) for i in range(n)]
     df = spark.createDataFrame(rows, "post_id string, y string")
