@@ -156,7 +156,7 @@ def char_class_counts(df: DataFrame, text_col: str = "full_text") -> DataFrame:
         "text_length": F.length(t),
         "word_count": word_count(t),
         "uppercase_count": count_matches(t, "[A-Z]"),
-        "lowercase_count": count_matches(t, "[a-z]"),
+        "lowercase_count": F.length(F.regexp_replace(t, "[^a-z]+", "")),
         "digit_count": count_matches(t, P.DIGIT),
         "space_count": count_matches(t, P.WS),
         "exclamation_count": count_char(t, "!"),
@@ -192,16 +192,18 @@ def char_ratios(df: DataFrame, commas: bool = True) -> DataFrame:
 def readability(df: DataFrame, text_col: str = "full_text", min_words: int = 3) -> DataFrame:
     """Flesch scores; a syllable is a vowel group, shorter texts score 0."""
     t = F.lower(F.col(text_col))
-    words = word_count(t).cast("double")
-    sentences = F.greatest(F.lit(1), count_matches(t, P.SENTENCE_END)).cast("double")
-    syllables = count_matches(t, P.VOWEL_GROUP).cast("double")
-    enough = F.coalesce(words, F.lit(0.0)) >= min_words
-    per_sentence, per_word = words / sentences, F.try_divide(syllables, words)
-    return df.withColumns({
+    counted = df.withColumns({
+        "_words": word_count(t).cast("double"),
+        "_ends": F.greatest(F.lit(1), count_matches(t, P.SENTENCE_END)).cast("double"),
+        "_syllables": count_matches(t, P.VOWEL_GROUP),
+    })
+    enough = F.coalesce(F.col("_words"), F.lit(0.0)) >= min_words
+    per_sentence, per_word = F.col("_words") / F.col("_ends"), F.try_divide(F.col("_syllables").cast("double"), F.col("_words"))
+    return counted.withColumns({
         "flesch_reading_ease": F.when(enough, 206.835 - 1.015 * per_sentence - 84.6 * per_word).otherwise(0.0),
         "flesch_kincaid_grade": F.when(enough, 0.39 * per_sentence + 11.8 * per_word - 15.59).otherwise(0.0),
-        "syllable_count": F.when(enough, syllables.cast("int")).otherwise(0),
-    })
+        "syllable_count": F.when(enough, F.col("_syllables")).otherwise(0),
+    }).drop("_words", "_ends", "_syllables")
 
 
 def lexical_diversity(df: DataFrame, text_col: str = "full_text") -> DataFrame:

@@ -5,7 +5,7 @@ Samples are long rows (feature, side, x) with side ``ref`` or ``new``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,14 +64,15 @@ def psi(samples: DataFrame, bins: int = BINS) -> DataFrame:
     binned = valid.join(F.broadcast(ranges), "feature").select(
         "feature", F.when(inside, index).alias("bin"), (F.col("side") == "ref").alias("is_ref"))
     counts = binned.groupBy("feature", "bin").agg(F.count_if("is_ref").alias("r"), F.count_if(~F.col("is_ref")).alias("n"))
-    totals = counts.groupBy("feature").agg(F.sum("r").alias("rt"), F.sum("n").alias("nt"))
+    # at most bins + 1 rows per feature
+    per_feature = Window.partitionBy("feature")
+    counts = counts.withColumns({"rt": F.sum("r").over(per_feature), "nt": F.sum("n").over(per_feature)})
 
     def share(part: str, whole: str) -> Column:
         s = F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double"))
         return F.when(s > 0, s).otherwise(EMPTY_SHARE)
 
-    shares = counts.filter(F.col("bin").isNotNull()).join(F.broadcast(totals), "feature").withColumns({
-        "rp": share("r", "rt"), "np": share("n", "nt")})
+    shares = counts.filter(F.col("bin").isNotNull()).withColumns({"rp": share("r", "rt"), "np": share("n", "nt")})
     return shares.groupBy("feature").agg(
         F.abs(F.sum((F.col("np") - F.col("rp")) * F.log(F.col("np") / F.col("rp")))).alias("psi"),
         F.max("nt").alias("n_new"))

@@ -30,40 +30,51 @@ def confusion_matrix(df: DataFrame, keys: list[str] = (), k: int = 3) -> DataFra
 
 
 def per_class_metrics(matrix: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Precision, recall, F1 and support of each class; 0 where undefined."""
-    tp = F.when(F.col("y_true") == F.col("y_pred"), F.col("count")).otherwise(0)
-    by_true = matrix.groupBy(*keys, F.col("y_true").alias("label_id")).agg(
-        F.sum("count").alias("support"), F.sum(tp).alias("hits"))
-    by_pred = matrix.groupBy(*keys, F.col("y_pred").alias("label_id")).agg(F.sum("count").alias("predicted"))
-    out = by_true.join(by_pred, [*keys, "label_id"])
+    """Precision, recall, F1 and support of each class; 0 where undefined.
+
+    Every cell adds to its row's class and to its column's class, so one grouping does both.
+    """
+    n, zero = F.col("count"), F.lit(0).cast("bigint")
+    hit = F.when(F.col("y_true") == F.col("y_pred"), n).otherwise(zero)
+    sides = F.array(
+        F.struct(F.col("y_true").alias("label_id"), n.alias("s"), hit.alias("h"), zero.alias("p")),
+        F.struct(F.col("y_pred").alias("label_id"), zero.alias("s"), zero.alias("h"), n.alias("p")))
+    out = matrix.select(*keys, F.inline(sides)).groupBy(*keys, "label_id").agg(
+        F.sum("s").alias("support"), F.sum("h").alias("hits"), F.sum("p").alias("predicted"))
     out = out.withColumns({"precision": _safe(F.col("hits"), F.col("predicted")),
                            "recall": _safe(F.col("hits"), F.col("support"))})
     return out.withColumn("f1", _safe(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def _average_columns() -> list[Column]:
+    n, occurs = F.sum("support"), (F.col("support") > 0) | (F.col("predicted") > 0)
+    measures = ("precision", "recall", "f1")
+    return [
+        _safe(F.sum("hits"), n).alias("accuracy"),
+        *[F.avg(F.when(occurs, F.col(m))).alias(f"{m}_macro") for m in measures],
+        *[F.try_divide(F.sum(F.col(m) * F.col("support")), n.cast("double")).alias(f"{m}_weighted") for m in measures],
+        n.alias("support"),
+    ]
+
+
+def _agreement_columns() -> list[Column]:
+    t, p = F.col("support").cast("double"), F.col("predicted").cast("double")
+    c, s, tp, tt, pp = (F.sum(x) for x in (F.col("hits").cast("double"), t, t * p, t * t, p * p))
+    chance = F.try_divide(tp, s * s)
+    return [
+        F.try_divide(F.try_divide(c, s) - chance, 1 - chance).alias("cohen_kappa"),
+        F.try_divide(c * s - tp, F.sqrt((s * s - pp) * (s * s - tt))).alias("matthews_corrcoef"),
+    ]
+
+
 def classification_metrics(matrix: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Accuracy and macro/weighted precision, recall, F1 (macro over labels that occur)."""
-    classes = per_class_metrics(matrix, keys).filter((F.col("support") > 0) | (F.col("predicted") > 0))
-    n = F.sum("support")
-    return classes.groupBy(*keys).agg(
-        (F.sum("hits") / n).alias("accuracy"),
-        *[F.avg(m).alias(f"{m}_macro") for m in ("precision", "recall", "f1")],
-        *[(F.sum(F.col(m) * F.col("support")) / n).alias(f"{m}_weighted") for m in ("precision", "recall", "f1")],
-        n.alias("support"))
+    return per_class_metrics(matrix, keys).groupBy(*keys).agg(*_average_columns())
 
 
 def kappa_mcc(matrix: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Cohen kappa and the multiclass Matthews coefficient; undefined (0/0) gives null."""
-    classes = per_class_metrics(matrix, keys)
-    t, p = F.col("support").cast("double"), F.col("predicted").cast("double")
-    sums = classes.groupBy(*keys).agg(
-        F.sum("hits").cast("double").alias("c"), F.sum("support").cast("double").alias("s"),
-        F.sum(t * p).alias("tp"), F.sum(t * t).alias("tt"), F.sum(p * p).alias("pp"))
-    c, s, tp, tt, pp = (F.col(x) for x in ("c", "s", "tp", "tt", "pp"))
-    return sums.select(
-        *keys,
-        F.try_divide(c / s - tp / (s * s), 1 - tp / (s * s)).alias("cohen_kappa"),
-        F.try_divide(c * s - tp, F.sqrt((s * s - pp) * (s * s - tt))).alias("matthews_corrcoef"))
+    return per_class_metrics(matrix, keys).groupBy(*keys).agg(*_agreement_columns())
 
 
 def roc_auc_ovr(df: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -95,9 +106,8 @@ def roc_auc(df: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def all_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     """Every scalar metric in one row per key."""
-    matrix = confusion_matrix(df, keys)
-    out = classification_metrics(matrix, keys).join(kappa_mcc(matrix, keys), keys)
-    return out.join(roc_auc(df, keys), keys, "left")
+    classes = per_class_metrics(confusion_matrix(df, keys), keys)
+    return classes.groupBy(*keys).agg(*_average_columns(), *_agreement_columns()).join(roc_auc(df, keys), keys, "left")
 
 
 def flatten_metrics(scalars: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:

@@ -84,14 +84,15 @@ def label_distribution_check(df: DataFrame, expected: dict[str, float] | None =
 
 
 def kappa_from_counts(counts: DataFrame, keys: list[str], a: str, b: str, n: str = "n") -> DataFrame:
-    """Cohen kappa per key from a small contingency table (one row per label pair)."""
-    rows = counts.groupBy(*keys, F.col(a).alias("_l")).agg(F.sum(n).alias("ra"))
-    cols = counts.groupBy(*keys, F.col(b).alias("_l")).agg(F.sum(n).alias("rb"))
-    chance = rows.join(cols, [*keys, "_l"]).groupBy(*keys).agg(F.sum(F.col("ra").cast("double") * F.col("rb")).alias("_chance"))
-    agree = counts.groupBy(*keys).agg(
-        F.sum(n).cast("double").alias("_n"), F.sum(F.when(F.col(a) == F.col(b), F.col(n)).otherwise(0)).alias("_same"))
-    po, pe = F.col("_same") / F.col("_n"), F.coalesce(F.col("_chance"), F.lit(0.0)) / (F.col("_n") * F.col("_n"))
-    return agree.join(chance, keys, "left").select(*keys, F.try_divide(po - pe, 1 - pe).alias("kappa"))
+    """Cohen kappa per key from a contingency table (one row per label pair)."""
+    zero = F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(F.col(a).alias("l"), F.col(n).alias("ra"), zero.alias("rb"), F.when(F.col(a) == F.col(b), F.col(n)).otherwise(zero).alias("same")),
+        F.struct(F.col(b).alias("l"), zero.alias("ra"), F.col(n).alias("rb"), zero.alias("same")))
+    labels = counts.select(*keys, F.inline(sides)).groupBy(*keys, "l").agg(*[F.sum(c).cast("double").alias(c) for c in ("ra", "rb", "same")])
+    total = F.sum("ra")
+    po, pe = F.sum("same") / total, F.sum(F.col("ra") * F.col("rb")) / (total * total)
+    return labels.groupBy(*keys).agg(F.try_divide(po - pe, 1 - pe).alias("kappa"))
 
 
 def pairwise_kappa(df: DataFrame, annotators: list[str] = ANNOTATORS) -> DataFrame:

@@ -26,7 +26,7 @@ def seeded_unit(seed: int, *parts) -> Column:
 def tail_fraction(df: DataFrame, order_by: list[str], fraction: float = 0.2) -> DataFrame:
     """Last ``floor(n * fraction)`` rows in the given order."""
     placed = with_position(df, order_by, "_pos")
-    n = df.select(F.count(F.lit(1))).scalar()
+    n = placed.select(F.count(F.lit(1))).scalar()
     return placed.filter(F.col("_pos") >= n - F.floor(n * fraction)).drop("_pos")
 
 
