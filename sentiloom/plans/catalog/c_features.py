@@ -8,7 +8,8 @@ from sentiloom.functions import sentiment as S
 from sentiloom.functions import text as X
 from sentiloom.operators import frames, statistics
 from sentiloom.plans import oracle as O
-from sentiloom.plans.catalog.c_text import COUNTS, TEXTS, r6
+from sentiloom.functions import patterns as P
+from sentiloom.plans.catalog.c_text import CLEANED, COUNTS, PREPROCESSED, TEXTS, r6
 from sentiloom.plans.registry import query
 
 
@@ -213,13 +214,50 @@ def _feature_summary(v):
     return summary.select("feature", "dtype", F.round("missing_pct", 6).alias("missing_pct"), "unique_values")
 
 
-@query("production_features", None)
+def _production_sql():
+    """The 43 features from the preprocessed text, spelled out column by column."""
+    words, ends = O.n_words("t"), O.cnt("t", P.SENTENCE_END)
+    vowels = O.cnt("lower(t)", P.VOWEL_GROUP)
+    base = f"""SELECT post_id, score, upvote_ratio, num_comments, t, length(t) AS text_length, {words} AS word_count,
+ {O.cnt('t', '[A-Z]')} AS uppercase_count, {O.cnt('t', '[a-z]')} AS lowercase_count, {O.cnt('t', P.DIGIT)} AS digit_count,
+ {O.cnt('t', P.WS)} AS space_count, {O.cnt('t', '!')} AS exclamation_count, {O.cnt('t', '[?]')} AS question_count,
+ {O.cnt('t', ',')} AS comma_count, {O.cnt('t', '[.]')} AS period_count, {vowels} AS y, {ends} AS sentence_count,
+ {O.toks('t')} AS w, {O.present('lower(t)', L.BULLISH)} AS bullish_keyword_count,
+ {O.present('lower(t)', L.BEARISH)} AS bearish_keyword_count, {O.present('lower(t)', L.UNCERTAINTY)} AS uncertainty_keyword_count,
+ {', '.join(f"{O.has('lower(t)', P.whole_word(ws))} AS mentions_{c}" for c, ws in L.COINS_PRODUCTION.items())},
+ {O.has('t', P.PRICE)} AS has_price_mention, {O.cnt('t', P.PRICE)} AS price_mention_count, {O.has('t', P.PERCENT)} AS has_percentage
+ FROM (SELECT post_id, score, upvote_ratio, num_comments, {PREPROCESSED} AS t FROM {CLEANED}) b"""
+    total = "bullish_keyword_count + bearish_keyword_count + uncertainty_keyword_count"
+    flesch = "greatest(1, sentence_count)::DOUBLE"
+    return f"""
+SELECT post_id, score, upvote_ratio, num_comments, text_length, word_count, uppercase_count, lowercase_count, digit_count,
+ space_count, exclamation_count, question_count, comma_count, period_count,
+ round(uppercase_count::DOUBLE / (text_length + 1), 6) AS uppercase_ratio, round(digit_count::DOUBLE / (text_length + 1), 6) AS digit_ratio,
+ round((exclamation_count + question_count)::DOUBLE / (text_length + 1), 6) AS punctuation_ratio,
+ CASE WHEN word_count >= 3 THEN round(206.835 - 1.015 * (word_count / {flesch}) - 84.6 * (y::DOUBLE / word_count), 6) ELSE 0 END AS flesch_reading_ease,
+ CASE WHEN word_count >= 3 THEN round(0.39 * (word_count / {flesch}) + 11.8 * (y::DOUBLE / word_count) - 15.59, 6) ELSE 0 END AS flesch_kincaid_grade,
+ CASE WHEN word_count >= 3 THEN y::INT ELSE 0 END AS syllable_count,
+ round(coalesce(len(list_distinct(w))::DOUBLE / nullif(len(w), 0), 0.0), 6) AS lexical_diversity,
+ round(coalesce((text_length - space_count)::DOUBLE / nullif(word_count, 0), 0.0), 6) AS avg_word_length, sentence_count,
+ round(word_count::DOUBLE / (sentence_count + 1), 6) AS avg_sentence_length, bullish_keyword_count, bearish_keyword_count,
+ uncertainty_keyword_count, round(bullish_keyword_count::DOUBLE / (bearish_keyword_count + 1), 6) AS bullish_bearish_ratio,
+ {total} AS total_keyword_count, round(({total})::DOUBLE / (word_count + 1), 6) AS keyword_density,
+ mentions_btc, mentions_eth, mentions_ada, mentions_sol, mentions_doge,
+ mentions_btc + mentions_eth + mentions_ada + mentions_sol + mentions_doge AS total_crypto_mentions,
+ has_price_mention, price_mention_count, has_percentage, {_ln1p('coalesce(score, 0)')} AS score_log,
+ {_ln1p('coalesce(num_comments, 0)')} AS num_comments_log, coalesce(upvote_ratio, 0.5::DOUBLE) AS upvote_ratio_norm,
+ round(num_comments::DOUBLE / nullif(score + 1, 0), 6) AS engagement_ratio, round(abs(upvote_ratio - 0.5) * 2, 6) AS controversy_score
+FROM ({base}) f"""
+
+
+@query("production_features", _production_sql(), "posts")
 def _production_features(v):
     """The 43 model features from the served text column."""
     from sentiloom.plans.features import production_features
 
-    return frames.select_production_43(production_features(v.cleaned.withColumn(
+    made = frames.select_production_43(production_features(v.cleaned.withColumn(
         "preprocessed_text", X.preprocess_text(F.col("cleaned_text")))), ["post_id"])
+    return made.withColumns({c: F.round(c, 6) for c, kind in made.dtypes if kind == "double"})
 
 
 # --- row filters ----------------------------------------------------------------------

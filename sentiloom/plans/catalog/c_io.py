@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from sentiloom.operators import evaluation as E
 from sentiloom.operators.quality import run_checks
-from sentiloom.plans.catalog.c_quality import AS_OF, messy
+from sentiloom.plans.catalog.c_eval import _SCALAR
+from sentiloom.plans.catalog.c_quality import _ALL, AS_OF, messy
 from sentiloom.plans.catalog.c_text import r6
 from sentiloom.plans.registry import query
 from sentiloom.schemas import POSTS, TABLES
@@ -51,7 +52,8 @@ def _normalize_raw_posts(v):
     return P.normalize_raw_posts(P.read_landing(v.spark, path)).drop("collected_at", "link_flair_text")
 
 
-@query("write_quality_report")
+@query("write_quality_report", _ALL + """
+SELECT count(*) AS total_checks, sum((NOT passed AND severity = 'critical')::INT)::BIGINT AS critical_issues, count(*) AS details FROM checks""", "posts")
 def _write_quality_report(v):
     path = scratch_path(v.spark, "report")
     K.write_quality_report(run_checks(messy(v), AS_OF), path)
@@ -75,10 +77,13 @@ def _high_low_outputs(v):
     return v.spark.read.parquet(path).select("post_id", "band")
 
 
-@query("write_comparison")
+@query("write_comparison", f"""SELECT model, round(accuracy, 6) AS accuracy, round(f1_weighted, 6) AS f1_weighted,
+ round(precision_weighted, 6) AS precision_weighted, round(recall_weighted, 6) AS recall_weighted,
+ f1_weighted = max(f1_weighted) OVER () AS is_best FROM {_SCALAR}""", "scored")
 def _write_comparison(v):
     path = scratch_path(v.spark, "comparison")
     matrix = E.confusion_matrix(v.scored, ["model"])
     rows = E.flatten_metrics(E.classification_metrics(matrix, ["model"]).drop("support"), E.per_class_metrics(matrix, ["model"]), ["model"])
     K.write_comparison(E.compare_models(rows), path)
-    return v.spark.read.option("header", True).csv(path)
+    back = v.spark.read.schema("model string, " + ", ".join(f"{m} double" for m in E.COMPARED) + ", is_best boolean")
+    return back.option("header", True).csv(path).select("model", *r6(*E.COMPARED), "is_best")

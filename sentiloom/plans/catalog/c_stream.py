@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sentiloom.operators.monitoring import rate_limit_decisions
 from sentiloom.plans.catalog.c_models import baseline, part
+from sentiloom.plans.catalog.c_monitor import _ALERTS, _RANGES
 from sentiloom.plans.catalog.c_text import r6
 from sentiloom.plans.registry import query
 from sentiloom.session import scratch_path
@@ -35,7 +36,8 @@ def places(v, name):
     return scratch_path(v.spark, name), scratch_path(v.spark, f"{name}-checkpoint")
 
 
-@query("stream_ingest_quality")
+@query("stream_ingest_quality", """
+SELECT id AS post_id, subreddit, score, make_timestamp((created_utc * 1000000)::BIGINT) AS created_utc FROM raw_posts""", "raw_posts")
 def _stream_ingest_quality(v):
     landing = scratch_path(v.spark, "landing")
     v.raw_posts.write.json(landing)
@@ -110,7 +112,7 @@ def _stream_alert_hold(v):
     return out.select("model_name", F.timestamp_micros("since_us").cast("timestamp_ntz").alias("since"))
 
 
-@query("stream_drift")
+@query("stream_drift", f"WITH {_RANGES} SELECT feature_name, drift_score, threshold, severity FROM ({_ALERTS}) a", "samples")
 def _stream_drift(v):
     new = v.samples.filter("side = 'new'").select("feature", "x")
     reference = v.samples.filter("side = 'ref'").select("feature", "x")

@@ -149,7 +149,16 @@ def _augment_minority_conservative(v):
     return _summary(A.augment_minority_conservative(skewed(v), "cleaned_text"), "auto_label_id")
 
 
-@query("augment_minority_ratio")
+_COPIES = f"""(SELECT post_id, unnest(range(1, 1 + greatest(0, ceil((quota - pos) / n))::BIGINT)) AS copy_no, auto_label_id
+ FROM (SELECT t.post_id, t.y_true AS auto_label_id, q.quota, row_number() OVER (PARTITION BY y_true ORDER BY md5('42|' || post_id), post_id) - 1 AS pos,
+  count(*) OVER (PARTITION BY y_true)::DOUBLE AS n FROM truth t
+  JOIN {_QUOTA.format(want='greatest(0, floor(top * 0.5) - count)')} q ON q.auto_label_id = t.y_true) x) y"""
+
+
+@query("augment_minority_ratio", f"""
+SELECT y_true AS auto_label_id, false AS is_augmented, 'original' AS augmentation_method, count(*) AS count FROM truth GROUP BY y_true
+UNION ALL SELECT auto_label_id, true, (['synonym', 'insertion', 'swap'])[1 + least(2, floor(('0x' || substr(md5('49|' || post_id || '|' || copy_no), 1, 8))::BIGINT::DOUBLE
+ / 4294967296 * 3))::BIGINT] AS m, count(*) FROM {_COPIES} GROUP BY auto_label_id, m""", "truth")
 def _augment_minority_ratio(v):
     return _summary(A.augment_minority_ratio(skewed(v), "cleaned_text"), "auto_label_id")
 

@@ -49,7 +49,7 @@ def _joined(expr):
     return f"array_to_string({expr}, ' ')"
 
 
-_STRIPPED = O.sub("cleaned_text", P.NOT_PLAIN_KEEP_DOLLAR, "")
+PREPROCESSED = _joined(_lemmas(_kept(O.sub(O.clean("cleaned_text"), P.NOT_PLAIN_KEEP_DOLLAR, ""))))
 
 
 @query("remove_stopwords", f"SELECT post_id, {_joined(_kept('cleaned_text'))} AS kept_text FROM {CLEANED}", "posts")
@@ -57,9 +57,7 @@ def _remove_stopwords(v):
     return v.cleaned.select("post_id", X.remove_stopwords(F.col("cleaned_text")).alias("kept_text"))
 
 
-@query("preprocess_text", f"""
-SELECT post_id, {_joined(_lemmas(_kept(O.sub(O.clean('cleaned_text'), P.NOT_PLAIN_KEEP_DOLLAR, ''))))}
- AS preprocessed_text FROM {CLEANED}""", "posts")
+@query("preprocess_text", f"SELECT post_id, {PREPROCESSED} AS preprocessed_text FROM {CLEANED}", "posts")
 def _preprocess_text(v):
     # the table path cleans text that is already clean
     return v.cleaned.select("post_id", X.preprocess_text(F.col("cleaned_text")).alias("preprocessed_text"))

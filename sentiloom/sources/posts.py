@@ -46,12 +46,13 @@ def read_landing(spark: SparkSession, path: str, streaming: bool = False) -> Dat
 
 
 def normalize_raw_posts(raw: DataFrame, collected_at=None) -> DataFrame:
-    """API records to the post table: missing authors, epoch times (UTC), full permalinks."""
+    """API records to the post table: missing authors, epoch times (UTC in any session zone), full permalinks."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     stamp = F.current_timestamp() if collected_at is None else F.lit(collected_at)
     return raw.select(
         F.col("id").alias("post_id"), "title", F.col("selftext").alias("content"),
         F.coalesce("author", F.lit(DELETED)).alias("author"),
-        F.timestamp_seconds("created_utc").cast("timestamp_ntz").alias("created_utc"), "score", "upvote_ratio",
+        (epoch + F.make_dt_interval(secs=F.col("created_utc"))).alias("created_utc"), "score", "upvote_ratio",
         "num_comments", "subreddit", "url", F.concat(F.lit(SITE), F.col("permalink")).alias("permalink"), "is_self",
         "link_flair_text", stamp.cast("timestamp_ntz").alias("collected_at"))
 
