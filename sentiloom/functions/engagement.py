@@ -90,9 +90,11 @@ def temporal_cyclic(df: DataFrame, ts_col: str = "created_utc", production: bool
 
 
 def parse_created(value: Column) -> Column:
-    """Epoch seconds first, then a timestamp string, else null."""
+    """Epoch seconds (UTC) first, then a timestamp string, else null; no session zone is involved."""
     seconds = value.try_cast("double")
-    return F.coalesce(F.timestamp_seconds(seconds), F.try_to_timestamp(value))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    plausible = F.when(F.abs(seconds) < 1e11, seconds)
+    return F.coalesce(epoch + F.make_dt_interval(secs=plausible), F.try_to_timestamp(value).cast("timestamp_ntz"))
 
 
 def text_complexity(df: DataFrame) -> DataFrame:

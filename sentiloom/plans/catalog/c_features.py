@@ -68,12 +68,14 @@ SELECT post_id, form, CASE form WHEN 'text' THEN date_trunc('second', created_ut
  WHEN 'epoch' THEN date_trunc('second', created_utc) END AS parsed
 FROM posts, unnest(['epoch', 'text', 'broken']) t(form)""", "posts")
 def _parse_created(v):
-    second = F.date_trunc("second", "created_utc")
+    second = F.date_trunc("second", "created_utc").cast("timestamp_ntz")
+    since_epoch = F.datediff(second, F.lit("1970-01-01")).cast("bigint") * 86400 + F.hour(second) * 3600 \
+        + F.minute(second) * 60 + F.second(second)
     raw = v.posts.select("post_id", F.explode(F.create_map(
-        F.lit("epoch"), F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp"), second.cast("timestamp")).cast("string"),
+        F.lit("epoch"), since_epoch.cast("string"),
         F.lit("text"), F.date_format(second, "yyyy-MM-dd HH:mm:ss"),
         F.lit("broken"), F.lit("not a time"))).alias("form", "raw"))
-    return raw.select("post_id", "form", E.parse_created(F.col("raw")).cast("timestamp_ntz").alias("parsed"))
+    return raw.select("post_id", "form", E.parse_created(F.col("raw")).alias("parsed"))
 
 
 def polarity_sql(expr, key="post_id", src="posts"):

@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from sentiloom import lexicons as L
 from sentiloom.functions import patterns as P
 from sentiloom.functions import sentiment as S
 from sentiloom.operators import augment as A
 from sentiloom.operators import terms as TM
 from sentiloom.operators import voting as V
 from sentiloom.plans import oracle as O
-from sentiloom.plans.catalog.c_text import CLEANED, r6
+from sentiloom.plans.catalog.c_text import CLEANED, TEXTS, r6
 from sentiloom.plans.registry import query
 
 _WORDS = f"(SELECT post_id, regexp_extract_all(lower(cleaned_text), {O.q(P.TERM)}) AS w FROM {CLEANED})"
@@ -144,7 +145,28 @@ def _summary(df, label):
     return df.groupBy(label, "is_augmented", "augmentation_method").agg(F.count(F.lit(1)).alias("count"))
 
 
-@query("augment_minority_conservative")
+_SYNONYM_WORDS = O.in_list(L.SYNONYMS)
+
+
+def _balanced(labeled, text, changed):
+    """Rows per class, originals and kept copies, for a table expression (post_id, label, text)."""
+    return f"""
+WITH kept AS ({labeled}), counts AS (SELECT label, count(*) AS count, max(count(*)) OVER () AS top FROM kept GROUP BY label),
+ quotas AS (SELECT label, least(greatest(0, floor(top * 0.3) - count), 2 * count) AS quota FROM counts),
+ placed AS (SELECT kept.*, quota, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || post_id), post_id) - 1 AS pos,
+  count(*) OVER (PARTITION BY label)::DOUBLE AS n FROM kept JOIN quotas USING (label)),
+ copies AS (SELECT label, {text}, unnest(range(greatest(0, ceil((quota - pos) / n))::BIGINT)) AS copy_no FROM placed)
+SELECT label AS {{name}}, false AS is_augmented, 'original' AS augmentation_method, count(*) AS count FROM kept GROUP BY label
+UNION ALL SELECT label, true, 'synonym', count(*) FROM copies WHERE {O.n_words(text)} >= 5 AND {changed} GROUP BY label"""
+
+
+def _has_synonym(text):
+    return f"len(list_filter({O.toks(text)}, lambda t: lower(t) IN {_SYNONYM_WORDS})) > 0"
+
+
+@query("augment_minority_conservative", _balanced(
+    f"SELECT s.post_id, y_true AS label, cleaned_text FROM {CLEANED} JOIN truth USING (post_id)", "cleaned_text",
+    _has_synonym("cleaned_text")).replace("{name}", "auto_label_id"), "posts truth")
 def _augment_minority_conservative(v):
     return _summary(A.augment_minority_conservative(skewed(v), "cleaned_text"), "auto_label_id")
 
@@ -182,11 +204,27 @@ def _text_edits(v):
         A.random_swap(t, key).alias("swap"), A.random_deletion(t, key).alias("deletion"))
 
 
-@query("text_mixup")
+def _half(words, who):
+    return f"""list_slice(list_sort(list_transform({words}, lambda x, i: {{'h': md5('42|' || post_id || '|{who}|' || (i - 1)), 'w': x}})),
+ 1, floor(len({words}) * 0.5)::BIGINT)"""
+
+
+@query("text_mixup", f"""
+WITH texts AS (SELECT s.post_id, y_true AS label, {O.toks('cleaned_text')} AS w FROM {CLEANED} JOIN truth USING (post_id)),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || post_id), post_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS n FROM texts),
+ pairs AS (SELECT a.post_id, b.post_id AS partner_id, a.label, a.w AS wa, b.w AS wb FROM placed a JOIN placed b
+  ON a.label = b.label AND a.pos = (b.pos - 1 + b.n) % b.n)
+SELECT post_id, partner_id, label AS auto_label_id, array_to_string(list_transform(list_sort(list_transform(
+ list_concat({_half('wa', 'a')}, {_half('wb', 'b')}), lambda e: {{'h': md5(e.h), 'w': e.w}})), lambda e: e.w), ' ') AS mixed_text FROM pairs""",
+       "posts truth")
 def _text_mixup(v):
     return A.text_mixup(skewed(v), "cleaned_text", "auto_label_id")
 
 
-@query("smart_balance")
+@query("smart_balance", _balanced(f"""
+ SELECT post_id, full_text, CASE WHEN g > b THEN 'positive' WHEN b > g THEN 'negative' ELSE 'neutral' END AS label
+ FROM (SELECT post_id, full_text, {O.present('lower(full_text)', L.HEURISTIC_POSITIVE)} AS g,
+  {O.present('lower(full_text)', L.HEURISTIC_NEGATIVE)} AS b FROM {TEXTS} WHERE length(full_text) > 50) h""", "full_text",
+    f"({_has_synonym('full_text')} OR array_to_string({O.toks('full_text')}, ' ') <> full_text)").replace("{name}", "auto_label"), "posts")
 def _smart_balance(v):
     return _summary(A.smart_balance(v.posts.select("post_id", "title", "content")), "auto_label")
