@@ -138,17 +138,17 @@ _VOTED = f"""(SELECT *, CASE WHEN score_negative >= score_neutral AND score_nega
 
 @query("ensemble_label", f"""
 SELECT post_id, auto_label, CASE auto_label WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 ELSE 2 END AS auto_label_id,
- round(greatest(score_negative, score_neutral, score_positive), 6) AS label_confidence,
- round((CAST(first = auto_label AS INT) + CAST(second = auto_label AS INT) + CAST(third = auto_label AS INT)) / 3.0, 6)
-  AS label_agreement, round(score_negative, 6) AS score_negative, round(score_neutral, 6) AS score_neutral,
- round(score_positive, 6) AS score_positive
+ round(greatest(score_negative, score_neutral, score_positive), 8) AS label_confidence,
+ round((CAST(first = auto_label AS INT) + CAST(second = auto_label AS INT) + CAST(third = auto_label AS INT)) / 3.0, 8)
+  AS label_agreement, round(score_negative, 8) AS score_negative, round(score_neutral, 8) AS score_neutral,
+ round(score_positive, 8) AS score_positive
 FROM {_VOTED}
 UNION ALL SELECT post_id, 'neutral', 1, 0.0, 0.0, 0.0, 1.0, 0.0 FROM ({_ANNOTATED}) a WHERE cleaned_text = ''""",
        "posts model_probs")
 def _ensemble_label(v):
     return S.ensemble_label(annotated(v), text_col="cleaned_text").select(
-        "post_id", "auto_label", "auto_label_id", *r6(
-            "label_confidence", "label_agreement", "score_negative", "score_neutral", "score_positive"))
+        "post_id", "auto_label", "auto_label_id", *[F.round(c, 8).alias(c) for c in (
+            "label_confidence", "label_agreement", "score_negative", "score_neutral", "score_positive")])
 
 
 @query("label_argmax", """
