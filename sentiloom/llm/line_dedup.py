@@ -56,32 +56,37 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         "doc_id", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))).alias("covered"))
 
 
+def _with_covered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_llm_covered`` (null without repeats) and ``_llm_text`` (the text without repeated lines)."""
+    gone = repeated_lines(docs).withColumnsRenamed({"doc_id": "_llm_id", "covered": "_llm_covered"})
+    text = F.col("text").cast("string")
+    # array_except hashes and keeps order, so the texts are rebuilt in linear time
+    rebuilt = _let(F.split(text, "\n", -1), lambda x: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_llm_covered"), lambda i: F.get(x, i)), "\n"))
+    return docs.join(gone, docs["doc_id"] == gone["_llm_id"], "left").drop(gone["_llm_id"]).withColumn(
+        "_llm_text", F.when(F.col("_llm_covered").isNull(), text).otherwise(rebuilt))
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_removed`` and ``deduped``: the text without its repeated lines.
 
     A text with nothing to remove comes back unchanged; null stays null (no lines).  Other columns are carried along; columns of
     the three names are replaced.
     """
-    gone = repeated_lines(docs).withColumnsRenamed({"doc_id": "_id", "covered": "_covered"})
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    # array_except hashes and keeps order, so the texts are rebuilt in linear time
-    rebuilt = _let(lines, lambda x: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_covered"), lambda i: F.get(x, i)), "\n"))
-    out = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
-    return out.withColumns({
-        "n_lines": F.coalesce(F.size(F.when(F.col("text").isNotNull(), lines)), F.lit(0)).cast("long"),
-        "n_removed": F.coalesce(F.size(F.when(F.col("_covered").isNotNull(), F.col("_covered"))), F.lit(0)).cast("long"),
-        "deduped": F.when(F.col("_covered").isNull(), F.col("text").cast("string")).otherwise(rebuilt),
-    }).drop("_id", "_covered")
+    lines = F.size(F.split(F.col("text").cast("string"), "\n", -1))
+    return _with_covered(docs).withColumns({
+        "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(lines).cast("long"),
+        "n_removed": F.when(F.col("_llm_covered").isNull(), F.lit(0)).otherwise(F.size("_llm_covered")).cast("long"),
+        "deduped": F.col("_llm_text"),
+    }).drop("_llm_covered", "_llm_text")
 
 
 def dedup_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated lines leave the texts; every document stays, its n_chars follows its text."""
-    out = line_dedup(docs)
-    new = {"text": F.col("deduped")}
+    new = {"text": F.col("_llm_text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("deduped").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_llm_covered").isNull(), F.col("n_chars")).otherwise(F.length("_llm_text").cast("long"))
+    return _with_covered(docs).withColumns(new).select(*docs.columns)
 
 
 _SQL = r"""

@@ -90,9 +90,9 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share a doc_id share the largest ``taken`` of it.  Columns of the two names are replaced.
     """
-    takes = mixture(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).filter("_taken > 0")
+    takes = mixture(docs).groupBy(F.col("doc_id").alias("_llm_id")).agg(F.max("size").alias("_llm_size"), F.max("taken").alias("_llm_taken")).filter("_llm_taken > 0")
     plain = docs.drop("size", "taken")
-    return plain.join(takes, plain["doc_id"].eqNullSafe(takes["_id"])).drop("_id").withColumnsRenamed({"_size": "size", "_taken": "taken"})
+    return plain.join(takes, plain["doc_id"].eqNullSafe(takes["_llm_id"])).drop("_llm_id").withColumnsRenamed({"_llm_size": "size", "_llm_taken": "taken"})
 
 
 @llm_query("op8_mixing")
