@@ -30,7 +30,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="12g",
-                          spark__ui__showConsoleProgress="false")
+                          spark__ui__showConsoleProgress="false", spark__sentiloom__dealTexts=cpus)
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/documents.parquet").count()  # start the executors
     wanted = sys.argv[1:] or HEADLINE

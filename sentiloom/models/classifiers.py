@@ -9,6 +9,7 @@ import json
 import warnings
 from dataclasses import dataclass, field
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -264,7 +265,7 @@ class Uniform:
 def fit_or_uniform(make, df: DataFrame):
     try:
         return make().fit(df)
-    except Exception as problem:  # a base model that fails must not stop the ensemble
+    except (IllegalArgumentException, ValueError) as problem:  # the data cannot be fitted (no term, one class); anything else stops the job
         warnings.warn(f"base model failed, uniform scores used: {type(problem).__name__}: {problem}", stacklevel=2)
         return Uniform()
 

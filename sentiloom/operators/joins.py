@@ -2,47 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentiloom.session import cut
-
-BROADCAST_ROWS = 200_000  # a dictionary row is a word and a number: a few tens of bytes
-SALTS = 32
-
-
-def _salt_of(rows: DataFrame) -> Column:
-    return F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
-
 
 def dictionary_join(left: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Join word rows with a dictionary of unknown size.
+    """Join word rows with a dictionary of any size.
 
-    Broadcast while the dictionary is known to be small; beyond that the rows are
-    salted, so that a very frequent word is spread over many tasks.
+    No hint and no switch: adaptive execution broadcasts a dictionary it has measured to be small and splits the partition
+    of a very frequent word otherwise.
     """
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(table), on, how)
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("_salt", _salt_of(left)).join(salted, [on, "_salt"], how).drop("_salt")
+    return left.join(table, on, how)
 
 
 def group_join(left: DataFrame, groups: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join a per-group table (one narrow row per group) back to the group's rows.
+    """Join a per-group table (one narrow row per group) back to the group's rows; a null group is a group too.
 
-    The table is frozen first, so that counting it is free.  With few groups it is broadcast
-    and the rows stay where they are; with many, no single group is hot enough to matter
-    unless it is skewed, and the salt takes care of that one.
+    The strategy is left to adaptive execution, as in :func:`dictionary_join`.  Rows may have columns of any type.
     """
     names = {c: f"_k_{c}" for c in on}
-    frozen = cut(groups.withColumnsRenamed(names))
-    if frozen.count() <= BROADCAST_ROWS:
-        same = [left[c].eqNullSafe(frozen[k]) for c, k in names.items()]  # a null group is a group too
-        return left.join(F.broadcast(frozen), same, how).drop(*names.values())
-    salted = frozen.withColumn("_k_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = left.withColumn("_salt", _salt_of(left))
-    same = [spread[c].eqNullSafe(salted[k]) for c, k in {**names, "_salt": "_k_salt"}.items()]
-    return spread.join(salted, same, how).drop("_salt", "_k_salt", *names.values())
+    renamed = groups.withColumnsRenamed(names)
+    same = [left[c].eqNullSafe(renamed[k]) for c, k in names.items()]
+    return left.join(renamed, same, how).drop(*names.values())
 
 
 def join_stats(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
@@ -50,22 +31,20 @@ def join_stats(df: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     return group_join(df, stats, [key], "left")
 
 
-def latest_predictions(predictions: DataFrame, posts: DataFrame) -> DataFrame:
-    """Newest prediction of each post (ties kept) with the post's columns.
+def latest_rank(predictions: DataFrame, upto: int = 1) -> DataFrame:
+    """Rows with a time whose rank by time within the post is at most ``upto``, newest first, ties kept.
 
-    The newest time comes from a pre-aggregated maximum and the join back uses post and
-    time together, so a post with very many predictions is not gathered in one task.
+    Spark limits each group before the shuffle already, so a post with very many predictions is cut where its rows lie.
     """
-    newest = predictions.groupBy("post_id").agg(F.max("predicted_at").alias("predicted_at"))
-    current = predictions.join(newest, ["post_id", "predicted_at"])
-    post_columns = posts.select("post_id", "title", "content", "subreddit", "created_utc")
-    return current.join(post_columns, "post_id")
+    newest = Window.partitionBy("post_id").orderBy(F.desc("predicted_at"))
+    timed = predictions.filter(F.col("predicted_at").isNotNull())
+    return timed.withColumn("latest_rank", F.rank().over(newest)).filter(F.col("latest_rank") <= upto)
 
 
-def latest_rank(predictions: DataFrame) -> DataFrame:
-    """Rows whose rank by time within the post is 1, ties kept."""
-    newest = predictions.groupBy("post_id").agg(F.max("predicted_at").alias("predicted_at"))
-    return predictions.join(newest, ["post_id", "predicted_at"]).withColumn("latest_rank", F.lit(1))
+def latest_predictions(predictions: DataFrame, posts: DataFrame) -> DataFrame:
+    """Newest prediction of each post (ties kept) with the post's columns."""
+    post_columns = posts.select("post_id", "title", "content", "subreddit", "created_utc")
+    return latest_rank(predictions).drop("latest_rank").join(post_columns, "post_id")
 
 
 def orphan_rows(children: DataFrame, parents: DataFrame, key: str = "post_id") -> DataFrame:

@@ -119,8 +119,8 @@ def rolling_mean(df: DataFrame, group: list[str], order_by: list, rows: int, mea
     """Mean of columns over the last ``rows`` rows of each group, ending at the current row.
 
     ``means`` maps an output name to a column.  Each group is cut into blocks of positions
-    and a block also gets copies of the ``rows - 1`` rows before it.  Inside a block the mean
-    is a difference of two running sums, so its cost does not grow with ``rows``.
+    and a block also gets copies of the ``rows - 1`` rows before it, so no group is one task.  Each frame is summed on its
+    own: a NaN or a very large value touches the frames it lies in and no other.
     """
     placed = with_group_position(df, group, order_by, "_pos", "_size").drop("_size")
     pos, reach = F.col("_pos"), max(rows - 1, 0)
@@ -129,16 +129,6 @@ def rolling_mean(df: DataFrame, group: list[str], order_by: list, rows: int, mea
     # a row in the last `reach` positions of its block is also needed by the next one
     targets = F.when(pos % block >= block - reach, F.array(own, own + 1)).otherwise(F.array(own))
     spread = placed.withColumn("_own", own).withColumn("_block", F.explode(targets))
-    order = Window.partitionBy(*group, "_block").orderBy("_pos")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    sums = {}
-    for name, c in means.items():
-        sums[f"_{name}_s"] = F.coalesce(F.sum(c).over(so_far), F.lit(0))
-        sums[f"_{name}_n"] = F.count(F.col(c)).over(so_far)
-
-    def last(name: str) -> Column:
-        return F.col(name) - F.coalesce(F.lag(name, rows).over(order), F.lit(0))
-
-    out = spread.withColumns(sums).withColumns({
-        n: F.try_divide(last(f"_{n}_s").cast("double"), last(f"_{n}_n").cast("double")) for n in means})
-    return out.filter(F.col("_block") == F.col("_own")).drop("_pos", "_own", "_block", *sums)
+    frame = Window.partitionBy(*group, "_block").orderBy("_pos").rowsBetween(-reach, Window.currentRow)
+    out = spread.withColumns({n: F.avg(F.col(c).cast("double")).over(frame) for n, c in means.items()})
+    return out.filter(F.col("_block") == F.col("_own")).drop("_pos", "_own", "_block")

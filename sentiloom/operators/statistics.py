@@ -106,10 +106,12 @@ def samples_per_label(df: DataFrame, n: int = 3, label_col: str = "auto_label",
 
 
 def dedup_keep_first(df: DataFrame, key: str = "post_id", order_by: list[str] = ("run",)) -> DataFrame:
-    """First row per key in arrival order, by a pre-aggregated minimum instead of a window."""
+    """First row per key in arrival order; only the first rows of each task travel (group limit before the shuffle)."""
+    from pyspark.sql import Window
+
     rest = [c for c in df.columns if c != key]
-    first = F.min_by(F.struct(*rest), F.struct(*order_by)).alias("r")
-    return df.groupBy(key).agg(first).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order_by))
+    return df.withColumn("_nth", first).filter("_nth = 1").select(key, *rest)
 
 
 def union_collections(frames: list[DataFrame], key: str = "post_id", order_by: list[str] = ("run",)) -> DataFrame:

@@ -33,12 +33,12 @@ def _write_posts(v):
     return back.select(*_POST_COLS.split(", "), F.col("dt").cast("string").alias("dt"))
 
 
-@query("read_latest_file", "SELECT post_id, 'second' AS run FROM posts", "posts")
+@query("read_latest_file", f"SELECT {_POST_COLS}, 'second' AS run FROM posts", "posts")
 def _read_latest_file(v):
     path = scratch_path(v.spark, "runs")
-    rows = v.posts.select("post_id")
-    rows.withColumn("run", F.lit("first")).coalesce(1).write.parquet(f"{path}/a")
-    rows.withColumn("run", F.lit("second")).coalesce(1).write.parquet(f"{path}/b")
+    rows = v.posts.select(*_POST_COLS.split(", ")).repartition(8, "post_id")  # several part files a run
+    rows.withColumn("run", F.lit("first")).write.parquet(f"{path}/a")
+    rows.withColumn("run", F.lit("second")).write.parquet(f"{path}/b")
     return P.read_latest_file(v.spark, f"{path}/*")
 
 

@@ -82,14 +82,12 @@ def _dashboard_rollups(v):
 
 
 @query("rolling_latency", """
-SELECT prediction_id, model_name, round(avg(t) OVER (PARTITION BY model_name ORDER BY predicted_at, prediction_id
- ROWS BETWEEN 999 PRECEDING AND CURRENT ROW), 6) AS rolling_response FROM (SELECT *, round(response_time_ms * 100)::BIGINT AS t FROM predictions) x""",
-       "predictions")
+SELECT prediction_id, model_name, round(avg(response_time_ms) OVER (PARTITION BY model_name ORDER BY predicted_at, prediction_id
+ ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) + 1e-8, 6) AS rolling_response FROM predictions""", "predictions")
 def _rolling_latency(v):
-    # whole hundredths of a millisecond: their sums are exact in any order
-    slim = v.predictions.select("prediction_id", "model_name", "predicted_at",
-                                F.round(F.col("response_time_ms") * 100).cast("bigint").alias("response_time_ms"))
-    return M.rolling_latency(slim).select("prediction_id", "model_name", F.round("rolling_response_ms", 6).alias("rolling_response"))
+    slim = v.predictions.select("prediction_id", "model_name", "predicted_at", "response_time_ms")
+    # the added 1e-8, on both sides, keeps means that lie exactly between two roundings from hanging on their last bit
+    return M.rolling_latency(slim).select("prediction_id", "model_name", F.round(F.col("rolling_response_ms") + 1e-8, 6).alias("rolling_response"))
 
 
 @query("accuracy_last_100", """

@@ -75,6 +75,19 @@ def _quality_summary(v):
     return Q.quality_summary(Q.run_checks(messy(v), AS_OF))
 
 
+@query("checks_without_ids", """
+WITH rows AS (SELECT title, content, subreddit, score FROM posts UNION ALL SELECT title, content, subreddit, score FROM posts WHERE score > 50)
+SELECT 'column_completeness' AS metric_name, false AS passed, 0.0::DOUBLE AS metric_value, 'critical' AS severity
+UNION ALL SELECT 'duplicate_rate', r <= 0.05, round(r, 6), CASE WHEN r <= 0.05 THEN 'info' WHEN r < 0.10 THEN 'warning' ELSE 'critical' END
+ FROM (SELECT 1 - (SELECT count(*) FROM (SELECT DISTINCT * FROM rows) d)::DOUBLE / count(*) AS r FROM rows) x
+UNION ALL SELECT 'data_freshness', false, NULL, 'critical'""", "posts")
+def _checks_without_ids(v):
+    slim = v.posts.select("title", "content", "subreddit", "score")
+    checks = Q.run_checks(slim.unionByName(slim.filter("score > 50")), AS_OF)
+    return checks.filter(F.col("metric_name").isin("column_completeness", "duplicate_rate", "data_freshness")).select(
+        "metric_name", "passed", *r6("metric_value"), "severity")
+
+
 @query("severity_grade", _ALL + """
 SELECT metric_name, severity, CASE WHEN passed THEN 'passed' WHEN severity = 'warning' THEN 'warning' ELSE 'failed' END AS status
 FROM checks""", "posts")

@@ -149,14 +149,16 @@ TABLES = ("documents", "events", "labels")
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
+DEAL = "spark.sentiloom.dealTexts"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out when the scan has fewer splits than there are cores.
+    """Deal text rows out to as many tasks as the session asks for, and not at all unless it does.
 
-    A file of one row group is a single task, and text work is heavy per row.  Large
-    inputs have plenty of splits and pass through untouched.
+    Meant for the small given files of one row group; real tables have plenty of splits.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = int(df.sparkSession.conf.get(DEAL, "0"))
+    return df.repartition(parts) if parts else df
 
 
 def _closure(names) -> list[str]:

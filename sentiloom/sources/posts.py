@@ -20,23 +20,27 @@ def read_posts_csv(spark: SparkSession, path: str, schema: T.StructType = POSTS)
     )
 
 
-def read_latest_file(spark: SparkSession, pattern: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
-    """Rows of the newest file matching a glob.
+def latest_run(spark: SparkSession, pattern: str) -> str | None:
+    """The newest run matching a glob: the folder of the newest part file, or the file itself if it lies bare.
 
-    The newest time is found from file metadata alone; the second scan reads that file only,
-    because Spark prunes files by a literal on ``_metadata``.
+    A run that Spark wrote is a folder of part files.  Only the file listing is read, no content.
     """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(pattern).select("path", "modificationTime")
+    name = F.element_at(F.split("path", "/"), -1)
+    run = F.when(name.startswith("part-"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path"))
+    data = files.filter(~name.startswith("_") & ~name.startswith("."))
+    newest = data.groupBy(run.alias("run")).agg(F.max("modificationTime").alias("t")).agg(F.max(F.struct("t", "run")).alias("m")).first()["m"]
+    return newest["run"] if newest else None
+
+
+def read_latest_file(spark: SparkSession, pattern: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """All rows of the newest run matching a glob (see :func:`latest_run`)."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
-    rows = reader.load(pattern)
-    newest = rows.select(F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("p")) \
-        .agg(F.max(F.struct("t", "p")).alias("m")).first()["m"]
-    if newest is None:
-        return rows
-    return rows.filter(F.col("_metadata.file_path") == newest["p"])
+    return reader.load(latest_run(spark, pattern) or pattern)
 
 
 def read_landing(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:

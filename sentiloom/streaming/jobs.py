@@ -2,8 +2,8 @@
 
 Every job takes a streaming DataFrame, a target folder and a checkpoint folder and
 runs until the input seen at its start is used up (``availableNow``), so a scheduler
-can start it again at any interval.  Batch outputs are written under their batch number,
-so a repeated batch replaces itself.
+can start it again at any interval.  Batch outputs are written under the query's id and their batch number: a repeated batch
+replaces itself, a new checkpoint replaces nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from sentiloom.session import STATE_STORE
 from sentiloom.sources.posts import normalize_raw_posts
 from sentiloom.sources.sinks import write_quality_metrics
 
-LATENESS = "1 hour"
+LATENESS = "1 hour"  # default bound; every job takes its own
 
 
 @contextmanager
@@ -38,23 +38,33 @@ def rocksdb_state(spark: SparkSession):
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    with rocksdb_state(stream.sparkSession):
-        started = (stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint)
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int, str], None], checkpoint: str, mode: str = "append") -> int:
+    """Run until the input is used up; returns how many rows came too late for the watermark.
+
+    ``handle`` gets the batch, its number and the query's id, which a new checkpoint changes and a restart keeps.
+    """
+    spark, names = stream.sparkSession, {}
+
+    def numbered(batch: DataFrame, number: int) -> None:
+        handle(batch, number, names.setdefault("run", batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")))
+
+    with rocksdb_state(spark):
+        started = (stream.writeStream.foreachBatch(numbered).outputMode(mode).option("checkpointLocation", checkpoint)
                    .trigger(availableNow=True).start())
         started.awaitTermination()
+    return sum(state.numRowsDroppedByWatermark for p in started.recentProgress for state in p.stateOperators)
 
 
-def to_folder(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+def to_folder(stream: DataFrame, target: str, checkpoint: str, mode: str = "append") -> int:
+    def write(batch: DataFrame, number: int, run: str) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
 
-    run_batches(stream, write, checkpoint, mode)
+    return run_batches(stream, write, checkpoint, mode)
 
 
 def final_state(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
-    """Newest row per key of an update-mode output."""
-    rows = spark.read.parquet(target)
+    """Newest row per key of an update-mode output of one run."""
+    rows = spark.read.parquet(target).drop("run")
     rest = [c for c in rows.columns if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
     return newest.select(*keys, "r.*").drop("batch")
@@ -67,25 +77,25 @@ class CriticalQuality(RuntimeError):
 def stream_ingest_quality(raw: DataFrame, target: str, checkpoint: str, as_of: str) -> None:
     """Normalise landed records, check each batch, write posts and the metric log; stop on a critical check."""
 
-    def handle(batch: DataFrame, number: int) -> None:
+    def handle(batch: DataFrame, number: int, run: str) -> None:
         posts = normalize_raw_posts(batch, as_of).persist()
         checks = run_checks(posts, as_of).persist()
         append = checks.withColumn("batch", F.lit(number))
-        append.write.mode("overwrite").parquet(f"{target}/checks/batch={number}")
+        append.write.mode("overwrite").parquet(f"{target}/checks/run={run}/batch={number}")
         if not checks.filter(~F.col("passed") & (F.col("severity") == "critical")).isEmpty():
             raise CriticalQuality(f"batch {number}: critical quality check failed")
-        posts.write.mode("overwrite").parquet(f"{target}/posts/batch={number}")
-        write_quality_metrics(checks, str(number), as_of, f"{target}/quality_metrics")
+        posts.write.mode("overwrite").parquet(f"{target}/posts/run={run}/batch={number}")
+        write_quality_metrics(checks, f"{run}-{number}", as_of, f"{target}/quality_metrics")
         checks.unpersist()
         posts.unpersist()
 
     run_batches(raw, handle, checkpoint)
 
 
-def stream_dedup(posts: DataFrame, target: str, checkpoint: str) -> None:
+def stream_dedup(posts: DataFrame, target: str, checkpoint: str, lateness: str = LATENESS) -> int:
     """First occurrence of each post id within the lateness bound (``created_utc`` is a timestamp)."""
-    once = posts.withWatermark("created_utc", LATENESS).dropDuplicatesWithinWatermark(["post_id"])
-    to_folder(once, target, checkpoint)
+    once = posts.withWatermark("created_utc", lateness).dropDuplicatesWithinWatermark(["post_id"])
+    return to_folder(once, target, checkpoint)
 
 
 def stream_live_feed(posts: DataFrame, score: Callable[[DataFrame], DataFrame], subreddits: list[str], min_confidence: float,
@@ -98,26 +108,26 @@ def stream_live_feed(posts: DataFrame, score: Callable[[DataFrame], DataFrame],
     to_folder(feed, target, checkpoint, "complete")
 
 
-def stream_hourly_metrics(log: DataFrame, target: str, checkpoint: str, width: str = "1 hour") -> None:
-    """Tumbling metrics per model; updates carry the state so far, late calls beyond the bound are dropped."""
+def stream_hourly_metrics(log: DataFrame, target: str, checkpoint: str, width: str = "1 hour", lateness: str = LATENESS) -> int:
+    """Tumbling metrics per model; updates carry the state so far.  Returns the calls that came after the bound."""
     counted = (
-        log.withWatermark("predicted_at", LATENESS).groupBy(F.window("predicted_at", width).alias("w"), "model_name")
+        log.withWatermark("predicted_at", lateness).groupBy(F.window("predicted_at", width).alias("w"), "model_name")
         .agg(F.count(F.lit(1)).alias("predictions"), F.avg("response_time_ms").alias("avg_response_time_ms"),
              F.count_if(~F.col("success")).alias("error_count"),
              *[F.count_if(F.col("success") & (F.col("sentiment_label") == x)).alias(x) for x in ("negative", "neutral", "positive")])
     )
-    to_folder(counted.select(F.col("w.start").alias("slot"), *[c for c in counted.columns if c != "w"]), target, checkpoint, "update")
+    return to_folder(counted.select(F.col("w.start").alias("slot"), *[c for c in counted.columns if c != "w"]), target, checkpoint, "update")
 
 
-def stream_sliding_rates(log: DataFrame, target: str, checkpoint: str) -> None:
+def stream_sliding_rates(log: DataFrame, target: str, checkpoint: str, lateness: str = LATENESS) -> int:
     """Error share and p95 latency over the last 5 minutes, every 30 seconds."""
     slid = (
-        log.withWatermark("predicted_at", LATENESS).groupBy(F.window("predicted_at", "5 minutes", "30 seconds").alias("w"))
+        log.withWatermark("predicted_at", lateness).groupBy(F.window("predicted_at", "5 minutes", "30 seconds").alias("w"))
         .agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("success")).alias("errors"),
              F.percentile_approx("response_time_ms", 0.95).alias("p95_ms"))
     )
     rates = slid.select(F.col("w.start").alias("slot"), "calls", "errors", (F.col("errors") / F.col("calls")).alias("error_rate"), "p95_ms")
-    to_folder(rates, target, checkpoint, "update")
+    return to_folder(rates, target, checkpoint, "update")
 
 
 class RateLimiter(StatefulProcessor):
@@ -152,12 +162,12 @@ class RateLimiter(StatefulProcessor):
         pass
 
 
-def stream_rate_limit(calls: DataFrame, target: str, checkpoint: str) -> None:
-    timed = calls.withWatermark("ts", LATENESS).select("request_id", "client", "ts", F.unix_micros("ts").alias("us"))
+def stream_rate_limit(calls: DataFrame, target: str, checkpoint: str, lateness: str = LATENESS) -> int:
+    timed = calls.withWatermark("ts", lateness).select("request_id", "client", "ts", F.unix_micros("ts").alias("us"))
     decided = timed.groupBy("client").transformWithStateInPandas(
         statefulProcessor=RateLimiter(), outputStructType="request_id bigint, client string, accepted boolean",
         outputMode="Append", timeMode="EventTime")
-    to_folder(decided, target, checkpoint)
+    return to_folder(decided, target, checkpoint)
 
 
 class AlertHold(StatefulProcessor):
@@ -190,22 +200,23 @@ class AlertHold(StatefulProcessor):
         pass
 
 
-def stream_alert_hold(series: DataFrame, condition, hold_seconds: int, step_seconds: int, target: str, checkpoint: str) -> None:
+def stream_alert_hold(series: DataFrame, condition, hold_seconds: int, step_seconds: int, target: str, checkpoint: str,
+                      lateness: str = LATENESS) -> int:
     """``series`` has model_name, slot (timestamp) and the columns ``condition`` reads."""
-    marked = series.withWatermark("slot", LATENESS).select(
+    marked = series.withWatermark("slot", lateness).select(
         "model_name", "slot", F.unix_micros("slot").alias("us"), F.coalesce(condition, F.lit(False)).alias("is_on"))
     fired = marked.groupBy("model_name").transformWithStateInPandas(
         statefulProcessor=AlertHold(hold_seconds, step_seconds),
         outputStructType="model_name string, since_us bigint, fired_us bigint", outputMode="Append", timeMode="None")
-    to_folder(fired, target, checkpoint)
+    return to_folder(fired, target, checkpoint)
 
 
 def stream_drift(new_samples: DataFrame, reference: DataFrame, as_of: str, target: str, checkpoint: str) -> None:
     """Drift alerts of each batch against a reference table (feature, x)."""
     ref = reference.select("feature", F.lit("ref").alias("side"), "x")
 
-    def handle(batch: DataFrame, number: int) -> None:
+    def handle(batch: DataFrame, number: int, run: str) -> None:
         samples = ref.unionByName(batch.select("feature", F.lit("new").alias("side"), "x"))
-        drift.drift_alerts(samples, as_of).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        drift.drift_alerts(samples, as_of).write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
 
     run_batches(new_samples, handle, checkpoint)

@@ -91,13 +91,22 @@ def test_scorer_falls_back_to_neutral(spark):
 def test_failed_base_model_gives_uniform_scores(spark):
     class Broken:
         def fit(self, df):
-            raise RuntimeError("no")
+            raise ValueError("one class")
 
     with pytest.warns(UserWarning):
         model = C.fit_or_uniform(Broken, spark.range(1))
     assert model.transform(spark.range(1)).first()["p_neutral"] == pytest.approx(1 / 3)
 
 
+def test_a_lost_executor_is_not_a_data_error(spark):
+    class Lost:
+        def fit(self, df):
+            raise RuntimeError("executor lost")
+
+    with pytest.raises(RuntimeError):
+        C.fit_or_uniform(Lost, None)
+
+
 def test_invariants_of_rows_only_queries(spark):
     limiter = CATALOG["stream_rate_limit"](spark, SMALL)
     assert limiter.filter(~F.col("accepted").eqNullSafe(F.col("stream_accepted"))).count() == 0
@@ -126,6 +135,19 @@ def test_limiter_over_several_batches(spark):
     assert not all(streamed.values())
 
 
+def test_late_rows_are_counted_and_the_bound_is_a_parameter(spark):
+    times = [1704067200, 1704067200 + 86_400, 1704067200 + 90_000, 1704067200 + 60]
+    for lateness, late in (("1 hour", 1), ("3 days", 0)):
+        source, target, checkpoint = (scratch_path(spark, n) for n in ("late", "late-out", "late-cp"))
+        dropped = []
+        for i, t in enumerate(times):
+            one = spark.createDataFrame([(f"p{i}", t)], "post_id string, t long").select("post_id", F.timestamp_seconds("t").alias("created_utc"))
+            one.write.mode("append").parquet(source)
+            dropped.append(J.stream_dedup(spark.readStream.schema(one.schema).parquet(source), target, checkpoint, lateness))
+        assert sum(dropped) == late and spark.read.parquet(target).count() == 4 - late
+    assert [r.run.count("-") for r in spark.read.parquet(target).select("run").distinct().collect()] == [4]  # the query id
+
+
 def test_critical_batch_stops_the_ingest(spark):
     bad = spark.createDataFrame([("1", None, None)] * 20, "id string, title string, selftext string")
     landing, target, checkpoint = (scratch_path(spark, n) for n in ("bad", "bad-out", "bad-cp"))

@@ -72,23 +72,50 @@ def test_rate_limiter(spark):
         assert seen[rid] == sum(1 for _, c, t in calls if c == client and us - 60_000_000 <= t <= us)
 
 
-def test_dictionary_join_both_ways(spark, monkeypatch):
-    left = spark.createDataFrame([(i, random.Random(i).choice(["the", "the", "moon", "x"])) for i in range(500)], "id int, word string")
-    table = spark.createDataFrame([("the", 1.0), ("moon", 2.0)], "word string, v double")
-    small = sorted(map(tuple, joins.dictionary_join(left, table, "word", "left").select("id", "word", "v").collect()), key=str)
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
-    large = sorted(map(tuple, joins.dictionary_join(left, table, "word", "left").select("id", "word", "v").collect()), key=str)
-    assert small == large and len(small) == 500
-
-
-def test_group_join_both_ways_with_a_null_group(spark, monkeypatch):
-    left = spark.createDataFrame([(None if i % 7 == 0 else i % 3, i) for i in range(60)], "g int, id int")
-    groups = left.groupBy("g").agg(F.count("*").alias("n"))
-    small = sorted(map(str, joins.group_join(left, groups, ["g"]).collect()))
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
-    large = sorted(map(str, joins.group_join(left, groups, ["g"]).collect()))
-    assert small == large and len(small) == 60
-    assert joins.group_join(left, groups, ["g"]).columns == ["g", "id", "n"]
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_joins_with_and_without_broadcast_a_null_group_and_a_map_column(spark, limit):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        words = spark.createDataFrame([(i, random.Random(i).choice(["the", "the", "moon", "x"])) for i in range(500)], "id int, word string")
+        table = spark.createDataFrame([("the", 1.0), ("moon", 2.0)], "word string, v double")
+        got = joins.dictionary_join(words, table, "word", "left").select("id", "word", "v").collect()
+        assert len(got) == 500 and all(r.v == {"the": 1.0, "moon": 2.0}.get(r.word) for r in got)
+        left = spark.createDataFrame([(None if i % 7 == 0 else i % 3, i, {"a": i}) for i in range(60)], "g int, id int, m map<string,int>")
+        groups = left.groupBy("g").agg(F.count("*").alias("n"))
+        out = joins.group_join(left, groups, ["g"])
+        assert out.columns == ["g", "id", "m", "n"] and out.count() == 60
+        assert {(r.g, r.n) for r in out.collect()} == {(r.g, r.n) for r in groups.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rolling_mean_keeps_nan_and_large_values_to_their_frames(spark):
+    xs = [0.1, 0.1, float("nan"), 0.1, 0.1, 1e17, 0.1, 0.1, 0.1, 0.1]
+    df = spark.createDataFrame([(0, i, x) for i, x in enumerate(xs)], "g int, id int, x double")
+    got = [r.m for r in ranking.rolling_mean(df, ["g"], ["id"], 2, {"m": "x"}, block=4).orderBy("id").collect()]
+    assert [i for i, m in enumerate(got) if m != m] == [2, 3] and got[4] == pytest.approx(0.1) and got[8] == got[9] == pytest.approx(0.1)
+
+
+def test_latest_rank_up_to(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 3), ("a", 3), ("a", 2), ("b", None)], "post_id string, predicted_at int")
+    assert sorted(r.latest_rank for r in joins.latest_rank(df, 3).collect()) == [1, 1, 3]
+    assert "WindowGroupLimit" in joins.latest_rank(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_latest_run_is_whole(spark, tmp_path):
+    import os
+    import time
+
+    from sentiloom.sources.posts import latest_run, read_latest_file
+
+    df = spark.range(100).repartition(8, "id")
+    df.write.parquet(f"{tmp_path}/new")
+    df.limit(3).write.parquet(f"{tmp_path}/old")
+    past = time.time() - 5000
+    for name in os.listdir(tmp_path / "old"):
+        os.utime(tmp_path / "old" / name, (past, past))
+    assert latest_run(spark, f"{tmp_path}/*").endswith("/new") and read_latest_file(spark, f"{tmp_path}/*").count() == 100
 
 
 def test_splits_and_folds(spark):
