@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentiloom.operators.ranking import running_totals
+from sentiloom.session import cut
 
 # fixed values
 KS_P, KS_CRITICAL, PSI_LIMIT, PSI_CRITICAL, BINS, EMPTY_SHARE, MIN_NEW = 0.05, 0.01, 0.1, 0.25, 10, 0.0001, 10
@@ -45,15 +46,33 @@ def _edges(lo: Column, hi: Column, bins: int) -> Column:
     return F.array(*[lo + width * i for i in range(1, bins)])
 
 
+def value_counts(samples: DataFrame) -> DataFrame:
+    """How often each side has each value: rows (feature, x, r, n), all that PSI and KS need."""
+    return _valid(samples).groupBy("feature", "x").agg(
+        F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "new").alias("n"))
+
+
+def merge_counts(*counts: DataFrame) -> DataFrame:
+    """Counts of several batches added up."""
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("feature", "x").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
+
+
 def psi(samples: DataFrame, bins: int = BINS) -> DataFrame:
+    """Population stability index per feature (see :func:`psi_of_counts`)."""
+    return psi_of_counts(value_counts(samples), bins)
+
+
+def psi_of_counts(values: DataFrame, bins: int = BINS) -> DataFrame:
     """Population stability index per feature.
 
     Bins are equal-width over the reference range, the last one closed; new values outside
     the range fall in no bin but stay in the denominator; an empty share counts as 0.0001.
     A bin empty on both sides adds nothing, so no bin grid is needed.
     """
-    valid = _valid(samples)
-    ranges = valid.filter(F.col("side") == "ref").groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ranges = values.filter(F.col("r") > 0).groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     flat = F.col("lo") == F.col("hi")
     ranges = ranges.select("feature", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
                            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
@@ -61,9 +80,8 @@ def psi(samples: DataFrame, bins: int = BINS) -> DataFrame:
     index = sum(((F.col("x") >= F.col("edges")[i]).cast("int") for i in range(bins - 1)), F.lit(0))
     inside = F.col("x").between(F.col("lo"), F.col("hi"))
     # one row per feature, and features are column names
-    binned = valid.join(F.broadcast(ranges), "feature").select(
-        "feature", F.when(inside, index).alias("bin"), (F.col("side") == "ref").alias("is_ref"))
-    counts = binned.groupBy("feature", "bin").agg(F.count_if("is_ref").alias("r"), F.count_if(~F.col("is_ref")).alias("n"))
+    binned = values.join(F.broadcast(ranges), "feature").select("feature", F.when(inside, index).alias("bin"), "r", "n")
+    counts = binned.groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("n").alias("n"))
     # at most bins + 1 rows per feature
     per_feature = Window.partitionBy("feature")
     counts = counts.withColumns({"rt": F.sum("r").over(per_feature), "nt": F.sum("n").over(per_feature)})
@@ -91,9 +109,11 @@ def ks_p_value(statistic: Column, n_ref: Column, n_new: Column) -> Column:
 
 def ks_two_sample(samples: DataFrame) -> DataFrame:
     """Largest distance of the two empirical distributions per feature, with its p-value."""
-    counts = _valid(samples).groupBy("feature", "x").agg(
-        F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "new").alias("n"))
-    runs = running_totals(counts, ["feature"], ["x"], ["r", "n"])
+    return ks_of_counts(value_counts(samples))
+
+
+def ks_of_counts(values: DataFrame) -> DataFrame:
+    runs = running_totals(values, ["feature"], ["x"], ["r", "n"])
     gap = F.abs(F.try_divide(F.col("cum_r").cast("double"), F.col("all_r").cast("double"))
                 - F.try_divide(F.col("cum_n").cast("double"), F.col("all_n").cast("double")))
     out = runs.groupBy("feature").agg(F.max(gap).alias("ks"), F.max("all_r").alias("n_ref"), F.max("all_n").alias("n_new"))
@@ -101,14 +121,18 @@ def ks_two_sample(samples: DataFrame) -> DataFrame:
 
 
 def drift_alerts(samples: DataFrame, as_of: str) -> DataFrame:
-    """KS and PSI alerts; features with fewer than ten new values are skipped."""
+    """KS and PSI alerts; features with fewer than ten new values are skipped.  The samples are read once."""
+    return alerts_of_counts(cut(value_counts(samples)), as_of)
+
+
+def alerts_of_counts(values: DataFrame, as_of: str) -> DataFrame:
     at = F.lit(as_of).cast("timestamp_ntz").alias("timestamp")
     p, s = F.col("p_value"), F.col("psi")
-    ks = ks_two_sample(samples).filter((F.col("n_new") >= MIN_NEW) & (p < KS_P)).select(
+    ks = ks_of_counts(values).filter((F.col("n_new") >= MIN_NEW) & (p < KS_P)).select(
         at, F.col("feature").alias("feature_name"), F.col("ks").alias("drift_score"), F.lit(KS_P).alias("threshold"),
         F.when(p < KS_CRITICAL, "critical").otherwise("warning").alias("severity"),
         F.format_string("KS test detected drift in %s (p-value: %.4f)", "feature", "p_value").alias("message"))
-    shifts = psi(samples).filter((F.col("n_new") >= MIN_NEW) & (s > PSI_LIMIT)).select(
+    shifts = psi_of_counts(values).filter((F.col("n_new") >= MIN_NEW) & (s > PSI_LIMIT)).select(
         at, F.col("feature").alias("feature_name"), F.col("psi").alias("drift_score"), F.lit(PSI_LIMIT).alias("threshold"),
         F.when(s > PSI_CRITICAL, "critical").otherwise("warning").alias("severity"),
         F.format_string("PSI detected drift in %s (score: %.4f)", "feature", "psi").alias("message"))

@@ -49,12 +49,12 @@ def _tfidf_sublinear(v):
 
 _VOCAB = f"""(SELECT word, count, row_number() OVER (ORDER BY count DESC, word) + 1 AS token_id FROM (
  SELECT word, count(*) AS count FROM (SELECT unnest({O.toks('lower(cleaned_text)')}) AS word FROM {CLEANED}) t GROUP BY word
- ORDER BY count DESC, word LIMIT 1998) c)"""
+ ORDER BY count DESC, word LIMIT 9998) c)"""
 
 
 @query("vocab_count", f"SELECT word, count, token_id FROM {_VOCAB} v", "posts")
 def _vocab_count(v):
-    return TM.vocab_count(v.cleaned, "cleaned_text", 2000)
+    return TM.vocab_count(v.cleaned, "cleaned_text")
 
 
 @query("token_ids", f"""
@@ -63,7 +63,7 @@ FROM posts LEFT JOIN (SELECT post_id, list(coalesce(token_id, 1) ORDER BY pos) A
  SELECT post_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT post_id, {O.toks('lower(cleaned_text)')}[1:200] AS ws FROM {CLEANED}) a) b
  LEFT JOIN {_VOCAB} v USING (word) GROUP BY post_id) c USING (post_id)""", "posts")
 def _token_ids(v):
-    vocabulary = TM.vocab_count(v.cleaned, "cleaned_text", 2000)
+    vocabulary = TM.vocab_count(v.cleaned, "cleaned_text")
     ids = TM.token_ids(v.cleaned, "cleaned_text", vocabulary)
     return ids.select("post_id", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ").alias("token_ids"))
 

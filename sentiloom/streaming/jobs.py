@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from sentiloom.operators import drift, frames, monitoring
 from sentiloom.operators.monitoring import CALLS, PERIOD_SECONDS, admit
 from sentiloom.operators.quality import run_checks
-from sentiloom.session import STATE_STORE
+from sentiloom.session import STATE_STORE, cut
 from sentiloom.sources.posts import normalize_raw_posts
 from sentiloom.sources.sinks import write_quality_metrics
 
@@ -212,11 +212,11 @@ def stream_alert_hold(series: DataFrame, condition, hold_seconds: int, step_seco
 
 
 def stream_drift(new_samples: DataFrame, reference: DataFrame, as_of: str, target: str, checkpoint: str) -> None:
-    """Drift alerts of each batch against a reference table (feature, x)."""
-    ref = reference.select("feature", F.lit("ref").alias("side"), "x")
+    """Drift alerts of each batch against a reference table (feature, x), which is counted once."""
+    known = cut(drift.value_counts(reference.select("feature", F.lit("ref").alias("side"), "x")))
 
     def handle(batch: DataFrame, number: int, run: str) -> None:
-        samples = ref.unionByName(batch.select("feature", F.lit("new").alias("side"), "x"))
-        drift.drift_alerts(samples, as_of).write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
+        added = drift.value_counts(batch.select("feature", F.lit("new").alias("side"), "x"))
+        drift.alerts_of_counts(cut(drift.merge_counts(known, added)), as_of).write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
 
     run_batches(new_samples, handle, checkpoint)
