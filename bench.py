@@ -25,7 +25,7 @@ HEADLINE = [
 def main() -> None:
     from sentiloom.plans import catalog  # noqa: F401
     from sentiloom.plans.registry import CATALOG
-    from sentiloom.session import build_session
+    from sentiloom.session import build_session, clear_scratch
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -39,6 +39,7 @@ def main() -> None:
         start = time.perf_counter()
         CATALOG[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        clear_scratch(spark)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
 

@@ -69,6 +69,53 @@ def _typed_tables(v):
     return v.spark.read.schema(TABLES["predictions"]).parquet(path).drop("probabilities")
 
 
+def _typed(v, df, table):
+    path = scratch_path(v.spark, table)
+    K.write_declared(df, table, path)
+    return v.spark.read.schema(TABLES[table]).parquet(path)
+
+
+@query("typed_probabilities", """
+SELECT prediction_id % 1000 AS slot, count(*) AS n, round(sum(confidence_score), 6) AS total FROM predictions GROUP BY 1""", "predictions")
+def _typed_probabilities(v):
+    # the map column comes back whole: its one entry holds the confidence
+    rows = v.predictions.withColumn("probabilities", F.create_map("sentiment_label", "confidence_score")).withColumn("model_version", F.col("prediction_id").cast("string"))
+    back = _typed(v, rows, "predictions")
+    return back.groupBy((F.col("model_version").cast("bigint") % 1000).alias("slot")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.element_at("probabilities", F.col("sentiment_label"))), 6).alias("total"))
+
+
+@query("typed_posts", f"SELECT {_POST_COLS} FROM posts", "posts")
+def _typed_posts(v):
+    return _typed(v, v.posts, "posts").select(*_POST_COLS.split(", "))
+
+
+@query("typed_text_features", """
+SELECT post_id, lower(content) AS cleaned_text, length(content)::INT AS text_length, len(regexp_extract_all(content, '[^ ]+'))::INT AS word_count,
+ score / 4.0::DOUBLE AS sentiment_polarity, NULL::DOUBLE AS sentiment_subjectivity, subreddit AS language, created_utc AS processed_at FROM posts""", "posts")
+def _typed_text_features(v):
+    return _typed(v, v.posts.select(
+        "post_id", F.lower("content").alias("cleaned_text"), F.length("content").alias("text_length"), F.regexp_count("content", F.lit("[^ ]+")).alias("word_count"),
+        (F.col("score") / 4).alias("sentiment_polarity"), F.col("subreddit").alias("language"), F.col("created_utc").alias("processed_at")), "text_features")
+
+
+@query("typed_performance_metrics", """
+SELECT model_name, 'v1' AS model_version, 'avg_confidence' AS metric_name, round(avg(confidence_score), 6) AS metric_value, 'test' AS dataset_type,
+ max(predicted_at) AS recorded_at FROM predictions GROUP BY 1""", "predictions")
+def _typed_performance_metrics(v):
+    rows = v.predictions.groupBy("model_name").agg(F.round(F.avg("confidence_score"), 6).alias("metric_value"), F.max("predicted_at").alias("recorded_at"))
+    return _typed(v, rows.withColumns({"model_version": F.lit("v1"), "metric_name": F.lit("avg_confidence"), "dataset_type": F.lit("test")}), "performance_metrics")
+
+
+@query("typed_quality_metrics", _ALL + f"""
+SELECT 'b7' AS batch_id, metric_name, round(metric_value, 6) AS metric_value, threshold AS threshold_value,
+ CASE WHEN passed THEN 'passed' WHEN severity = 'warning' THEN 'warning' ELSE 'failed' END AS status, TIMESTAMP '{AS_OF}' AS recorded_at FROM checks""", "posts")
+def _typed_quality_metrics(v):
+    path = scratch_path(v.spark, "quality-metrics")
+    K.write_quality_metrics(run_checks(messy(v), AS_OF), "b7", AS_OF, path)
+    return v.spark.read.schema(TABLES["quality_metrics"]).parquet(path).drop("batch").withColumn("metric_value", F.round("metric_value", 6))
+
+
 @query("high_low_outputs", """
 SELECT post_id, CASE WHEN label_confidence >= 0.6 AND label_agreement >= 0.67 THEN 'high' ELSE 'low' END AS band FROM labeled""", "labeled")
 def _high_low_outputs(v):

@@ -17,6 +17,9 @@ def spark():
                             spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from sentiloom.session import clear_scratch
+
+    clear_scratch(session)
     session.stop()
 
 
