@@ -13,11 +13,23 @@ from sentiloom.sources.posts import read_landing
 from sentiloom.streaming import jobs as J
 
 
-def streamed(v, df, name):
-    """Write a derived table to the shared folder and open it as a stream."""
+WHOLE = "3650 days"  # a bound beyond the table's times, where every row counts
+
+
+def streamed(v, df, name, files=1):
+    """Write a derived table to the shared folder and open it as a stream of one micro-batch per file."""
+    path = scratch_path(v.spark, name)
+    (df.repartition(files) if files > 1 else df).write.parquet(path)
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1 if files > 1 else 1000).parquet(path)
+
+
+def streamed_in_order(v, df, name, by, cuts):
+    """The same, one file per stretch of ``by``, oldest first."""
     path = scratch_path(v.spark, name)
-    df.write.parquet(path)
-    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df if low is None else df.filter(F.col(by) >= F.lit(low).cast("timestamp"))
+        (part if high is None else part.filter(F.col(by) < F.lit(high).cast("timestamp"))).coalesce(1).write.mode("append").parquet(path)
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def event_stream(v):
@@ -51,7 +63,7 @@ def _stream_dedup(v):
     rows = v.collections.select("post_id", "run").join(v.posts.select("post_id", "created_utc"), "post_id")
     rows = rows.withColumn("created_utc", F.col("created_utc").cast("timestamp"))
     target, checkpoint = places(v, "dedup")
-    J.stream_dedup(streamed(v, rows, "dedup-source"), target, checkpoint)
+    J.stream_dedup(streamed(v, rows, "dedup-source", 3), target, checkpoint, WHOLE)
     return v.spark.read.parquet(target).select("post_id")
 
 
@@ -62,7 +74,7 @@ def _stream_live_feed(v):
     model = baseline(v, max_iter=15).fit(part(v, "train"))
     posts = v.cleaned.select("post_id", "subreddit", "full_text", "cleaned_text")
     target, checkpoint = places(v, "feed")
-    J.stream_live_feed(streamed(v, posts, "feed-source"), lambda df: threshold_classifier(model.transform(df), "full_text"),
+    J.stream_live_feed(streamed(v, posts, "feed-source", 2), lambda df: threshold_classifier(model.transform(df), "full_text"),
                        ["src0", "src1", "src2"], 0.4, target, checkpoint)
     rows = v.spark.read.parquet(target)
     return rows.filter(F.col("batch") == rows.select(F.max("batch")).scalar()).drop("batch")
@@ -74,19 +86,33 @@ SELECT date_trunc('hour', predicted_at) AS slot, model_name, count(*) AS predict
  count_if(success AND sentiment_label = 'neutral')::BIGINT AS neutral, count_if(success AND sentiment_label = 'positive')::BIGINT AS positive
 FROM predictions GROUP BY 1, 2""", "predictions")
 def _stream_hourly_metrics(v):
-    target, checkpoint = places(v, "hourly")
-    J.stream_hourly_metrics(prediction_stream(v), target, checkpoint)
+    return _tumbling(v, "1 hour")
+
+
+def _tumbling(v, width):
+    target, checkpoint = places(v, "tumbling")
+    log = v.predictions.withColumn("predicted_at", F.col("predicted_at").cast("timestamp")).drop("probabilities")
+    J.stream_hourly_metrics(streamed(v, log, "tumbling-source", 3), target, checkpoint, width, WHOLE)
     out = J.final_state(v.spark, target, ["slot", "model_name"])
     return out.withColumns({"slot": F.col("slot").cast("timestamp_ntz"), "avg_response_time_ms": F.round("avg_response_time_ms", 6)})
 
 
+@query("stream_daily_metrics", """
+SELECT date_trunc('day', predicted_at)::TIMESTAMP AS slot, model_name, count(*) AS predictions, round(avg(response_time_ms), 6) AS avg_response_time_ms,
+ count_if(NOT success)::BIGINT AS error_count, count_if(success AND sentiment_label = 'negative')::BIGINT AS negative,
+ count_if(success AND sentiment_label = 'neutral')::BIGINT AS neutral, count_if(success AND sentiment_label = 'positive')::BIGINT AS positive
+FROM predictions GROUP BY 1, 2""", "predictions")
+def _stream_daily_metrics(v):
+    return _tumbling(v, "1 day")
+
+
 @query("stream_sliding_rates", """
 SELECT slot, count(*) AS calls, count_if(NOT success)::BIGINT AS errors, round(count_if(NOT success)::DOUBLE / count(*), 6) AS error_rate
 FROM (SELECT success, make_timestamp((floor(epoch_us(predicted_at) / 30000000) * 30000000 - i * 30000000)::BIGINT) AS slot
  FROM predictions, range(10) r(i)) x GROUP BY slot""", "predictions")
 def _stream_sliding_rates(v):
     target, checkpoint = places(v, "sliding")
-    J.stream_sliding_rates(prediction_stream(v), target, checkpoint)
+    J.stream_sliding_rates(prediction_stream(v), target, checkpoint, WHOLE)
     out = J.final_state(v.spark, target, ["slot"])
     return out.select(F.col("slot").cast("timestamp_ntz").alias("slot"), "calls", "errors", *r6("error_rate"))
 
@@ -107,7 +133,7 @@ SELECT model_name, min(slot) AS since FROM (
 def _stream_alert_hold(v):
     series = v.error_series.withColumn("slot", F.col("slot").cast("timestamp"))
     target, checkpoint = places(v, "hold")
-    J.stream_alert_hold(streamed(v, series, "hold-source"), F.col("error_rate") > 0.15, 3 * 3600, 3600, target, checkpoint)
+    J.stream_alert_hold(streamed_in_order(v, series, "hold-source", "slot", ["2024-01-10", "2024-01-20"]), F.col("error_rate") > 0.15, 3 * 3600, 3600, target, checkpoint)
     out = v.spark.read.parquet(target)
     return out.select("model_name", F.timestamp_micros("since_us").cast("timestamp_ntz").alias("since"))
 
