@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentiloom.session import measured
+
 
 def dictionary_join(left: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Join word rows with a dictionary of any size.
@@ -18,10 +20,11 @@ def dictionary_join(left: DataFrame, table: DataFrame, on: str, how: str = "inne
 def group_join(left: DataFrame, groups: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a per-group table (one narrow row per group) back to the group's rows; a null group is a group too.
 
-    The strategy is left to adaptive execution, as in :func:`dictionary_join`.  Rows may have columns of any type.
+    The groups are written first, so the planner knows their bytes: below its own threshold they are broadcast and the rows stay
+    where they are, above it the join is left to adaptive execution, which splits a hot group.  Rows may have columns of any type.
     """
     names = {c: f"_k_{c}" for c in on}
-    renamed = groups.withColumnsRenamed(names)
+    renamed = measured(groups.withColumnsRenamed(names), "groups")
     same = [left[c].eqNullSafe(renamed[k]) for c, k in names.items()]
     return left.join(renamed, same, how).drop(*names.values())
 

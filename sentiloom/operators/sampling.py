@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentiloom.operators.joins import group_join
 from sentiloom.operators.ranking import with_group_position, with_position
 
 
@@ -37,14 +38,18 @@ def stratified_split(df: DataFrame, label: str, key: str = "post_id", test_size:
     If any label has fewer than two rows, the whole table is one stratum.
     """
     smallest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).select(F.min("n")).scalar()
-    slim = df.select(key, F.when(smallest < 2, F.lit("all")).otherwise(F.coalesce(F.col(label).cast("string"), F.lit("?")))
-                     .alias("_stratum"), seeded(seed, key).alias("_order"))
+    # the slim order gives the digest at each border; every row then finds its split alone, and no wide row is shuffled
+    stratum = F.when(smallest < 2, F.lit("all")).otherwise(F.coalesce(F.col(label).cast("string"), F.lit("?")))
+    rows = df.withColumns({"_stratum": stratum, "_order": F.struct(seeded(seed, key).alias("digest"), F.col(key).alias("key"))})
+    slim = rows.select(key, "_stratum", "_order")
     placed = with_group_position(slim, ["_stratum"], ["_order", key], "_pos", "_n")
     n, pos = F.col("_n"), F.col("_pos")
     test = F.floor(n * test_size + 0.5)
     val = F.floor(n * val_size + 0.5)
-    split = F.when(pos < test, "test").when(pos < test + val, "val").otherwise("train")
-    return df.join(placed.select(key, split.alias("split")), key)
+    last = {"_test": pos == test - 1, "_val": (pos == test + val - 1) & (val > 0)}
+    borders = placed.groupBy("_stratum").agg(*[F.max(F.when(at, F.col("_order"))).alias(c) for c, at in last.items()])
+    split = F.when(F.col("_order") <= F.col("_test"), "test").when(F.col("_order") <= F.col("_val"), "val").otherwise("train")
+    return group_join(rows, borders, ["_stratum"]).withColumn("split", split).drop("_stratum", "_order", "_test", "_val")
 
 
 def stratified_kfold(df: DataFrame, label: str, k: int = 5, key: str = "post_id", seed: int = 42) -> DataFrame:

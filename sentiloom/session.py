@@ -72,6 +72,13 @@ def clear_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def measured(df: DataFrame, name: str = "measured") -> DataFrame:
+    """``df`` written to the shared folder and read again, so that the planner knows its size in bytes before it joins."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget how it was made."""
     spark = df.sparkSession
