@@ -196,7 +196,42 @@ def _random_deletion(v):
     return v.cleaned.select("post_id", A.random_deletion(F.col("cleaned_text"), ["post_id"]).alias("edited"))
 
 
-@query("text_edits")
+def _unit(part, seed=42):
+    return f"('0x' || substr(md5('{seed}|' || post_id || '|' || {part}), 1, 8))::BIGINT::DOUBLE / 4294967296"
+
+
+def _place(part, n):
+    return f"least(floor({_unit(part)} * ({n})), {n} - 1)::BIGINT"
+
+
+_SYN = "MAP {" + ", ".join(f"{O.q(w)}: [{', '.join(O.q(x) for x in s)}]" for w, s in L.SYNONYMS.items()) + "}"
+
+
+def _choice(word, unit):
+    return f"list_extract(map_extract_value({_SYN}, lower({word})), 1 + least(floor({unit} * len(map_extract_value({_SYN}, lower({word})))), len(map_extract_value({_SYN}, lower({word}))) - 1)::BIGINT)"
+
+
+def _swap(w, a, b):
+    return f"list_transform(range(len({w})), lambda i: CASE WHEN i = {a} THEN {w}[{b} + 1] WHEN i = {b} THEN {w}[{a} + 1] ELSE {w}[i + 1] END)"
+
+
+_DELETED = f"""SELECT post_id, CASE WHEN len(w) < 5 OR len(k) < len(w) * 0.8 THEN cleaned_text ELSE array_to_string(k, ' ') END AS deletion
+FROM (SELECT post_id, cleaned_text, w, list_transform(list_filter(range(1, len(w) + 1), lambda i: {_HEX.format(i='(i - 1)')} > 0.05), lambda i: w[i]) AS k FROM base) b"""
+
+
+@query("text_edits", f"""
+WITH base AS (SELECT post_id, cleaned_text, {O.toks('cleaned_text')} AS w FROM {CLEANED}),
+ spots AS (SELECT *, list_sort(list_transform(list_filter(range(len(w)), lambda i: lower(w[i + 1]) IN {_SYNONYM_WORDS}),
+  lambda i: {{'h': md5('42|' || post_id || '|' || i), 'i': i}}))[1].i AS spot,
+  {_place("'word'", 'len(w)')} AS src, {_place("'place'", '(len(w) + 1)')} AS slot, {_place("'a0'", 'len(w)')} AS a0, {_place("'a1'", 'len(w)')} AS a1,
+  1 + {_place("'b0'", '(len(w) - 1)')} AS s0, 1 + {_place("'b1'", '(len(w) - 1)')} AS s1 FROM base),
+ picked AS (SELECT *, {_choice('w[spot + 1]', _unit('spot', 43))} AS other, {_choice('w[src + 1]', _unit("'synonym'"))} AS extra,
+  {_swap('w', 'a0', '((a0 + s0) % greatest(len(w), 1))')} AS once FROM spots),
+ gone AS ({_DELETED})
+SELECT post_id, CASE WHEN len(w) < 5 THEN cleaned_text ELSE array_to_string(list_transform(range(len(w)), lambda i: CASE WHEN i = spot THEN other ELSE w[i + 1] END), ' ') END AS synonym,
+ CASE WHEN len(w) < 3 OR extra IS NULL THEN cleaned_text ELSE array_to_string(list_concat(list_slice(w, 1, slot), [extra], list_slice(w, slot + 1, len(w))), ' ') END AS insertion,
+ CASE WHEN len(w) < 3 THEN cleaned_text ELSE array_to_string({_swap('once', 'a1', '((a1 + s1) % greatest(len(w), 1))')}, ' ') END AS swap, deletion
+FROM picked JOIN gone USING (post_id)""", "posts")
 def _text_edits(v):
     t, key = F.col("cleaned_text"), ["post_id"]
     return v.cleaned.select(
