@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from sentiloom.functions.sentiment import threshold_classifier
 from sentiloom.operators.monitoring import rate_limit_decisions
-from sentiloom.plans.catalog.c_models import baseline, part
 from sentiloom.plans.catalog.c_monitor import _ALERTS, _RANGES
+from sentiloom.plans.catalog.c_sentiment import _CONFIDENCE, _DECIDED, served
 from sentiloom.plans.catalog.c_text import r6
 from sentiloom.plans.registry import query
 from sentiloom.session import scratch_path
@@ -67,17 +68,21 @@ def _stream_dedup(v):
     return v.spark.read.parquet(target).select("post_id")
 
 
-@query("stream_live_feed")
+@query("stream_live_feed", f"""
+WITH feed AS (SELECT post_id, prediction, {_CONFIDENCE} AS confidence FROM {_DECIDED} JOIN (SELECT post_id AS p, subreddit FROM posts) o ON p = post_id
+ WHERE subreddit IN ('src0', 'src1', 'src2') AND {_CONFIDENCE} >= 0.4)
+SELECT count(*) AS total, count_if(prediction = 'negative')::BIGINT AS negative, count_if(prediction = 'neutral')::BIGINT AS neutral,
+ count_if(prediction = 'positive')::BIGINT AS positive, round(count_if(prediction = 'negative')::DOUBLE / count(*), 6) AS negative_share,
+ round(count_if(prediction = 'neutral')::DOUBLE / count(*), 6) AS neutral_share, round(count_if(prediction = 'positive')::DOUBLE / count(*), 6) AS positive_share,
+ round(avg(confidence), 6) AS avg_confidence FROM feed""", "posts model_probs")
 def _stream_live_feed(v):
-    from sentiloom.functions.sentiment import threshold_classifier
-
-    model = baseline(v, max_iter=15).fit(part(v, "train"))
-    posts = v.cleaned.select("post_id", "subreddit", "full_text", "cleaned_text")
+    posts = served(v).select("post_id", "subreddit", "full_text", "p_negative", "p_neutral", "p_positive")
     target, checkpoint = places(v, "feed")
-    J.stream_live_feed(streamed(v, posts, "feed-source", 2), lambda df: threshold_classifier(model.transform(df), "full_text"),
+    J.stream_live_feed(streamed(v, posts, "feed-source", 3), lambda df: threshold_classifier(df, "full_text"),
                        ["src0", "src1", "src2"], 0.4, target, checkpoint)
     rows = v.spark.read.parquet(target)
-    return rows.filter(F.col("batch") == rows.select(F.max("batch")).scalar()).drop("batch")
+    last = rows.filter(F.col("batch") == rows.select(F.max("batch")).scalar()).drop("batch", "run")
+    return last.withColumns({c: F.round(c, 6) for c in ("negative_share", "neutral_share", "positive_share", "avg_confidence")})
 
 
 @query("stream_hourly_metrics", """
