@@ -4,10 +4,12 @@
    copies cost one row per document and one sketch per class.
 2. 225 MinHash samples make 45 bands of 5; a pair at similarity 0.75 misses all of them with probability 5e-6.
 3. The same samples are folded into a 512-bit parity bitmap (odd sketch).  The population count of the XOR of two bitmaps
-   estimates their similarity; candidates estimated under 0.5 (some five deviations below 0.75) are dropped unread.
+   estimates their similarity; candidates estimated under 0.5 (some five deviations below 0.75) are dropped unread.  A second
+   bitmap folds the whole set; its XOR count never exceeds the symmetric difference, so it drops pairs without any risk, and is sharp
+   for small sets, where one passage shared by many documents makes large buckets.
 4. The rest is confirmed on the full shingle sets.
 
-A bucket never yields all its pairs.  Members have a rank; round ``t`` compares the members of ranks ``[8^(t-1), 8^t)``
+A bucket never yields all its pairs.  Members have a rank; round ``t`` compares the members of ranks ``[16^(t-1), 16^t)``
 (first: rank 0) with the later members *of other components found so far*.  In a group of near copies the first rounds
 link nearly all, and later rounds have nothing left to compare.  No rank is left out: the rounds go on until no bucket
 holds two components with a rank not yet compared.
@@ -20,7 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,10 +31,12 @@ from sentiloom.llm.components import components
 from sentiloom.llm.registry import llm_query
 from sentiloom.session import cut
 
-BANDS, ROWS, BITS, GROWTH = 45, 5, 512, 8
+BANDS, ROWS, BITS, GROWTH = 45, 5, 512, 16
 PERCENT = 75
 LEAST_ESTIMATE = 0.5
 _SAMPLES = BANDS * ROWS
+_LONGS = BITS // 64
+_ODD, _WHOLE = [f"o{i}" for i in range(_LONGS)], [f"w{i}" for i in range(_LONGS)]
 _CHUNK = 512
 
 
@@ -55,11 +59,15 @@ def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def parity_bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the number of hashes at each of ``bits`` places, packed into 64-bit words."""
+    parity = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.uint64)
+
+
 def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
-    """Parity bitmap of the samples, packed into 64-bit words."""
-    spots = (mix(samples.astype(np.uint64) ^ seeds(len(samples), 11)) % np.uint64(bits)).astype(np.int64)
-    parity = (np.bincount(spots, minlength=bits) & 1).astype(np.uint8)
-    return np.packbits(parity).view(np.uint64)
+    """Parity bitmap of MinHash samples, each with the number of its function."""
+    return parity_bitmap(mix(samples.astype(np.uint64) ^ seeds(len(samples), 11)), bits)
 
 
 def most_differing(estimate: float, samples: int = _SAMPLES, bits: int = BITS) -> int:
@@ -76,11 +84,11 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, bands, odd) per row; class, bands and odd are null without words."""
+    """(doc_id, n_shingles, class, bands, odd, whole) per row; class is null and the lists are empty without words."""
     factors, shifts = _hash_functions()
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, classes, bands, odds = [], [], [], []
+        sizes, classes, bands, odds, wholes = [], [], [], [], []
         none = np.zeros(0, np.uint64)
         for text in batch.column("text"):
             s = shingle_set(text.as_py())
@@ -90,16 +98,19 @@ def sketches(docs: DataFrame) -> DataFrame:
                 classes.append(_digest(s))
                 bands.append(band_keys(samples, BANDS, ROWS))
                 odds.append(odd_sketch(samples, BITS))
+                wholes.append(parity_bitmap(s, BITS))
             else:
                 classes.append(None)
                 bands.append(none)
                 odds.append(none)
+                wholes.append(none)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), long_lists(bands), long_lists(odds)],
-            names=["doc_id", "n_shingles", "class", "bands", "odd"])
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), long_lists(bands), long_lists(odds),
+             long_lists(wholes)],
+            names=["doc_id", "n_shingles", "class", "bands", "odd", "whole"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), each,
-                       "doc_id long, n_shingles long, class binary, bands array<long>, odd array<long>")
+                       "doc_id long, n_shingles long, class binary, bands array<long>, odd array<long>, whole array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -112,30 +123,83 @@ def _sets(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("text").cast("string")), each, "class binary, shingles array<long>")
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """One row per distinct set: its number ``cid``, size, bands, odd sketch and least doc_id."""
+    least = rows.groupBy("class").agg(F.min("doc_id").alias("least_id"))
+    one = rows.join(least, "class").filter(F.col("doc_id").eqNullSafe(F.col("least_id"))).dropDuplicates(["class"])
+    return one.select(F.monotonically_increasing_id().alias("cid"), "class", "least_id", F.col("n_shingles").alias("n"), "bands", "odd", "whole")
+
+
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(key, rank, size, class, n) for the members of buckets with two classes or more."""
-    banded = classes.select(F.explode("bands").alias("key"), "class", F.col("n_shingles").alias("n"))
+    """(key, size, rank, cid, n, root, o0..., w0...): members of buckets with two classes or more."""
+    banded = classes.select(F.explode("bands").alias("key"), "cid")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = banded.join(shared, "key")
-    return members.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("class")) - 1)
+    members = banded.join(shared, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("cid"), "cid")) - 1)
+    facts = classes.select("cid", "n", *[F.get("odd", F.lit(i)).alias(c) for i, c in enumerate(_ODD)],
+                           *[F.get("whole", F.lit(i)).alias(c) for i, c in enumerate(_WHOLE)])
+    return members.join(facts, "cid").withColumn("root", F.col("cid"))
 
 
-def _confirmed(pairs: DataFrame, odd: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v, nu, nv) whose odd sketches, and then whose full sets, are similar enough."""
-    far = F.aggregate(F.zip_with("ou", "ov", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    close = (
-        pairs.join(odd.select(F.col("class").alias("u"), F.col("odd").alias("ou")), "u")
-        .join(odd.select(F.col("class").alias("v"), F.col("odd").alias("ov")), "v")
-        .filter(far <= most_differing(LEAST_ESTIMATE)).select("u", "v", "nu", "nv")
-    )
+def _candidates(members: DataFrame, start: int, stop: int) -> DataFrame:
+    """Pairs (u, v, cu, cv) of the ranks due in this round: other component, fitting size, near by their odd sketches.
+
+    The tests are the join's condition, so a pair that fails one is never a row.
+    """
+    left, right = (members.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("rank", "cid", "n", "root", *_ODD, *_WHOLE)]) for side in ("u", "v"))
+    both = F.col("u_n") + F.col("v_n")
+
+    def apart(names: list[str]) -> Column:
+        return sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in names), F.lit(0))
+
+    due = left.filter((F.col("u_rank") >= start) & (F.col("u_rank") < stop)).withColumnRenamed("key", "u_key")
+    near = due.join(right, (F.col("u_key") == F.col("key")) & (F.col("u_rank") < F.col("v_rank")) & (F.col("u_root") != F.col("v_root"))
+                    & (100 * F.least("u_n", "v_n") >= PERCENT * F.greatest("u_n", "v_n")) & (apart(_ODD) <= most_differing(LEAST_ESTIMATE))
+                    & ((100 + PERCENT) * apart(_WHOLE) <= (100 - PERCENT) * both))
+    return near.select(F.col("u_cid").alias("u"), F.col("v_cid").alias("v"), F.col("u_root").alias("cu"), F.col("v_root").alias("cv")).distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between the components of the pairs whose full sets are similar enough."""
     both = F.size(F.array_intersect("su", "sv"))
     return (
-        close.join(sets.select(F.col("class").alias("u"), F.col("shingles").alias("su")), "u")
-        .join(sets.select(F.col("class").alias("v"), F.col("shingles").alias("sv")), "v")
-        .filter(100 * both >= PERCENT * (F.col("nu") + F.col("nv") - both)).select("u", "v")
+        pairs.join(sets.select(F.col("cid").alias("u"), F.col("shingles").alias("su")), "u")
+        .join(sets.select(F.col("cid").alias("v"), F.col("shingles").alias("sv")), "v")
+        .filter(100 * both >= PERCENT * (F.size("su") + F.size("sv") - both)).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     )
 
 
+def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """(node, root) of the classes with links, None without any."""
+    members = stored(_buckets(classes), "buckets")
+    candidates = classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "class", "least_id")
+    chosen = candidates.select(F.col("least_id").alias("_llm_id")).distinct()
+    texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_llm_id"]), "left_semi")
+    sets = stored(_sets(texts).dropDuplicates(["class"]).join(candidates.select("cid", "class"), "class").select("cid", "shingles"), "sets")
+    merged, start = [], 0
+    while True:
+        stop = max(1, start * GROWTH)
+        found = cut(_confirmed(_candidates(members, start, stop), sets))
+        start = stop
+        if not found.isEmpty():
+            now = components(found)
+            merged.append(now)
+            moved = now.select(F.col("node").alias("root"), F.col("root").alias("_new"))
+            members = members.join(moved, "root", "left").withColumn("root", F.coalesce("_new", "root")).drop("_new")
+        # a bucket is settled once it holds one component, or once all its ranks have been compared; components only grow
+        mixed = members.filter(F.col("size") > start + 1).groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
+        members = cut(members.join(mixed, "key", "left_semi"))
+        if members.isEmpty():
+            break
+    if not merged:
+        return None
+    if len(merged) == 1:
+        return merged[0]
+    stars = merged[0]
+    for more in merged[1:]:
+        stars = stars.unionByName(more)
+    return components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> one row per row: doc_id, n_shingles, component_id, kept.
 
@@ -145,46 +209,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = stored(sketches(docs), "sketches")
     worded = rows.filter(F.col("class").isNotNull())
-    least = worded.groupBy("class").agg(F.min("doc_id").alias("least_id"))
-    representative = worded.join(least, (worded["class"] == least["class"]) & worded["doc_id"].eqNullSafe(least["least_id"]), "left_semi")
-    classes = representative.dropDuplicates(["class"])
-    buckets = stored(_buckets(classes), "buckets")
-    candidates = buckets.select("class").distinct()
-    odd = cut(classes.join(candidates, "class", "left_semi").select("class", "doc_id", "odd"))
-    chosen = odd.select(F.col("doc_id").alias("_id")).distinct()
-    sets = stored(_sets(docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")).dropDuplicates(["class"]), "sets")
-
-    links, roots, start = None, None, 0
-    while True:
-        stop = max(1, start * GROWTH)
-        now = buckets
-        if roots is None:
-            now = now.withColumn("root", F.col("class"))
-        else:
-            now = now.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        mixed = now.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
-        open_members = cut(now.filter(F.col("size") > start + 1).join(mixed, "key", "left_semi"))
-        if open_members.isEmpty():
-            break
-        left = open_members.filter((F.col("rank") >= start) & (F.col("rank") < stop)).select(
-            "key", F.col("rank").alias("ru"), F.col("class").alias("u"), F.col("n").alias("nu"), F.col("root").alias("cu"))
-        right = open_members.select("key", F.col("rank").alias("rv"), F.col("class").alias("v"), F.col("n").alias("nv"), F.col("root").alias("cv"))
-        pairs = (
-            left.join(right, "key").filter("ru < rv and cu <> cv and 100 * least(nu, nv) >= 75 * greatest(nu, nv)")
-            .select("u", "v", "nu", "nv").distinct()
-        )
-        found = cut(_confirmed(pairs, odd, sets))
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            roots = cut(components(links))
-        start = stop
-
-    final = least if roots is None else least.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-    root = F.col("class") if roots is None else F.coalesce("root", "class")
-    by_root = final.select("class", root.alias("root"), "least_id")
-    component = by_root.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_class = by_root.join(component, "root").select("class", "component_id")
-    linked = worded.select("doc_id", "n_shingles", "class").join(of_class, "class").select("doc_id", "n_shingles", "component_id")
+    classes = stored(_classes(worded), "classes")
+    roots = _linked(classes, docs)
+    final = classes.select("class", "cid", "least_id")
+    if roots is None:
+        final = final.withColumn("component_id", F.col("least_id"))
+    else:
+        rooted = final.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        final = rooted.join(least, "root")
+    linked = worded.select("doc_id", "n_shingles", "class").join(final.select("class", "component_id"), "class").drop("class")
     alone = rows.filter(F.col("class").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -194,8 +228,8 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat a doc_id count as one document; rows without a doc_id are kept once per group.
     """
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_llm_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_llm_id"]), "left_semi").dropDuplicates(["doc_id"])
 
 
 _SQL = r"""
