@@ -249,7 +249,12 @@ def test_quality_checks(spark):
     assert checks["data_completeness"]["metric_value"] == pytest.approx((19 / 20 + 4) / 5) and checks["data_completeness"]["passed"]
     assert checks["data_freshness"]["passed"] and checks["schema_validation"]["passed"]
     missing = quality.run_checks(posts(spark, rows).drop("title"), "2024-01-02").collect()
-    assert len(missing) == 1 and missing[0]["severity"] == "critical" and not missing[0]["passed"]
+    # the missing column is a critical row, and the other checks still run
+    by_name = {r["metric_name"]: r for r in missing}
+    assert len(missing) == 5 and by_name["column_completeness"]["severity"] == "critical" and not by_name["column_completeness"]["passed"]
+    assert by_name["duplicate_rate"]["metric_value"] == pytest.approx(2 / 20) and not by_name["schema_validation"]["passed"]
+    no_ids = {r["metric_name"]: r for r in quality.run_checks(posts(spark, rows).drop("post_id"), "2024-01-02").collect()}
+    assert no_ids["duplicate_rate"]["metric_value"] == pytest.approx(19 / 20)  # whole rows are compared
     empty = quality.quality_summary(quality.run_checks(posts(spark, []), "2024-01-02")).first()
     assert empty["total_checks"] == 5 and not empty["overall_passed"]
 
