@@ -24,7 +24,6 @@ from sentiloom.llm.common import grams, hash_words, long_lists, map_batches, mix
 from sentiloom.llm.registry import llm_query
 
 FUNCTIONS = 64
-LEAST_CLASS = 8
 FILTER_BITS = 1 << 25
 PERCENT = 75
 _WORD_BITS = 64
@@ -36,7 +35,7 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 
 
 def size_class(n: int) -> int:
-    return max(LEAST_CLASS, 1 << math.ceil(math.log2(n))) if n else 0
+    return 1 << math.ceil(math.log2(n)) if n else 0
 
 
 def block_minima(shingles: np.ndarray, block: int, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -53,7 +52,7 @@ def block_minima(shingles: np.ndarray, block: int, factors: np.ndarray, shifts:
 
 def _keys(minima: np.ndarray, of_class: int) -> np.ndarray:
     """64-bit band keys of rows of minima: function number, class and value mixed."""
-    return mix(mix(minima.astype(np.uint64) + (seeds(FUNCTIONS, 25) + np.uint64(of_class))) ^ seeds(FUNCTIONS, 27))
+    return mix(minima.astype(np.uint64) ^ (seeds(FUNCTIONS, 25) + np.uint64(of_class)))
 
 
 def item_keys(shingles: np.ndarray, factors, shifts) -> np.ndarray:
@@ -157,8 +156,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     both = F.size(F.array_intersect("doc_shingles", "item_shingles")).cast("long")
     return (
         candidates.join(hits.select("row", "doc_id", "doc_shingles"), "row")
-        .join(items.select(F.col("item_id").alias("_id"), F.xxhash64("item_shingles").alias("_item"), "n_item_shingles", "item_shingles"),
-              F.col("item_id").eqNullSafe(F.col("_id")) & (F.col("item") == F.col("_item")))
+        .join(items.select(F.col("item_id").alias("_llm_id"), F.xxhash64("item_shingles").alias("_item"), "n_item_shingles", "item_shingles"),
+              F.col("item_id").eqNullSafe(F.col("_llm_id")) & (F.col("item") == F.col("_item")))
         .select("doc_id", "item_id", "n_item_shingles", both.alias("n_common"))
         .filter(100 * F.col("n_common") >= percent * F.col("n_item_shingles"))
         .withColumn("containment", F.col("n_common") / F.col("n_item_shingles")).distinct()
@@ -167,8 +166,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go; rows without a doc_id are matched by null."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_llm_id")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_llm_id"]), "left_anti")
 
 
 _SQL = r"""
