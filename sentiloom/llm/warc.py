@@ -25,6 +25,7 @@ from sentiloom.llm.registry import llm_query
 from sentiloom.session import scratch_path
 
 FILE_BYTES = 64 << 20
+MOST_TASKS = 50_000
 LEAST_SHARED = 100  # shorter payloads are never revisits
 _PIECE = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -170,7 +171,9 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()),
                         ("payload_digest", pa.string()), ("payload", pa.binary()), ("valid", pa.bool_())])
-    return manifest.select("path").repartition("path").mapInArrow(
+    # a fixed number of partitions: by their own few bytes, adaptive execution would put all paths into one task
+    parts = min(max(1, manifest.count()), MOST_TASKS)
+    return manifest.select("path").repartition(parts, "path").mapInArrow(
         run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, valid boolean")
 
 
