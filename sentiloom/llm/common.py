@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from sentiloom.session import scratch_path
+from sentiloom.session import measured
 
 WORD = r"[^\x20\x09-\x0D]+"
 WIDTH = 5
@@ -30,9 +30,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to a fresh folder below the shared one and read again: computed once, lineage cut."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return measured(df, name)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
