@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sentiloom.session import measured
 
@@ -33,6 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return measured(df, name)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128-bit digest of a row's doc_id and text, null for a null text: rows that share an id or have none keep apart by their texts."""
+    doc_id = F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit(""))
+    return F.substring(F.unhex(F.sha2(F.concat(doc_id, F.lit(":"), docs["text"].cast("string")), 256)), 1, 16)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: each input bit reaches each output bit."""
     x = (x ^ (x >> _S30)) * _M1

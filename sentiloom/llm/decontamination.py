@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentiloom.llm.common import grams, hash_words, long_lists, map_batches, mix, seeds, shingle_set, stored, table, words
+from sentiloom.llm.common import grams, hash_words, long_lists, map_batches, mix, row_key, seeds, shingle_set, stored, table, words
 from sentiloom.llm.registry import llm_query
 
 FUNCTIONS = 64
@@ -109,7 +109,7 @@ def _bloom(items: DataFrame) -> np.ndarray:
 
 
 def _hits(docs: DataFrame, bits: np.ndarray, classes: list[int]) -> DataFrame:
-    """(doc_id, n_doc_shingles, keys, doc_shingles) of the rows with a key in the filter."""
+    """(doc_id, n_doc_shingles, keys, doc_shingles) of the rows with a key in the filter; ``doc_id`` may be of any type."""
     factors, shifts = _functions()
     shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))  # 4 MB, a constant
 
@@ -133,11 +133,11 @@ def _hits(docs: DataFrame, bits: np.ndarray, classes: list[int]) -> DataFrame:
                 sizes.append(len(whole))
                 keys.append(found)
                 sets.append(whole)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), long_lists(keys), long_lists(sets)],
+        return pa.RecordBatch.from_arrays([pa.array(ids, batch.column("doc_id").type), pa.array(sizes, pa.int64()), long_lists(keys), long_lists(sets)],
                                           names=["doc_id", "n_doc_shingles", "keys", "doc_shingles"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), each,
-                       "doc_id long, n_doc_shingles long, keys array<long>, doc_shingles array<long>")
+    return map_batches(docs.select("doc_id", F.col("text").cast("string")), each,
+                       f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_doc_shingles long, keys array<long>, doc_shingles array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -146,6 +146,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     Null, empty and blank texts on either side match nothing; an empty table on either side gives no rows.  Rows that repeat
     a doc_id or an item_id give one pair each per distinct count; rows without an id keep a null there.  Other columns are ignored.
     """
+    return _pairs(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, percent)
+
+
+def _pairs(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     items = stored(items_of(benchmark), "items")
     classes = sorted(r[0] for r in items.select("class").distinct().collect())  # powers of two: some thirty at most
     hits = stored(_hits(docs, _bloom(items), classes).withColumn("row", F.monotonically_increasing_id()), "hits")
@@ -165,9 +169,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
 
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go; rows without a doc_id are matched by null."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_llm_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_llm_id"]), "left_anti")
+    """Pipeline stage: documents that hold a benchmark item go; each row by its own text, whatever rows share its doc_id or have none."""
+    found = _pairs(docs.select(row_key(docs).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_llm_key")).distinct()
+    return docs.withColumn("_llm_key", row_key(docs)).join(found, "_llm_key", "left_anti").select(*docs.columns)
 
 
 _SQL = r"""

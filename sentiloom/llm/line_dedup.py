@@ -41,29 +41,35 @@ def _windows(text: Column) -> Column:
     return _let(hashed, lambda h: F.when(F.size(h) >= 3, _three(h)).otherwise(F.array().cast(_WINDOWS)))
 
 
+def _text_hash(docs: DataFrame) -> Column:
+    """Tells rows of one doc_id apart by their texts (null counts as empty)."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, covered): per document with repeats, the sorted indices of the lines to go.
+    """(doc_id, text_hash, covered): per text with repeats, the sorted indices of the lines to go.
 
-    Rows without a doc_id take no part.  Rows that repeat a doc_id share its line numbers: equal rows count as one.
+    Rows without a doc_id take no part.  Unlike texts with one doc_id have lines of their own, in the order of their hashes; equal
+    rows count as one.
     """
     places = docs.filter(F.col("doc_id").isNotNull()).select(
-        "doc_id", F.explode(_windows(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("w")).select(
-        "doc_id", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"), F.col("w.first").alias("first"), F.col("w.last").alias("last"))
-    start = F.struct("doc_id", "first")
+        "doc_id", _text_hash(docs).alias("text_hash"), F.explode(_windows(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("w")).select(
+        "doc_id", "text_hash", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"), F.col("w.first").alias("first"), F.col("w.last").alias("last"))
+    start = F.struct("doc_id", "text_hash", "first")
     firsts = places.groupBy("h1", "h2").agg(F.min(start).alias("origin"), F.max(start).alias("latest")).filter("origin <> latest").select("h1", "h2", "origin")
     later = places.join(firsts, ["h1", "h2"]).filter(start > F.col("origin"))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")).select(
-        "doc_id", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))).alias("covered"))
+    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans")).select(
+        "doc_id", "text_hash", F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))).alias("covered"))
 
 
 def _with_covered(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_llm_covered`` (null without repeats) and ``_llm_text`` (the text without repeated lines)."""
-    gone = repeated_lines(docs).withColumnsRenamed({"doc_id": "_llm_id", "covered": "_llm_covered"})
+    gone = repeated_lines(docs).withColumnsRenamed({"doc_id": "_llm_id", "text_hash": "_llm_hash", "covered": "_llm_covered"})
     text = F.col("text").cast("string")
     # array_except hashes and keeps order, so the texts are rebuilt in linear time
     rebuilt = _let(F.split(text, "\n", -1), lambda x: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_llm_covered"), lambda i: F.get(x, i)), "\n"))
-    return docs.join(gone, docs["doc_id"] == gone["_llm_id"], "left").drop(gone["_llm_id"]).withColumn(
+    return docs.join(gone, (docs["doc_id"] == gone["_llm_id"]) & (_text_hash(docs) == gone["_llm_hash"]), "left").drop("_llm_id", "_llm_hash").withColumn(
         "_llm_text", F.when(F.col("_llm_covered").isNull(), text).otherwise(rebuilt))
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentiloom.llm.common import WORD, stored, table
+from sentiloom.llm.common import WORD, row_key, stored, table
 from sentiloom.llm.registry import llm_query
 from sentiloom.operators.ranking import running_totals, with_position
 
@@ -63,9 +63,14 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = C
     rows, and rows without an id, stand next to each other in the seeded order; which of them comes first is all the same.  An empty table
     gives no rows; other columns are ignored.
     """
+    return _mixture(docs, [], weights, share, cap, block, seed)
+
+
+def _mixture(docs: DataFrame, carried: list[str], weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """The mixture with columns that come after the id in the seeded order and are carried along."""
     sized = stored(docs.select(
         F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text").cast("string")).alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id").alias("_order")), "sizes")
+        F.xxhash64(F.lit(seed), "doc_id").alias("_order"), *carried), "sizes")
     aims = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
     quotas = shard_quotas(aims, block).groupBy("sid").agg(F.sum("quota").alias("blocks"))
     plan = aims.join(quotas, "sid", "left").withColumn("words", F.least(F.coalesce(F.col("blocks"), F.lit(0)) * block, F.col("full")))
@@ -75,24 +80,27 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = C
         "begin": F.pmod(F.xxhash64(F.lit(seed), "sid"), F.greatest(F.ceil(F.col("source_size") / block), F.lit(1))) * block,
     }).withColumn("rest", F.col("words") - F.col("rounds") * F.col("source_size")).withColumnRenamed("source", "_source")
     known = sized.join(plan.select("sid", "_source"), sized["source"].eqNullSafe(F.col("_source"))).drop("_source")
-    placed = running_totals(known, ["sid"], ["_order", "doc_id", "size"], ["size"]).withColumn("_from", F.col("cum_size") - F.col("size"))
+    placed = running_totals(known, ["sid"], ["_order", "doc_id", "size", *carried], ["size"]).withColumn("_from", F.col("cum_size") - F.col("size"))
     out = placed.join(plan.select("sid", "source_size", "target", "rounds", "begin", "rest"), "sid")
 
     def overlap(shift: Column) -> Column:
         return F.greatest(F.lit(0), F.least(F.col("cum_size"), F.col("begin") + F.col("rest") - shift) - F.greatest(F.col("_from"), F.col("begin") - shift))
 
     taken = F.col("rounds") * F.col("size") + overlap(F.lit(0)) + overlap(F.col("source_size"))
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carried)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last one: documents the mixture takes, with ``size`` and ``taken`` (words, repeats counted).
 
-    Rows that share a doc_id share the largest ``taken`` of it.  Columns of the two names are replaced.
+    Rows are told apart by id, text and source; rows equal in all three share the largest ``taken`` of them.  Columns of the two names
+    are replaced.
     """
-    takes = mixture(docs).groupBy(F.col("doc_id").alias("_llm_id")).agg(F.max("size").alias("_llm_size"), F.max("taken").alias("_llm_taken")).filter("_llm_taken > 0")
-    plain = docs.drop("size", "taken")
-    return plain.join(takes, plain["doc_id"].eqNullSafe(takes["_llm_id"])).drop("_llm_id").withColumnsRenamed({"_llm_size": "size", "_llm_taken": "taken"})
+    keyed = docs.drop("size", "taken").withColumns({"_llm_key": row_key(docs), "_llm_source": F.col("source").cast("string")})
+    takes = _mixture(keyed.select("doc_id", "source", "text", "_llm_key"), ["_llm_key"]).groupBy("_llm_key", F.col("source").alias("_llm_from")).agg(
+        F.max("size").alias("size"), F.max("taken").alias("taken")).filter("taken > 0").withColumnRenamed("_llm_key", "_llm_taken_key")
+    return keyed.join(takes, (F.col("_llm_key") == F.col("_llm_taken_key")) & F.col("_llm_source").eqNullSafe(F.col("_llm_from"))).drop(
+        "_llm_key", "_llm_taken_key", "_llm_source", "_llm_from")
 
 
 @llm_query("op8_mixing")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sentiloom.llm.common import long_lists, map_batches, mix, seeds, shingle_set, stored, table
+from sentiloom.llm.common import WORD, long_lists, map_batches, mix, row_key, seeds, shingle_set, stored, table
 from sentiloom.llm.components import components
 from sentiloom.llm.registry import llm_query
 from sentiloom.session import cut
@@ -84,8 +84,12 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, bands, odd, whole) per row; class is null and the lists are empty without words."""
+    """(doc_id, n_shingles, class, bands, odd, whole) per row; class is null and the lists are empty without words.
+
+    A column ``key`` of ``docs`` (binary) is carried along.
+    """
     factors, shifts = _hash_functions()
+    carried = ["key"] if "key" in docs.columns else []
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, classes, bands, odds, wholes = [], [], [], [], []
@@ -106,11 +110,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 wholes.append(none)
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), long_lists(bands), long_lists(odds),
-             long_lists(wholes)],
-            names=["doc_id", "n_shingles", "class", "bands", "odd", "whole"])
+             long_lists(wholes), *[batch.column(c) for c in carried]],
+            names=["doc_id", "n_shingles", "class", "bands", "odd", "whole", *carried])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), each,
-                       "doc_id long, n_shingles long, class binary, bands array<long>, odd array<long>, whole array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carried), each,
+                       "doc_id long, n_shingles long, class binary, bands array<long>, odd array<long>, whole array<long>" + "".join(f", {c} binary" for c in carried))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -200,6 +204,18 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     return components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
+def _grouped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, root, component_id) of all classes of the sketched ``rows``; ``root`` tells components without an id apart."""
+    classes = stored(_classes(rows.filter(F.col("class").isNotNull())), "classes")
+    roots = _linked(classes, docs)
+    final = classes.select("class", "cid", "least_id")
+    if roots is None:
+        return final.select("class", F.col("cid").alias("root"), F.col("least_id").alias("component_id"))
+    rooted = final.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return rooted.join(least, "root").select("class", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> one row per row: doc_id, n_shingles, component_id, kept.
 
@@ -207,29 +223,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one doc_id are all linked by their texts only; ``component_id`` is the least non-null doc_id of the component, null if it has
     none.  An empty table gives no rows.  Other columns of ``docs`` are ignored.
     """
-    rows = stored(sketches(docs), "sketches")
-    worded = rows.filter(F.col("class").isNotNull())
-    classes = stored(_classes(worded), "classes")
-    roots = _linked(classes, docs)
-    final = classes.select("class", "cid", "least_id")
-    if roots is None:
-        final = final.withColumn("component_id", F.col("least_id"))
-    else:
-        rooted = final.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-        final = rooted.join(least, "root")
-    linked = worded.select("doc_id", "n_shingles", "class").join(final.select("class", "component_id"), "class").drop("class")
+    rows = stored(sketches(docs.select("doc_id", "text")), "sketches")
+    final = _grouped(rows, docs)
+    linked = rows.select("doc_id", "n_shingles", "class").join(final.select("class", "component_id"), "class").drop("class")
     alone = rows.filter(F.col("class").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the smallest doc_id stays.
+    """Pipeline stage: of each group of near-duplicates one row stays, with the smallest doc_id, or none if the group has no ids.
 
-    Rows that repeat a doc_id count as one document; rows without a doc_id are kept once per group.
+    Rows are told apart by id and text, so unlike texts with one doc_id or without any are groups of their own.  Texts without
+    words are linked with nothing and all stay.
     """
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_llm_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_llm_id"]), "left_semi").dropDuplicates(["doc_id"])
+    rows = stored(sketches(docs.select("doc_id", "text", row_key(docs).alias("key"))), "sketches")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    kept = rows.select("doc_id", "key", "class").join(_grouped(rows, docs).select("class", "root"), "class").groupBy("root").agg(
+        best.alias("best")).select(F.col("best.key").alias("_llm_key"))
+    worded = F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(WORD)), F.lit(False))
+    one = docs.withColumn("_llm_key", row_key(docs)).filter(worded).join(kept, "_llm_key", "left_semi").dropDuplicates(["_llm_key"])
+    return one.select(*docs.columns).unionByName(docs.filter(~worded))
 
 
 _SQL = r"""

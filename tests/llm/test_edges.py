@@ -144,6 +144,41 @@ def test_stages(spark, folder):
     assert out.filter(F.col("taken") <= 0).count() == 0
 
 
+def test_stages_decide_by_row(spark, tmp_path):
+    """Unlike rows without an id, or with one id, stand or fall by their own texts."""
+    docs = hostile(spark)
+    unlike = [r.text for r in docs.collect() if r.doc_id is None]
+    base = unlike[0]
+    near = near_duplicates.keep_one(spark, docs, "").collect()
+    # the copies of `base` belong to the row with the smallest id; every other id-less row is a group of its own
+    assert sorted([r.text for r in near if r.doc_id is None], key=str) == sorted(unlike[1:], key=str)
+    assert [r.doc_id for r in near if (r.text or "").lower() == base] == [-16] and len([r for r in near if r.doc_id == 7]) == 0
+    rows = docs.filter("doc_id = 4")
+    more = rows.unionByName(rows.withColumn("text", F.lit("a quite different text under the same id"))).unionByName(rows).drop("doc_id")
+    for doc_id in (F.lit(4).cast("long"), F.lit(None).cast("long")):
+        got = near_duplicates.keep_one(spark, more.withColumn("doc_id", doc_id), "").collect()
+        assert sorted(r.text for r in got) == ["a quite different text under the same id", "one"]
+
+    path = str(tmp_path)
+    spark.createDataFrame([(1, unlike[2])], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    clean = decontamination.decontaminate(spark, docs, path).collect()
+    assert len(clean) == docs.count() - 1 and {r.text for r in clean if r.doc_id is None} == {base, None}
+
+    vile = "vile words of the worst kind said to everyone here"
+    train = [(k, vile if k % 2 else "kind words about the garden and its flowers", "en") for k in range(400)]
+    tail = [(None, vile, "en"), (None, train[0][1], "en"), (7000, vile, "en"), (7000, train[0][1], "en")]
+    spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    left = toxicity.drop_toxic(spark, spark.createDataFrame(train + tail, "doc_id long, text string, lang string"), path).collect()
+    assert len(left) == 202 and {r.text for r in left} == {train[0][1]}
+
+    lines = spark.createDataFrame([(1, "a\nb\nc\nd"), (2, "x\na\nb\nc"), (2, "u1\nu2\nu3\nu4"), (2, "u1\nu2\nu3\nu4")], "doc_id long, text string")
+    for r in line_dedup.line_dedup(lines).collect():
+        assert r.deduped == {"a": r.text, "x": "x", "u": r.text}[r.text[0]]
+
+    sizes = mixing.mix_sources(spark, docs, "").filter("doc_id is null").collect()
+    assert all(r.size == len(r.text.split()) and 0 < r.taken <= 2 * r.size for r in sizes)
+
+
 def test_chat_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.windows(empty).count() == 0 and chat.windows(chat.with_probe(empty)).count() == 1
