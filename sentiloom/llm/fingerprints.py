@@ -4,7 +4,8 @@ A text is a set of terms, its pairs of neighbouring words, weighted by their cou
 from Gamma(2, 1) and b uniformly, all by hashing; with t = floor(ln w / r + b), the term with the least
 ln c - r (t - b + 1) and its t are the sample.  Two texts share a sample with the probability of their generalised Jaccard similarity, the
 sum of the smaller over the sum of the larger weights.  The gamma quantiles and logarithms are tables made on the driver, so all
-executors compute the same samples, whatever their processors.
+executors compute the same samples, whatever their processors; only counts above 32,767 take their logarithm on the executor, rounded to
+single precision.
 
 The operator compares every text with an edited one that borrows the beginning of the next document.  Texts are shuffled once: runs of ids
 have one bucket each, the first document of a run is copied to the end of the run before, and a task walks its sorted rows with
@@ -56,7 +57,11 @@ class Sampler:
         self.log_w = np.log(np.arange(1, 1 << 15)).astype(np.float32)
 
     def _logs(self, weights: np.ndarray) -> np.ndarray:
-        return self.log_w[np.minimum(weights, len(self.log_w)) - 1]
+        logs = self.log_w[np.minimum(weights, len(self.log_w)) - 1]
+        above = weights > len(self.log_w)
+        if above.any():
+            logs[above] = np.log(weights[above]).astype(np.float32)
+        return logs
 
     def sample(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """One number of ``_BITS`` bits per sample: a hash of the chosen term and its t; zero without terms."""

@@ -54,6 +54,16 @@ def test_samples_estimate_generalised_jaccard():
         assert abs(likeness(*prints) - exact) < 0.05
 
 
+def test_weights_above_the_table():
+    s, term = Sampler(2048), np.array([0x9E3779B97F4A7C15], np.uint64)
+    prints = {n: s.sample(term, np.array([n])) for n in (32_767, 40_000, 100_000, 400_000)}
+    for a, b in [(40_000, 100_000), (40_000, 400_000), (32_767, 100_000)]:
+        assert abs(likeness(prints[a], prints[b]) - a / b) < 0.05
+    # two pairs of words in a whole text, one counted far more often than the table reaches
+    whole = [Sampler(512).of("x " * n + "y") for n in (40_001, 100_001)]
+    assert abs(likeness(*whole) - 0.4) < 0.1
+
+
 def test_quantiles():
     x = _gamma_quantiles(np.array([1e-9, 0.1, 0.5, 0.9, 0.999999]))
     assert np.allclose(1 - (1 + x) * np.exp(-x), [1e-9, 0.1, 0.5, 0.9, 0.999999], rtol=1e-4)
