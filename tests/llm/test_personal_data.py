@@ -69,6 +69,16 @@ def test_random_texts(spark, texts):
     assert [got[i][0] for i in range(len(texts))] == [brute(t) for t in texts]
 
 
+def test_accounts_before_upper_case_words(spark):
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    texts = [f"IBAN {german} BIC COBADEFFXXX", "DE89370400440532013000 EUR 500", f"{german} {german} {british} OK", f"AB12 {german}", f"BE12 {german} X",
+             f"é😀 {british} " * 300, german[:-1] + "1 EUR", "DE89370400440532013000X", ("AB12 " + german + " ") * 200]
+    found = base_spans(spark, texts)
+    spans = [[tuple(map(int, x.split(":")[1:])) for x in found[i][1].split(",") if x.startswith("iban")] for i in range(len(texts))]
+    assert [[texts[i][a:b] for a, b in spans[i]] for i in range(len(texts))] == [
+        [german], ["DE89370400440532013000"], [german, german, british], [german], [german], [british] * 300, [], [], [german] * 200]
+
+
 def test_documents_and_schema(spark):
     from sentiloom.llm.registry import QUERIES
     folder = "/root/testdata/sf0.001"
