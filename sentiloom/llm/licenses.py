@@ -5,7 +5,8 @@
    than that keep all of theirs.  The inverted index maps hashes to (template, place).
 2. A text's hashes are looked up in the index.  Hits of a template on neighbouring diagonals form a seed.
 3. Around a seed, template and text are aligned within a band of ``BAND`` words off the seed's diagonals: the longest common subsequence by
-   dynamic programming over the band.  Matched words over template words is the coverage, the outermost matches give the span.
+   dynamic programming over the band.  Matched words over template words is the coverage, the outermost matches give the span.  The words before and after an
+   occurrence are aligned again, so notices that repeat closely are found one by one.
 
 The templates are a constant of the module, or a parameter; their index is small and travels with the task.  Everything else is row-local.
 """
@@ -118,8 +119,29 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> list[t
     return pairs[::-1]
 
 
+def occurrences(template: np.ndarray, words: np.ndarray, begin: int, end: int, low: int, high: int, least: float) -> list[list[tuple[int, int]]]:
+    """Alignments of all occurrences within [begin, end) and the band, as (template place, text place); each leaves the words beside it to the others."""
+    found, areas = [], [(begin, end)]
+    while areas:
+        a, b = areas.pop()
+        if b - a < least * len(template):
+            continue
+        pairs = align(template, words[a:b], low - a, high - a)
+        if not pairs or len(pairs) < least * len(template):
+            continue
+        # the end is the first one possible; seen from there, backwards, the start is the last one possible
+        stop = a + pairs[-1][1] + 1
+        size, n = len(template), stop - a
+        # text place - template place is mirrored at (n - 1) - (size - 1)
+        back = align(template[::-1], words[a:stop][::-1], n - size - (high - a), n - size - (low - a))
+        pairs = [(size - 1 - i, stop - 1 - j) for i, j in back[::-1]]
+        found.append(pairs)
+        areas += [(a, pairs[0][1]), (pairs[-1][1] + 1, b)]
+    return found
+
+
 def scan(text: str, index: Index, least: float = COVERAGE) -> list[tuple[str, int, int, int, float]]:
-    """(license, start, end, matched words, coverage) of each occurrence, by start; an occurrence inside a longer one of another template is left out."""
+    """(license, start, end, matched words, coverage) of each occurrence, by start; an occurrence inside another one is left out."""
     words, spans = tokens(text)
     if not len(words):
         return []
@@ -134,14 +156,13 @@ def scan(text: str, index: Index, least: float = COVERAGE) -> list[tuple[str, in
         while at < len(seeds) and seeds[at][0] == k and seeds[at][1] - high <= BAND and seeds[at][1] - low <= 4 * BAND:
             high, at = seeds[at][1], at + 1
         template = index.words[k]
-        begin = max(0, low - BAND)
-        area = words[begin : high + BAND + len(template)]
-        pairs = align(template, area, low - BAND - begin, high + BAND - begin)
-        if len(pairs) >= least * len(template):
-            found.append((spans[begin + pairs[0][1]][0], spans[begin + pairs[-1][1]][1], index.names[k], len(pairs), len(pairs) / len(template)))
+        begin, end = max(0, low - BAND), min(len(words), high + BAND + len(template))
+        for pairs in occurrences(template, words, begin, end, low - BAND, high + BAND, least):
+            found.append((spans[pairs[0][1]][0], spans[pairs[-1][1]][1], index.names[k], len(pairs), len(pairs) / len(template)))
     kept: list[tuple] = []
     for f in sorted(set(found), key=lambda f: (f[0] - f[1], -f[4], f[2], f[0])):  # longest first
-        if not any(f[0] < o[1] and o[0] < f[1] for o in kept):
+        # two alignments of one template that share words are one occurrence
+        if not any((o[0] <= f[0] and f[1] <= o[1]) or (o[2] == f[2] and f[0] < o[1] and o[0] < f[1]) for o in kept):
             kept.append(f)
     return [(name, a, b, matched, coverage) for a, b, name, matched, coverage in sorted(kept)]
 

@@ -91,6 +91,18 @@ def test_licenses(spark):
     assert got[1][2:4] == (7, 37) and got[3][4] == 8
 
 
+def test_close_and_overlapping_licenses():
+    index = licenses.Index(licenses.TEMPLATES)
+    for line, name in [("Released under the MIT License.", "mit"), ("Licensed under CC BY 4.0.", "cc-by-4.0")]:
+        for times in (2, 3, 12):
+            got = licenses.scan("\n".join([line] * times), index)
+            assert [(n, a, b) for n, a, b, _, _ in got] == [(name, k * (len(line) + 1), k * (len(line) + 1) + len(line) - 1) for k in range(times)]
+        cut = licenses.scan("Released under MIT License.\nReleased under the MIT License.", index)
+        assert [(a, b, m) for _, a, b, m, _ in cut] == [(0, 26, 4), (28, 58, 5)]
+    index = licenses.Index({"a": "one two three four five six", "b": "four five six seven eight nine ten"})
+    assert [g[:3] for g in licenses.scan("one two three four five six seven eight nine ten", index)] == [("a", 0, 27), ("b", 14, 48)]
+
+
 def test_license_alignment_is_the_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(30):
