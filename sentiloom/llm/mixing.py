@@ -46,12 +46,34 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     return ranked.select("source", "source_size", "sid", "full", target.alias("target"))
 
 
+def _within(price: float) -> Column:
+    """Seats of a source whose quotient target / (2k - 1) is ``price`` or more."""
+    return F.when(F.col("target") >= price, F.floor((F.col("target") / price + 1) / 2)).otherwise(F.lit(0)).cast("long")
+
+
+def _price(aims: DataFrame, house: int, block: int) -> float:
+    """A price at which the sources take ``house`` seats or a few more: one job per factor of 16 below twice the block, where half are taken at most."""
+    price = 2.0 * block
+    while True:
+        prices = [price / 2 ** (j / 8) for j in range(33)]
+        taken = aims.agg(*[F.sum(_within(p)).alias(f"n{j}") for j, p in enumerate(prices)]).first()
+        for p, n in zip(prices, taken):
+            if n >= house:
+                return p * (1 - 1e-9)  # quotients that differ from the price by rounding only are listed too
+        price = prices[-1]
+
+
 def shard_quotas(aims: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """``aims`` (sid, target, ...) -> (shard, sid, quota): blocks of each source in each shard of the mixture."""
+    """``aims`` (sid, target, ...) -> (shard, sid, quota): blocks of each source in each shard of the mixture.
+
+    Listed are the seats at or above a price that fills the house, whatever the sizes of the sources.
+    """
+    aims = aims.filter("target > 0").select("sid", "target")
     house = int(round((aims.agg(F.sum("target")).first()[0] or 0.0) / block))
-    most = F.floor(F.col("target") / block) + 2
-    runs = aims.filter("target > 0").select("sid", "target", most.alias("most"), F.explode(F.sequence(F.lit(0), most.cast("long"), F.lit(_RUN).cast("long"))).alias("from"))
-    seats = runs.repartition("sid", "from").select("sid", "target", F.explode(F.sequence(F.col("from") + 1, F.least(F.col("from") + _RUN, F.col("most").cast("long")))).alias("k"))
+    most = _within(_price(aims, house, block)) if house else F.lit(0).cast("long")
+    runs = aims.withColumn("most", most).filter("most > 0").select("sid", "target", "most", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most"), F.lit(_RUN).cast("long"))).alias("from"))
+    runs = runs.filter(F.col("from") < F.col("most"))
+    seats = runs.repartition("sid", "from").select("sid", "target", F.explode(F.sequence(F.col("from") + 1, F.least(F.col("from") + _RUN, F.col("most")))).alias("k"))
     ranked = with_position(seats.select("sid", "k", (-F.col("target") / (2 * F.col("k") - 1)).alias("order")), ["order", "sid", "k"], "seat")
     return ranked.filter(F.col("seat") < house).groupBy(F.floor(F.col("seat") / shard).alias("shard"), "sid").agg(F.count(F.lit(1)).alias("quota"))
 

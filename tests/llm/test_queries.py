@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from compare import compare, duck
 from helpers import words
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sentiloom.llm import mixing, near_duplicates
@@ -82,6 +83,19 @@ def test_seats_are_sainte_lague(spark):
     assert {(r.shard, r.sid): r.quota for r in rows} == dict(want)
 
 
+def test_seats_of_many_tiny_sources(spark):
+    # one source of 100,000 words and 100 of 100 words, in blocks of 256: all 430 seats are the large one's by quotient
+    aims = spark.createDataFrame([(0, 100_000.0), *[(k, 100.0) for k in range(1, 101)]], "sid long, target double")
+    got = {r.sid: r.q for r in mixing.shard_quotas(aims, block=256, shard=64).groupBy("sid").agg({"quota": "sum"}).toDF("sid", "q").collect()}
+    quotients = sorted((-t / (2 * k + 1), s, k) for s, t in [(0, 100_000.0), *[(i, 100.0) for i in range(1, 101)]] for k in range(600))
+    want = defaultdict(int)
+    for _, s, _ in quotients[: round(110_000 / 256)]:
+        want[s] += 1
+    assert got == dict(want) and got[0] == 430
+    tiny = spark.range(5000).select(F.col("id").alias("sid"), F.lit(0.5).alias("target"))
+    assert {(r.sid, r.quota) for r in mixing.shard_quotas(tiny, block=256).collect()} == {(k, 1) for k in range(10)}
+
+
 def test_odd_sketch_estimates_and_bounds():
     rng = np.random.default_rng(3)
     factors, shifts = near_duplicates._hash_functions()
