@@ -16,8 +16,8 @@ from sentiloom.llm.registry import QUERIES, SQL
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-def test_eleven_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+def test_queries_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries() and set(SQL) <= set(entry.oracle_sql())
 
 
