@@ -7,21 +7,24 @@ from __future__ import annotations
 
 import json
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sentiloom.models import boosting
+from sentiloom.models.boosting import Fitted, Model, Settings
 from sentiloom.models.stages import HELPERS, TextVectors
 from sentiloom.operators.joins import group_join
 from sentiloom.operators.sampling import class_weights, seeded_unit, stratified_kfold
 from sentiloom.schemas import LABEL_NAMES
+from sentiloom.session import measured
 
 PROBS = [f"p_{x}" for x in LABEL_NAMES]
 K = len(LABEL_NAMES)
@@ -57,7 +60,7 @@ class Baseline:
     label: str = "auto_label_id"
     max_features: int = 5000
     c: float = 1.0
-    max_iter: int = 100
+    max_iter: int = 1000
     model: PipelineModel | None = None
     metadata: dict = field(default_factory=dict)
 
@@ -118,79 +121,55 @@ def as_double(df: DataFrame, columns: list[str]) -> DataFrame:
 
 @dataclass
 class Boosted:
-    """One gradient-boosted tree model per class; their scores are scaled to sum to 1."""
+    """Multiclass gradient boosting on numeric columns (:mod:`sentiloom.models.boosting`), balanced weights, early stop.
+
+    Rows with ``validation_col`` end the training; without that column a tenth of the rows, drawn by digest of the key, does.
+    """
 
     features: list[str] | None = None
     label: str = "auto_label_id"
-    max_iter: int = 10
-    max_depth: int = 4
-    step: float = 0.1
-    subsample: float = 0.8
-    seed: int = 42
+    settings: Settings = field(default_factory=Settings)
     validation_col: str | None = None
-    early_stop_tolerance: float = 0.01
-    model: PipelineModel | None = None
+    key: str = "post_id"
+    fitted: Fitted | None = None
     history: dict = field(default_factory=dict)
 
-    def _stages(self) -> list:
-        trees = []
-        for i in range(K):
-            tree = GBTClassifier(
-                featuresCol="_features", labelCol=f"_is{i}", weightCol="weight", maxIter=self.max_iter, maxDepth=self.max_depth,
-                stepSize=self.step, subsamplingRate=self.subsample, seed=self.seed, predictionCol=f"_pred{i}")
-            tree = tree.setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_raw{i}")
-            if self.validation_col:
-                tree = tree.setValidationIndicatorCol(self.validation_col).setValidationTol(self.early_stop_tolerance)
-            trees.append(tree)
-        return trees
-
-    def _prepared(self, df: DataFrame) -> DataFrame:
-        return as_double(df, self.features)
+    def _train(self, df: DataFrame, models: list[Model], group) -> list[Fitted]:
+        self.features = self.features or numeric_features(df)
+        mark = F.col(self.validation_col) if self.validation_col else seeded_unit(self.settings.seed + 7, self.key) < 0.1
+        slim = df.select(self.key, self.label, group.alias("_group"), F.coalesce(mark, F.lit(False)).alias("_mark"), *self.features)
+        return boosting.fit(with_class_weight(slim, self.label), self.features, models, K, self.label, "weight", "_group", "_mark", self.key)
 
     def fit(self, df: DataFrame) -> "Boosted":
-        self.features = self.features or numeric_features(df)
-        weighted = with_class_weight(self._prepared(df), self.label)
-        targets = weighted.withColumns({f"_is{i}": (F.col(self.label) == i).cast("double") for i in range(K)})
-        prepare = Pipeline(stages=[Imputer(strategy="mean", inputCols=self.features, outputCols=self.features),
-                                   VectorAssembler(inputCols=self.features, outputCol="_features")]).fit(targets)
-        ready = prepare.transform(targets).select("_features", "weight", *[f"_is{i}" for i in range(K)],
-                                                  *([self.validation_col] if self.validation_col else []))
-        ready = ready.persist()
-        try:
-            fitted = [tree.fit(ready) for tree in self._stages()]
-        finally:
-            ready.unpersist()
-        self.model = PipelineModel([*prepare.stages, *fitted])
+        self.fitted = self._train(df, [Model(self.settings, marked=True)], F.lit(0))[0]
+        self.history = {"best_iteration": self.fitted.model.best + 1, "losses": [row[0] for row in self.fitted.model.history]}
         return self
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        raw = self.model.transform(self._prepared(df))
-        ones = [F.get(vector_to_array(f"_prob{i}"), F.lit(1)) for i in range(K)]
-        out = raw.withColumns({f"_one{i}": e for i, e in enumerate(ones)})
-        total = sum((F.col(f"_one{i}") for i in range(K)), F.lit(0.0))
-        out = out.withColumns({p: F.col(f"_one{i}") / total for i, p in enumerate(PROBS)})
-        out = out.withColumn("label_id", argmax_id([F.col(p) for p in PROBS]))
-        return out.drop("_features", *[f"_{n}{i}" for i in range(K) for n in ("prob", "raw", "pred", "one")])
-
-    def fit_cv(self, df: DataFrame, folds: int = 5, key: str = "post_id") -> "Boosted":
-        """Train one model per fold and keep the one with the best held-out accuracy."""
-        folded = stratified_kfold(df, self.label, folds, key, self.seed).persist()
-        scores, models = [], []
-        for f in range(folds):
-            one = Boosted(self.features, self.label, self.max_iter, self.max_depth, self.step, self.subsample, self.seed)
-            one.fit(folded.filter(F.col("fold") != f).drop("fold"))
-            held = one.transform(folded.filter(F.col("fold") == f))
-            scores.append(held.select(F.avg((F.col("label_id") == F.col(self.label)).cast("double"))).first()[0])
-            models.append(one)
-        folded.unpersist()
+    def fit_all(self, df: DataFrame) -> "Boosted":
+        """All rounds on all rows: nothing is held out."""
+        self.fitted = self._train(df, [Model(replace(self.settings, patience=self.settings.rounds))], F.lit(0))[0]
+        return self
+
+    def fit_cv(self, df: DataFrame, folds: int = 5) -> "Boosted":
+        """A model per fold, all trained together, each stopped by its own fold; the one with the best held-out accuracy is kept."""
+        folded = stratified_kfold(df, self.label, folds, self.key, self.settings.seed)
+        trained = self._train(folded, [Model(self.settings, f) for f in range(folds)], F.col("fold"))
+        scores = [one.model.history[one.model.best][1] if one.model.history else 0.0 for one in trained]
         best = max(range(folds), key=lambda i: scores[i])
-        self.features, self.model = models[best].features, models[best].model
-        self.history = {"cv_scores": scores, "best_fold": best}
+        self.fitted, self.history = trained[best], {"cv_scores": scores, "best_fold": best, "rounds": [len(one.model.history) for one in trained]}
         return self
 
+    def fit_folds(self, folded: DataFrame, folds: int) -> "list[Boosted]":
+        """A model per fold that never saw it: a tenth of the other folds ends its training."""
+        trained = self._train(folded, [Model(self.settings, f, marked=True) for f in range(folds)], F.col("fold"))
+        return [replace(self, fitted=one) for one in trained]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.fitted.probabilities(df, "_p").withColumns({p: F.get("_p", F.lit(i)) for i, p in enumerate(PROBS)}).drop("_p")
+        return out.withColumn("label_id", argmax_id([F.col(p) for p in PROBS]))
+
     def importance(self) -> list[tuple[str, float]]:
-        trees = self.model.stages[-K:]
-        return [(name, float(sum(t.featureImportances[i] for t in trees) / K)) for i, name in enumerate(self.features)]
+        return self.fitted.importance()
 
 
 def feature_importance(spark, model: Boosted) -> DataFrame:
@@ -226,23 +205,36 @@ def base_probabilities(models: dict, df: DataFrame) -> DataFrame:
     return out
 
 
+#: The boosted second level, which has few columns: smaller trees, every round kept.
+META = Settings(rounds=500, max_depth=5)
+
+
 @dataclass
 class Stacked:
-    """Logistic meta-model over the concatenated probabilities of base models."""
+    """Meta-model, logistic or boosted, over the concatenated probabilities of base models."""
 
     models: dict
     label: str = "auto_label_id"
-    max_iter: int = 100
-    meta: PipelineModel | None = None
+    meta_type: str = "logistic"
+    c: float = 1.0
+    max_iter: int = 1000
+    key: str = "post_id"
+    meta: PipelineModel | Boosted | None = None
+    held: DataFrame | None = None
 
     def inputs(self) -> list[str]:
         return [f"{m}_{p}" for m in self.models for p in PROBS]
 
     def fit_meta(self, scored: DataFrame) -> "Stacked":
+        if self.meta_type == "boosted":
+            self.meta = Boosted(self.inputs(), self.label, META, key=self.key).fit_all(scored)
+            return self
         assembler = VectorAssembler(inputCols=self.inputs(), outputCol="_meta")
-        regression = LogisticRegression(featuresCol="_meta", labelCol=self.label, family="multinomial", maxIter=self.max_iter,
-                                        probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction")
-        self.meta = Pipeline(stages=[assembler, regression]).fit(scored.select(self.label, *self.inputs()))
+        rows = scored.select(self.label, *self.inputs())
+        regression = LogisticRegression(featuresCol="_meta", labelCol=self.label, family="multinomial", maxIter=self.max_iter, standardization=False,
+                                        regParam=1.0 / (self.c * max(rows.count(), 1)), probabilityCol="_probability", rawPredictionCol="_raw",
+                                        predictionCol="_prediction")
+        self.meta = Pipeline(stages=[assembler, regression]).fit(rows)
         return self
 
     def fit(self, df: DataFrame) -> "Stacked":
@@ -250,6 +242,8 @@ class Stacked:
 
     def transform(self, df: DataFrame) -> DataFrame:
         scored = self.meta.transform(base_probabilities(self.models, df))
+        if self.meta_type == "boosted":
+            return scored
         return probability_columns(scored).drop("_meta", "_probability", "_raw", "_prediction")
 
 
@@ -270,22 +264,34 @@ def fit_or_uniform(make, df: DataFrame):
         return Uniform()
 
 
-def oof_stacking(df: DataFrame, makers: dict, label: str = "auto_label_id", folds: int = 3, key: str = "post_id", seed: int = 42
-                 ) -> Stacked:
-    """Meta-model trained on scores from base models that never saw the scored fold."""
-    folded = stratified_kfold(df, label, folds, key, seed).persist()
+def out_of_fold(df: DataFrame, makers: dict, label: str, folds: int, key: str, seed: int) -> DataFrame:
+    """Rows (key, label, fold, probabilities of every base model), each scored by models that never saw its fold."""
+    folded = measured(stratified_kfold(df, label, folds, key, seed), "folded")
+    by_fold = {}
+    for name, make in makers.items():
+        model = make()
+        if isinstance(model, Boosted):  # all folds in the same passes
+            try:
+                by_fold[name] = model.fit_folds(folded, folds)
+                continue
+            except ValueError as problem:
+                warnings.warn(f"base model failed, uniform scores used: {problem}", stacklevel=2)
+                by_fold[name] = [Uniform()] * folds
+                continue
+        by_fold[name] = [fit_or_uniform(make, folded.filter(F.col("fold") != f).drop("fold")) for f in range(folds)]
     held = None
     for f in range(folds):
-        train = folded.filter(F.col("fold") != f).drop("fold")
-        models = {name: fit_or_uniform(make, train) for name, make in makers.items()}
-        part = base_probabilities(models, folded.filter(F.col("fold") == f).drop("fold"))
-        part = part.select(key, label, *[f"{m}_{p}" for m in makers for p in PROBS])
+        part = base_probabilities({name: models[f] for name, models in by_fold.items()}, folded.filter(F.col("fold") == f))
+        part = part.select(key, label, "fold", *[f"{m}_{p}" for m in makers for p in PROBS])
         held = part if held is None else held.unionByName(part)
-    held = held.persist()
-    stacked = Stacked({name: fit_or_uniform(make, df) for name, make in makers.items()}, label).fit_meta(held)
-    held.unpersist()
-    folded.unpersist()
-    return stacked
+    return measured(held, "held-scores")
+
+
+def oof_stacking(df: DataFrame, makers: dict, label: str = "auto_label_id", folds: int = 5, key: str = "post_id", seed: int = 42,
+                 meta_type: str = "boosted") -> Stacked:
+    """Meta-model trained on scores from base models that never saw the scored fold; the base models are then fitted on all rows."""
+    held = out_of_fold(df, makers, label, folds, key, seed)
+    return Stacked({name: fit_or_uniform(make, df) for name, make in makers.items()}, label, meta_type, key=key, held=held).fit_meta(held)
 
 
 def bootstrap_scores(train: DataFrame, score: DataFrame, features: list[str], label: str = "auto_label_id", rounds: int = 3,
@@ -309,8 +315,12 @@ def bootstrap_scores(train: DataFrame, score: DataFrame, features: list[str], la
     return out
 
 
-def batch_score(model, df: DataFrame, text_col: str = "full_text") -> DataFrame:
-    """Probabilities, served label and confidence for a table of texts."""
+def batch_score(model, df: DataFrame, text_col: str = "full_text", features: list[str] | None = None) -> DataFrame:
+    """Probabilities, served label and confidence for a table of texts; with ``features`` also a map of those columns' values."""
     from sentiloom.functions.sentiment import explain_reason, threshold_classifier
 
-    return explain_reason(threshold_classifier(model.transform(df), text_col))
+    out = explain_reason(threshold_classifier(model.transform(df), text_col))
+    if features is None:
+        return out
+    pairs = [x for c in features for x in (F.lit(c), F.col(c).cast("double"))]
+    return out.withColumn("features", F.create_map(*pairs))

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sentiloom.functions import sentiment as S
+from sentiloom.lexicons import PRODUCTION_43
 from sentiloom.models import classifiers as C
 from sentiloom.models import explain as X
 from sentiloom.models.scorer import scorer_udf
@@ -17,8 +18,7 @@ from sentiloom.plans.features import process_posts, production_features
 from sentiloom.plans.registry import query
 from sentiloom.session import cut, scratch_path
 
-NUMERIC = ["score", "upvote_ratio", "num_comments", "word_count", "exclamation_count", "bullish_keyword_count",
-           "bearish_keyword_count", "uncertainty_keyword_count", "total_crypto_mentions", "engagement_ratio"]
+NUMERIC = PRODUCTION_43
 
 
 def training(v):
@@ -27,7 +27,7 @@ def training(v):
         t = v.cleaned.select("post_id", "full_text", "cleaned_text", "score", "upvote_ratio", "num_comments")
         rows = production_features(t, "full_text").withColumn("auto_label_id", S.heuristic_label(F.col("full_text")))
         rows = rows.select("post_id", "full_text", "cleaned_text", "auto_label_id", *NUMERIC)
-        v._made["_training"] = cut(stratified_split(cut(rows), "auto_label_id"))
+        v._made["_training"] = stratified_split(cut(rows), "auto_label_id")
     return v._made["_training"]
 
 
@@ -36,11 +36,11 @@ def part(v, *names):
 
 
 def baseline(v, **kw):
-    return C.Baseline(text_col="cleaned_text", max_iter=kw.pop("max_iter", 30), **kw)
+    return C.Baseline(text_col="cleaned_text", **kw)
 
 
 def boosted(v, **kw):
-    return C.Boosted(features=NUMERIC, max_iter=kw.pop("max_iter", 5), max_depth=3, **kw)
+    return C.Boosted(features=NUMERIC, **kw)
 
 
 def scored_rows(scored):
@@ -55,7 +55,7 @@ def _baseline_classifier(v):
 
 @query("boosted_classifier")
 def _boosted_classifier(v):
-    model = boosted(v).fit_cv(part(v, "train"), folds=2)
+    model = boosted(v).fit_cv(part(v, "train"))
     return scored_rows(model.transform(part(v, "test"))).select("post_id", "y_true", "y_pred", *r6(*C.PROBS))
 
 
@@ -90,13 +90,20 @@ def _top_terms_per_class(v):
 def _stacking(v):
     train = part(v, "train")
     models = {"baseline": baseline(v).fit(train), "boosted": boosted(v).fit(train)}
-    return scored_rows(C.Stacked(models, max_iter=30).fit(part(v, "val")).transform(part(v, "test")))
+    return scored_rows(C.Stacked(models).fit(part(v, "val")).transform(part(v, "test")))
 
 
 @query("oof_stacking")
 def _oof_stacking(v):
-    makers = {"baseline": lambda: baseline(v, max_iter=15), "boosted": lambda: boosted(v, max_iter=3)}
-    return scored_rows(C.oof_stacking(part(v, "train"), makers, folds=2).transform(part(v, "test")))
+    """Both meta-models over the same out-of-fold scores."""
+    makers = {"baseline": lambda: baseline(v), "boosted": lambda: boosted(v)}
+    first = C.oof_stacking(part(v, "train"), makers)
+    out = None
+    for meta in ("boosted", "logistic"):
+        model = first if meta == first.meta_type else C.Stacked(first.models, meta_type=meta).fit_meta(first.held)
+        scored = scored_rows(model.transform(part(v, "test"))).withColumn("meta_model", F.lit(meta))
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 @query("bootstrap_uncertainty")
@@ -116,7 +123,7 @@ def _train_eval(v):
 
 @query("hyperparameter_search")
 def _hyperparameter_search(v):
-    return hyperparameter_search(part(v, "train"), NUMERIC, trials=2, folds=2, max_trees=10)
+    return hyperparameter_search(part(v, "train"), NUMERIC)
 
 
 @query("linear_contributions")
@@ -144,8 +151,9 @@ def _permutation_importance(v):
 @query("batch_score")
 def _batch_score(v):
     model = baseline(v).fit(part(v, "train"))
-    return C.batch_score(model, training(v).drop("split")).select(
-        "post_id", "prediction", *r6("confidence", *C.PROBS), "confidence_level", "reason")
+    return C.batch_score(model, training(v).drop("split"), features=NUMERIC[:10]).select(
+        "post_id", "prediction", *r6("confidence", *C.PROBS), "confidence_level", "reason",
+        *[F.round(F.col("features")[c], 6).alias(f"feature_{c}") for c in NUMERIC[:10]])
 
 
 @query("save_load_model")
@@ -171,7 +179,7 @@ def _topics(v):
 def _model_interface(v):
     """Both classifiers through the same fit/transform contract."""
     out = None
-    for name, model in (("baseline", baseline(v, max_iter=10)), ("boosted", boosted(v, max_iter=2))):
+    for name, model in (("baseline", baseline(v)), ("boosted", boosted(v))):
         scored = model.fit(part(v, "train")).transform(part(v, "test"))
         total = sum((F.col(p) for p in C.PROBS), F.lit(0.0))
         row = scored.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("rows"),
