@@ -118,17 +118,29 @@ def rolling_mean(df: DataFrame, group: list[str], order_by: list, rows: int, mea
                  ) -> DataFrame:
     """Mean of columns over the last ``rows`` rows of each group, ending at the current row.
 
-    ``means`` maps an output name to a column.  Each group is cut into blocks of positions
-    and a block also gets copies of the ``rows - 1`` rows before it, so no group is one task.  Each frame is summed on its
-    own: a NaN or a very large value touches the frames it lies in and no other.
+    ``means`` maps an output name to a column.  Positions are cut into runs of ``rows``.  The frame of a row is the beginning of its own run
+    up to it and the end of the run before from the row that lies ``rows - 1`` back: one running sum from each side, no subtraction, the same
+    work for a row however long the frame is, and a NaN or a very large value touches the frames it lies in and no other.  A group is cut into
+    blocks of whole runs, and a block also gets the last run before it, so no group is one task.
     """
+    rows = max(rows, 1)
+    block = -(-max(block, rows) // rows) * rows
     placed = with_group_position(df, group, order_by, "_pos", "_size").drop("_size")
-    pos, reach = F.col("_pos"), max(rows - 1, 0)
-    block = max(block, rows)
-    own = F.floor(pos / block)
-    # a row in the last `reach` positions of its block is also needed by the next one
-    targets = F.when(pos % block >= block - reach, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = placed.withColumn("_own", own).withColumn("_block", F.explode(targets))
-    frame = Window.partitionBy(*group, "_block").orderBy("_pos").rowsBetween(-reach, Window.currentRow)
-    out = spread.withColumns({n: F.avg(F.col(c).cast("double")).over(frame) for n, c in means.items()})
-    return out.filter(F.col("_block") == F.col("_own")).drop("_pos", "_own", "_block")
+    own = F.floor(F.col("_pos") / block)
+    targets = F.when(F.col("_pos") % block >= block - rows, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = placed.withColumns({"_own": own, "_run": F.floor(F.col("_pos") / rows)}).withColumn("_block", F.explode(targets))
+    run = Window.partitionBy(*group, "_block", "_run")
+    back = run.orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = run.orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*group, "_block").orderBy("_run", "_pos")
+    values = {n: F.col(c).cast("double") for n, c in means.items()}
+    ends = spread.withColumns({f"_end_{n}": F.struct(F.sum(v).over(back).alias("sum"), F.count(v).over(back).alias("n")) for n, v in values.items()})
+    parts = {}
+    for n, v in values.items():
+        earlier = F.lag(f"_end_{n}", rows - 1).over(before)
+        whole = (F.col("_pos") + 1) % rows == 0  # the frame is the run itself
+        parts[f"_sum_{n}"] = F.coalesce(F.sum(v).over(ahead), F.lit(0.0)) + F.when(whole, 0.0).otherwise(F.coalesce(earlier["sum"], F.lit(0.0)))
+        parts[f"_n_{n}"] = F.count(v).over(ahead) + F.when(whole, 0).otherwise(F.coalesce(earlier["n"], F.lit(0)))
+    out = ends.withColumns(parts).filter(F.col("_block") == F.col("_own"))
+    out = out.withColumns({n: F.when(F.col(f"_n_{n}") > 0, F.col(f"_sum_{n}") / F.col(f"_n_{n}")) for n in means})
+    return out.drop("_pos", "_own", "_run", "_block", *[f"_{x}_{n}" for n in means for x in ("end", "sum", "n")])

@@ -97,6 +97,21 @@ def test_rolling_mean_keeps_nan_and_large_values_to_their_frames(spark):
     assert [i for i, m in enumerate(got) if m != m] == [2, 3] and got[4] == pytest.approx(0.1) and got[8] == got[9] == pytest.approx(0.1)
 
 
+def test_rolling_mean_equals_a_plain_one(spark):
+    rnd = random.Random(8)
+    xs = [rnd.choice([None, float("nan"), 1e17, 0.5, 0.25, 3.0]) if rnd.random() < 0.1 else rnd.random() for _ in range(400)]
+    df = spark.createDataFrame([(i % 3 == 0, i, x) for i, x in enumerate(xs)], "g boolean, id int, x double")
+    for rows, block in ((1, 1), (7, 14), (50, 60), (1000, 1)):
+        got = {r.id: r.m for r in ranking.rolling_mean(df, ["g"], ["id"], rows, {"m": "x"}, block=block).collect()}
+        assert len(got) == 400
+        for g in (True, False):
+            mine = [i for i in range(400) if (i % 3 == 0) == g]
+            for n, i in enumerate(mine):
+                frame = [xs[j] for j in mine[max(0, n - rows + 1) : n + 1] if xs[j] is not None]
+                want = sum(frame) / len(frame) if frame else None
+                assert got[i] == want if want is None else got[i] == pytest.approx(want, nan_ok=True), (rows, i)
+
+
 def test_latest_rank_up_to(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("a", 3), ("a", 2), ("b", None)], "post_id string, predicted_at int")
     assert sorted(r.latest_rank for r in joins.latest_rank(df, 3).collect()) == [1, 1, 3]
