@@ -1,7 +1,9 @@
-"""Pipeline stages that turn text into the checked TF-IDF vectors, row by row and in the JVM."""
+"""Pipeline stages that turn text into the checked TF-IDF vectors, row by row; only the logarithm of the counts leaves the JVM, in Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -9,23 +11,25 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sentiloom.operators.terms import fit_vocabulary, grams
 
-_SPARSE = "struct<v:struct<type:tinyint,size:int,indices:array<int>,values:array<double>>>"
-_VECTOR = T.StructType([T.StructField("v", VectorUDT())])
+@F.arrow_udf(VectorUDT.sqlType())
+def vector_parts(vector: pa.Array) -> pa.Array:
+    """Struct with type, size, indices and values of a vector column: the batch as it is."""
+    return vector
 
 
-def vector_parts(vector: Column) -> Column:
-    """Struct with type, size, indices and values of a vector column."""
-    return F.from_json(F.to_json(F.struct(vector.alias("v"))), _SPARSE)["v"]
-
-
-def parts_to_vector(parts: Column) -> Column:
-    return F.from_json(F.to_json(F.struct(parts.alias("v"))), _VECTOR)["v"]
+@F.arrow_udf(VectorUDT())
+def damped(vector: pa.Array) -> pa.Array:
+    """Counts of a vector to 1 + ln(count), a whole Arrow batch at once."""
+    values = vector.field("values")
+    flat = pa.array(np.log(values.values.to_numpy(zero_copy_only=False)) + 1.0)
+    changed = pa.ListArray.from_arrays(values.offsets, flat, type=values.type, mask=values.is_null())
+    fields = [changed if f.name == "values" else vector.field(i) for i, f in enumerate(vector.type)]
+    return pa.StructArray.from_arrays(fields, fields=list(vector.type))
 
 
 class GramColumn(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -49,11 +53,7 @@ class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        parts = F.col("_parts")
-        damped = F.struct(parts["type"].alias("type"), parts["size"].alias("size"), parts["indices"].alias("indices"),
-                          F.transform(parts["values"], lambda x: F.log(x) + 1.0).alias("values"))
-        return df.withColumn("_parts", vector_parts(F.col(self.getInputCol()))).withColumn(
-            self.getOutputCol(), parts_to_vector(damped)).drop("_parts")
+        return df.withColumn(self.getOutputCol(), damped(F.col(self.getInputCol())))
 
 
 class TextVectors(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentiloom.operators.dictionary import hashed_dictionary
 from sentiloom.session import measured
 
 
@@ -79,9 +80,17 @@ def lexicon_join(words: DataFrame, lexicon: DataFrame, key: str = "post_id") ->
         F.count(F.lit(1)).alias("hits"))
 
 
-def lemma_join(words: DataFrame, lemmas: DataFrame, key: str = "post_id") -> DataFrame:
-    """Rebuild each post's text from dictionary lemmas (word, lemma); unknown words stay."""
-    looked_up = dictionary_join(words, lemmas, "word", "left")
+def lemma_join(posts: DataFrame, words: str, lemmas: DataFrame, key: str = "post_id") -> DataFrame:
+    """Rebuild each post's text from dictionary lemmas (word, lemma); unknown words stay.
+
+    ``words`` is an array column.  Words are looked up inside the row; a dictionary too large for that is joined, and a post's words are
+    gathered again.
+    """
+    table, hashed = hashed_dictionary(lemmas.select("word", "lemma"))
+    if hashed is not None:
+        found = F.zip_with(F.col("_w"), hashed.entries(F.col("_w")), lambda w, e: F.coalesce(e["lemma"], w))
+        return hashed.attach(posts.select(key, F.col(words).alias("_w"))).select(key, F.array_join(found, " ").alias("lemmatized_text"))
+    looked_up = dictionary_join(posts.select(key, F.posexplode(words).alias("pos", "word")), table, "word", "left")
     pairs = F.struct("pos", F.coalesce("lemma", "word").alias("w"))
     return looked_up.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(pairs)), lambda e: e["w"]), " ").alias("lemmatized_text"))

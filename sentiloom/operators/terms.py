@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sentiloom.functions import patterns as P
 from sentiloom.functions.text import bind, tokens
+from sentiloom.operators.dictionary import hashed_dictionary, runs_of_equal
+from sentiloom.operators.joins import dictionary_join
 
 PAD, UNK, FIRST_ID = 0, 1, 2  # fixed values
 
@@ -22,14 +24,12 @@ def fit_vocabulary(df: DataFrame, text_col: str, max_features: int = 100, min_df
                    key: str = "post_id") -> DataFrame:
     """Terms with index and smooth idf: at most ``max_features`` rows, ties by term.
 
-    Term and document counts come from the same exploded rows, summed map-side per term.
+    A post's terms are counted inside the row, so each of its distinct terms is one row with both counts, summed map-side per term.
     """
     n = df.select(F.count(F.lit(1))).scalar()
-    marked = df.select(grams(F.col(text_col)).alias("_g")).select(F.explode_outer(F.concat(
-        F.transform("_g", lambda g: F.struct(g.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct("_g"), lambda g: F.struct(g.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))),
-    )).alias("e")).select("e.*").filter(F.col("term").isNotNull())
-    counts = marked.groupBy("term").agg(F.sum("tf").alias("corpus_count"), F.sum("df").alias("doc_count"))
+    sorted_terms = F.transform(F.sort_array(grams(F.col(text_col))), lambda g: F.struct(g.alias("term")))
+    counted = df.select(F.explode(runs_of_equal(sorted_terms, "term")).alias("e")).select(F.col("e.item.term").alias("term"), F.col("e.n").alias("tf"))
+    counts = counted.groupBy("term").agg(F.sum("tf").alias("corpus_count"), F.count(F.lit(1)).alias("doc_count"))
     kept = counts.filter((F.col("doc_count") >= min_df) & (F.col("doc_count") <= max_df * n))
     top = kept.orderBy(F.desc("corpus_count"), "term").limit(max_features)
     # at most max_features rows reach this window
@@ -38,22 +38,33 @@ def fit_vocabulary(df: DataFrame, text_col: str, max_features: int = 100, min_df
         "idf": F.log((1 + n) / (1 + F.col("doc_count"))) + 1.0})
 
 
+def _weighted(df: DataFrame, key: str, found: Column, sublinear: bool) -> DataFrame:
+    """Rows from an array of vocabulary entries per post: counted, weighted and scaled inside the row."""
+    known = F.array_sort(F.transform(F.array_compact(found), lambda e: F.struct(e["term_index"].alias("term_index"), e["term"].alias("term"), e["idf"].alias("idf"))))
+
+    def tf(n: Column) -> Column:
+        return F.log(n.cast("double")) + 1.0 if sublinear else n.cast("double")
+
+    raw = F.transform(runs_of_equal(known, "term_index"), lambda r: F.struct(
+        r["item"]["term_index"].alias("term_index"), r["item"]["term"].alias("term"), (tf(r["n"]) * r["item"]["idf"]).alias("raw")))
+    # one array from one expression, so that nothing above it is worked out twice
+    scaled = bind(raw, lambda x: bind(F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, e: a + e["raw"] * e["raw"])), lambda norm: F.transform(
+        x, lambda e: F.struct(e["term_index"].alias("term_index"), e["term"].alias("term"), (e["raw"] / norm).alias("weight")))))
+    return df.select(key, F.inline(scaled))
+
+
 def tfidf(df: DataFrame, text_col: str, vocabulary: DataFrame, sublinear: bool = False, key: str = "post_id") -> DataFrame:
     """(key, term_index, term, weight) rows, each post scaled to length 1.
 
-    The vocabulary is bounded by its ``max_features``, so it is broadcast; words outside it
-    are dropped before anything is shuffled.
+    Terms are looked up, counted and weighted inside the row: no shuffle but that of the vocabulary.  A vocabulary beyond the
+    bound of :mod:`sentiloom.operators.dictionary` is joined, and one row per post and known term is gathered.
     """
-    hits = (
-        df.select(key, F.explode_outer(grams(F.col(text_col))).alias("term"))
-        .join(F.broadcast(vocabulary.select("term", "term_index", "idf")), "term")
-        .groupBy(key, "term_index", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("idf").alias("idf"))
-    )
-    tf = F.log(F.col("tf").cast("double")) + 1.0 if sublinear else F.col("tf").cast("double")
-    raw = hits.select(key, "term_index", "term", (tf * F.col("idf")).alias("raw"))
-    # a post has at most one row per vocabulary term
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term_index", "term", (F.col("raw") / norm).alias("weight"))
+    table, hashed = hashed_dictionary(vocabulary.select("term", "term_index", "idf"), "term")
+    if hashed is not None:
+        return _weighted(hashed.attach(df.select(key, grams(F.col(text_col)).alias("_g"))), key, hashed.entries(F.col("_g")), sublinear)
+    hits = dictionary_join(df.select(key, F.explode_outer(grams(F.col(text_col))).alias("term")), table, "term").groupBy(key).agg(
+        F.collect_list(F.struct("term_index", "term", "idf")).alias("_found"))
+    return _weighted(hits, key, F.col("_found"), sublinear)
 
 
 def vocab_count(df: DataFrame, text_col: str, max_vocab: int = 10000) -> DataFrame:
@@ -68,11 +79,15 @@ def vocab_count(df: DataFrame, text_col: str, max_vocab: int = 10000) -> DataFra
 
 
 def token_ids(df: DataFrame, text_col: str, vocabulary: DataFrame, max_len: int = 200, key: str = "post_id") -> DataFrame:
-    """Fixed-length id lists: unknown words 1, padded with 0, cut at ``max_len``."""
-    words = df.select(key, F.posexplode_outer(F.slice(tokens(F.lower(F.col(text_col))), 1, max_len)).alias("pos", "word"))
-    coded = words.join(F.broadcast(vocabulary.select("word", "token_id")), "word", "left")
-    # a post has at most max_len rows
-    pairs = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK)).alias("id")))
-    listed = coded.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(pairs)), lambda e: e["id"]).alias("ids"))
-    padded = F.slice(F.concat("ids", F.array_repeat(F.lit(PAD), max_len)), 1, max_len)
-    return listed.select(key, padded.alias("token_ids"))
+    """Fixed-length id lists: unknown words 1, padded with 0, cut at ``max_len``.  Words are looked up inside the row."""
+    words = F.slice(F.coalesce(tokens(F.lower(F.col(text_col))), F.array().cast("array<string>")), 1, max_len)
+    table, hashed = hashed_dictionary(vocabulary.select("word", "token_id"))
+    if hashed is not None:
+        ids = F.transform(hashed.entries(F.col("_w")), lambda e: F.coalesce(e["token_id"].cast("int"), F.lit(UNK)))
+        listed = hashed.attach(df.select(key, words.alias("_w"))).select(key, ids.alias("ids"))
+    else:
+        coded = dictionary_join(df.select(key, F.posexplode_outer(words).alias("pos", "word")), table, "word", "left")
+        # a post has at most max_len rows
+        pairs = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce(F.col("token_id").cast("int"), F.lit(UNK)).alias("id")))
+        listed = coded.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(pairs)), lambda e: e["id"]).alias("ids"))
+    return listed.select(key, F.slice(F.concat("ids", F.array_repeat(F.lit(PAD), max_len)), 1, max_len).alias("token_ids"))

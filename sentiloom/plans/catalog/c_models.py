@@ -21,18 +21,23 @@ from sentiloom.session import cut, scratch_path
 NUMERIC = PRODUCTION_43
 
 
-def training(v):
-    """Posts with text, production features and a heuristic label, split into train, val and test (written once)."""
-    if "_training" not in v._made:
+def training(v, numeric: bool = True):
+    """Posts with text, heuristic label and split, and for numeric models the production features (each form written once)."""
+    name = "_training" if numeric else "_training_text"
+    if name not in v._made:
         t = v.cleaned.select("post_id", "full_text", "cleaned_text", "score", "upvote_ratio", "num_comments")
-        rows = production_features(t, "full_text").withColumn("auto_label_id", S.heuristic_label(F.col("full_text")))
-        rows = rows.select("post_id", "full_text", "cleaned_text", "auto_label_id", *NUMERIC)
-        v._made["_training"] = stratified_split(cut(rows), "auto_label_id")
-    return v._made["_training"]
+        rows = (production_features(t, "full_text") if numeric else t).withColumn("auto_label_id", S.heuristic_label(F.col("full_text")))
+        rows = rows.select("post_id", "full_text", "cleaned_text", "auto_label_id", *(NUMERIC if numeric else []))
+        v._made[name] = stratified_split(cut(rows), "auto_label_id")
+    return v._made[name]
 
 
-def part(v, *names):
-    return training(v).filter(F.col("split").isin(*names)).drop("split")
+def part(v, *names, numeric: bool = True):
+    return training(v, numeric).filter(F.col("split").isin(*names)).drop("split")
+
+
+def text_part(v, *names):
+    return part(v, *names, numeric=False)
 
 
 def baseline(v, **kw):
@@ -49,8 +54,8 @@ def scored_rows(scored):
 
 @query("baseline_classifier")
 def _baseline_classifier(v):
-    model = baseline(v).fit(part(v, "train"))
-    return scored_rows(model.transform(part(v, "test"))).select("post_id", "y_true", "y_pred", *r6(*C.PROBS))
+    model = baseline(v).fit(text_part(v, "train"))
+    return scored_rows(model.transform(text_part(v, "test"))).select("post_id", "y_true", "y_pred", *r6(*C.PROBS))
 
 
 @query("boosted_classifier")
@@ -83,7 +88,7 @@ def _top_features(v):
 
 @query("top_terms_per_class")
 def _top_terms_per_class(v):
-    return C.top_terms_per_class(v.spark, baseline(v).fit(part(v, "train")), 20)
+    return C.top_terms_per_class(v.spark, baseline(v).fit(text_part(v, "train")), 20)
 
 
 @query("stacking")
@@ -113,9 +118,9 @@ def _bootstrap_uncertainty(v):
 
 @query("train_eval")
 def _train_eval(v):
-    model = baseline(v).fit(part(v, "train"))
-    rows = scored_rows(model.transform(part(v, "val", "test"))).withColumn("model", F.lit("baseline"))
-    sizes = training(v).groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    model = baseline(v).fit(text_part(v, "train"))
+    rows = scored_rows(model.transform(text_part(v, "val", "test"))).withColumn("model", F.lit("baseline"))
+    sizes = training(v, numeric=False).groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("n"))
     metrics = E.all_metrics(rows, ["model"]).drop("model", "support")
     flat = metrics.select(F.explode(F.create_map(*[x for c in metrics.columns for x in (F.lit(c), F.col(c))])).alias("name", "value"))
     return flat.unionByName(sizes.select(F.concat(F.col("split"), F.lit("_size")).alias("name"), F.col("n").alias("value")))
@@ -159,11 +164,11 @@ def _batch_score(v):
 @query("save_load_model")
 def _save_load_model(v):
     path = scratch_path(v.spark, "baseline-model")
-    model = baseline(v).fit(part(v, "train"))
+    model = baseline(v).fit(text_part(v, "train"))
     model.save(path)
     again = C.Baseline.load(path)
-    before = model.transform(part(v, "test")).select("post_id", *C.PROBS)
-    after = again.transform(part(v, "test")).select("post_id", *[F.col(p).alias(f"again_{p}") for p in C.PROBS])
+    before = model.transform(text_part(v, "test")).select("post_id", *C.PROBS)
+    after = again.transform(text_part(v, "test")).select("post_id", *[F.col(p).alias(f"again_{p}") for p in C.PROBS])
     gap = F.greatest(*[F.abs(F.col(p) - F.col(f"again_{p}")) for p in C.PROBS])
     return before.join(after, "post_id").agg(F.count(F.lit(1)).alias("rows"), F.max(gap).alias("largest_gap"))
 

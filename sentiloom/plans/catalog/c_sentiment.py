@@ -35,8 +35,8 @@ SELECT post_id, {_joined(_lemmas(O.toks('cleaned_text')))} AS lemmatized_text FR
 WHERE cleaned_text <> ''""", "posts")
 def _lemma_join(v):
     lemmas = v.spark.createDataFrame(list(L.LEMMAS.items()), "word string, lemma string")
-    words = v.cleaned.select("post_id", F.posexplode_outer(X.tokens(F.col("cleaned_text"))).alias("pos", "word"))
-    return J.lemma_join(words.filter(F.col("word").isNotNull()), lemmas)
+    posts = v.cleaned.select("post_id", X.tokens(F.col("cleaned_text")).alias("words")).filter(F.size("words") > 0)
+    return J.lemma_join(posts, "words", lemmas)
 
 
 _SYN = ", ".join(f"({O.q(w)}, {O.q(s[0])}, {len(s)})" for w, s in L.SYNONYMS.items())

@@ -301,3 +301,31 @@ def test_alert_hold(spark):
     series = df.withColumn("slot", F.timestamp_seconds("s"))
     out = monitoring.alert_hold(series, F.col("x") > 0, 180, 60).collect()
     assert [(r["since"].minute, r["slots"]) for r in out] == [(3, 3)]  # a gap in the slots ends a stretch
+
+
+def test_hashed_dictionary_equals_a_join(spark, monkeypatch):
+    from sentiloom.operators import dictionary, terms
+
+    rnd = random.Random(12)
+    rows = [(str(i), " ".join(rnd.choice(["aa", "bb", "cc dd", "éé", "zz9"]) for _ in range(rnd.choice([0, 1, 5, 60])))) for i in range(40)] + [("n", None)]
+    df = spark.createDataFrame(rows, "post_id string, t string")
+    vocabulary = terms.fit_vocabulary(df, "t", 50)
+    words = terms.vocab_count(df, "t")
+    lemmas = spark.createDataFrame([("aa", "a"), ("éé", "e"), ("none", "x"), (None, "y")], "word string, lemma string")
+    split = df.filter("t is not null").selectExpr("post_id", "split(t, ' ') as w")
+
+    def all_three():
+        return [sorted(map(str, x.collect())) for x in (terms.tfidf(df, "t", vocabulary, True), terms.token_ids(df, "t", words, 9), joins.lemma_join(split, "w", lemmas))]
+
+    looked_up = all_three()
+    for x in (terms.token_ids(df, "t", words), joins.lemma_join(split, "w", lemmas)):
+        main = x._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+        assert "Exchange" not in main and "Join" not in main
+    monkeypatch.setattr(dictionary.hashed_dictionary, "__defaults__", ("word", 0))
+    assert all_three() == looked_up and len(looked_up[0]) > 50
+
+
+def test_empty_dictionary(spark):
+    none = spark.createDataFrame([], "word string, lemma string")
+    got = joins.lemma_join(spark.createDataFrame([("p", ["a", "b"])], "post_id string, w array<string>"), "w", none).collect()
+    assert [r.lemmatized_text for r in got] == ["a b"]
