@@ -64,8 +64,8 @@ def _stream_dedup(v):
     rows = v.collections.select("post_id", "run").join(v.posts.select("post_id", "created_utc"), "post_id")
     rows = rows.withColumn("created_utc", F.col("created_utc").cast("timestamp"))
     target, checkpoint = places(v, "dedup")
-    J.stream_dedup(streamed(v, rows, "dedup-source", 3), target, checkpoint, WHOLE)
-    return v.spark.read.parquet(target).select("post_id")
+    J.stream_dedup_whole(streamed(v, rows, "dedup-source", 5), target, checkpoint, 8)
+    return v.spark.read.parquet(f"{target}/posts").select("post_id")
 
 
 @query("stream_live_feed", f"""
@@ -112,14 +112,16 @@ def _stream_daily_metrics(v):
 
 
 @query("stream_sliding_rates", """
-SELECT slot, count(*) AS calls, count_if(NOT success)::BIGINT AS errors, round(count_if(NOT success)::DOUBLE / count(*), 6) AS error_rate
-FROM (SELECT success, make_timestamp((floor(epoch_us(predicted_at) / 30000000) * 30000000 - i * 30000000)::BIGINT) AS slot
+SELECT slot, count(*) AS calls, count_if(NOT success)::BIGINT AS errors, round(count_if(NOT success)::DOUBLE / count(*), 6) AS error_rate,
+ round(list_sort(list(response_time_ms) FILTER (WHERE response_time_ms IS NOT NULL))[greatest(1, ceil(0.95 * count(response_time_ms)))::BIGINT], 6) AS p95_ms
+FROM (SELECT success, response_time_ms, make_timestamp((floor(epoch_us(predicted_at) / 30000000) * 30000000 - i * 30000000)::BIGINT) AS slot
  FROM predictions, range(10) r(i)) x GROUP BY slot""", "predictions")
 def _stream_sliding_rates(v):
     target, checkpoint = places(v, "sliding")
-    J.stream_sliding_rates(prediction_stream(v), target, checkpoint, WHOLE)
-    out = J.final_state(v.spark, target, ["slot"])
-    return out.select(F.col("slot").cast("timestamp_ntz").alias("slot"), "calls", "errors", *r6("error_rate"))
+    log = v.predictions.withColumn("predicted_at", F.col("predicted_at").cast("timestamp")).select("predicted_at", "success", "response_time_ms")
+    J.stream_sliding_rates(streamed(v, log, "sliding-source", 5), target, checkpoint, WHOLE)
+    out = J.sliding_rates(J.final_state(v.spark, target, ["pane"]))
+    return out.select(F.col("slot").cast("timestamp_ntz").alias("slot"), "calls", "errors", *r6("error_rate", "p95_ms"))
 
 
 @query("stream_rate_limit")
@@ -138,7 +140,14 @@ SELECT model_name, min(slot) AS since FROM (
 def _stream_alert_hold(v):
     series = v.error_series.withColumn("slot", F.col("slot").cast("timestamp"))
     target, checkpoint = places(v, "hold")
-    J.stream_alert_hold(streamed_in_order(v, series, "hold-source", "slot", ["2024-01-10", "2024-01-20"]), F.col("error_rate") > 0.15, 3 * 3600, 3600, target, checkpoint)
+    source = scratch_path(v.spark, "hold-source")
+    shuffled = series.select("model_name", "slot", "error_rate").withColumn("_b", F.pmod(F.xxhash64("model_name", "slot"), F.lit(5)))
+    for number in range(5):  # slots in any order over five batches, then one later row that lets the watermark pass them all
+        shuffled.filter(F.col("_b") == number).drop("_b").coalesce(1).write.mode("append").parquet(source)
+    ended = series.agg(F.lit("end").alias("model_name"), (F.max("slot") + F.expr("INTERVAL 400 DAYS")).alias("slot"), F.lit(0.0).alias("error_rate"))
+    ended.write.mode("append").parquet(source)
+    stream = v.spark.readStream.schema(ended.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    J.stream_alert_hold(stream, F.col("error_rate") > 0.15, 3 * 3600, 3600, target, checkpoint, "365 days")
     out = v.spark.read.parquet(target)
     return out.select("model_name", F.timestamp_micros("since_us").cast("timestamp_ntz").alias("since"))
 

@@ -72,6 +72,11 @@ def clear_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+
+
 def measured(df: DataFrame, name: str = "measured") -> DataFrame:
     """``df`` written to the shared folder and read again, so that the planner knows its size in bytes before it joins."""
     path = scratch_path(df.sparkSession, name)

@@ -8,18 +8,19 @@ replaces itself, a new checkpoint replaces nothing.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sentiloom.operators import drift, frames, monitoring
 from sentiloom.operators.monitoring import CALLS, PERIOD_SECONDS, admit
 from sentiloom.operators.quality import run_checks
-from sentiloom.session import STATE_STORE, cut
+from sentiloom.session import STATE_STORE, cut, make_folder
 from sentiloom.sources.posts import normalize_raw_posts
 from sentiloom.sources.sinks import write_quality_metrics
 
@@ -98,6 +99,54 @@ def stream_dedup(posts: DataFrame, target: str, checkpoint: str, lateness: str =
     return to_folder(once, target, checkpoint)
 
 
+KEY_BUCKETS = 64
+
+
+def _key_name(target: str) -> str:
+    return "seen_" + hashlib.sha256(target.encode()).hexdigest()[:24]
+
+
+def _key_table(spark: SparkSession, target: str, kind: str, buckets: int) -> str:
+    """The ids written so far as a table bucketed by id; a new session finds the folders of an earlier one."""
+    name = _key_name(target)
+    place = f"{target}/keys"
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (post_id {kind}, run STRING, batch BIGINT) USING parquet PARTITIONED BY (run, batch) "
+              f"CLUSTERED BY (post_id) SORTED BY (post_id) INTO {buckets} BUCKETS LOCATION '{place}'")
+    make_folder(spark, place)
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+    return name
+
+
+def unseen(batch: DataFrame, seen: DataFrame, buckets: int) -> DataFrame:
+    """Rows of ``batch``, the earliest of each id, whose id is not in ``seen``.  The batch goes to the buckets of ``seen``, which stays where it is."""
+    batch = batch.repartition(buckets, "post_id")
+    first = Window.partitionBy("post_id").orderBy("created_utc", F.xxhash64(*[F.col(c) for c in batch.columns]))
+    fresh = batch.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return fresh.join(seen.select(F.col("post_id").alias("_seen")), F.col("post_id") == F.col("_seen"), "left_anti")
+
+
+def stream_dedup_whole(posts: DataFrame, target: str, checkpoint: str, buckets: int = KEY_BUCKETS) -> None:
+    """First occurrence of each post id in the whole collection, however old a repeat is.
+
+    The ids are kept in a bucketed table below ``target``, a partition per batch.  A batch is compared with the ids of all batches but itself
+    and later ones, so a repeated batch gives the same rows; its rows are written before its ids.  Rows without an id are dropped.
+    """
+    kind = dict(posts.dtypes)["post_id"]
+
+    def handle(batch: DataFrame, number: int, run: str) -> None:
+        spark = batch.sparkSession
+        name = _key_table(spark, target, kind, buckets)
+        seen = spark.table(name).filter(~((F.col("run") == run) & (F.col("batch") >= number)))
+        unseen(batch.filter("post_id is not null"), seen, buckets).write.mode("overwrite").parquet(f"{target}/posts/run={run}/batch={number}")
+        made = spark.read.schema(batch.schema).parquet(f"{target}/posts/run={run}/batch={number}")
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (run = '{run}', batch = {number})")
+        slim = made.select("post_id", F.lit(run).alias("run"), F.lit(number).cast("long").alias("batch")).repartition(buckets, "post_id")
+        slim.write.mode("append").insertInto(name)
+
+    run_batches(posts, handle, checkpoint)
+    posts.sparkSession.sql(f"DROP TABLE IF EXISTS {_key_name(target)}")  # the folders stay
+
+
 def stream_live_feed(posts: DataFrame, score: Callable[[DataFrame], DataFrame], subreddits: list[str], min_confidence: float,
                      target: str, checkpoint: str) -> None:
     """Score asked posts as they arrive and keep running feed metrics."""
@@ -119,15 +168,39 @@ def stream_hourly_metrics(log: DataFrame, target: str, checkpoint: str, width: s
     return to_folder(counted.select(F.col("w.start").alias("slot"), *[c for c in counted.columns if c != "w"]), target, checkpoint, "update")
 
 
-def stream_sliding_rates(log: DataFrame, target: str, checkpoint: str, lateness: str = LATENESS) -> int:
-    """Error share and p95 latency over the last 5 minutes, every 30 seconds."""
-    slid = (
-        log.withWatermark("predicted_at", lateness).groupBy(F.window("predicted_at", "5 minutes", "30 seconds").alias("w"))
-        .agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("success")).alias("errors"),
-             F.percentile_approx("response_time_ms", 0.95).alias("p95_ms"))
+PANE = "30 seconds"
+PANES = 10  # of a sliding window of five minutes
+SKETCH = 4096  # values up to which a quantile sketch is exact; beyond, its rank error is under 0.1 %
+
+
+def stream_panes(log: DataFrame, target: str, checkpoint: str, lateness: str = LATENESS) -> int:
+    """Calls, errors and a mergeable quantile sketch of the response times per pane of 30 seconds.
+
+    A call is aggregated once, map-side first; windows are put together from panes (:func:`sliding_rates`), not from copies of calls.
+    Returns the calls that came after the bound.
+    """
+    panes = (
+        log.withWatermark("predicted_at", lateness).groupBy(F.window("predicted_at", PANE).alias("w"))
+        .agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("success")).alias("errors"), F.count("response_time_ms").alias("timed"),
+             F.kll_sketch_agg_double("response_time_ms", SKETCH).alias("sketch"))
     )
-    rates = slid.select(F.col("w.start").alias("slot"), "calls", "errors", (F.col("errors") / F.col("calls")).alias("error_rate"), "p95_ms")
-    return to_folder(rates, target, checkpoint, "update")
+    return to_folder(panes.select(F.col("w.start").alias("pane"), "calls", "errors", "timed", "sketch"), target, checkpoint, "update")
+
+
+def sliding_rates(panes: DataFrame) -> DataFrame:
+    """Error share and p95 latency over the last 5 minutes, every 30 seconds, from the newest state of each pane."""
+    step = F.expr(f"INTERVAL {PANE}")
+    shown = panes.withColumn("slot", F.explode(F.transform(F.sequence(F.lit(0), F.lit(PANES - 1)), lambda i: F.col("pane") - step * i)))
+    merged = shown.groupBy("slot").agg(
+        F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.sum("timed").alias("timed"),
+        F.kll_merge_agg_double(F.when(F.col("timed") > 0, F.col("sketch")), SKETCH).alias("sketch"))
+    p95 = F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(0.95)))
+    return merged.select("slot", "calls", "errors", (F.col("errors") / F.col("calls")).alias("error_rate"), p95.alias("p95_ms"))
+
+
+def stream_sliding_rates(log: DataFrame, target: str, checkpoint: str, lateness: str = LATENESS) -> int:
+    """Keep the panes of ``log`` below ``target``; read them with :func:`final_state` (key ``pane``) and :func:`sliding_rates`."""
+    return stream_panes(log, target, checkpoint, lateness)
 
 
 class RateLimiter(StatefulProcessor):
@@ -171,30 +244,42 @@ def stream_rate_limit(calls: DataFrame, target: str, checkpoint: str, lateness:
 
 
 class AlertHold(StatefulProcessor):
-    """Fire once when a condition has held for ``hold`` microseconds of evenly spaced slots."""
+    """Fire once when a condition has held for ``hold`` milliseconds of evenly spaced slots.
+
+    Slots wait in map state until the watermark has passed them; their timers then go off in order of time, so slots may
+    come late, shuffled and in any batch.  Only slots the watermark has not passed are held.
+    """
 
     def __init__(self, hold_seconds: int, step_seconds: int):
-        self.hold, self.step = hold_seconds * 1_000_000, step_seconds * 1_000_000
+        self.hold, self.step = hold_seconds * 1000, step_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms bigint", "is_on boolean")
         self.state = handle.getValueState("since", "since bigint, last bigint, fired boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for ms, on in zip(frame["ms"], frame["is_on"]):
+                self.waiting.updateValue((int(ms),), (bool(on),))
+                self.handle.registerTimer(int(ms))
+        yield pd.DataFrame({"model_name": pd.Series(dtype="str"), "since_us": pd.Series(dtype="int64"), "fired_us": pd.Series(dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
         since, last, fired = self.state.get() if self.state.exists() else (None, None, False)
+        on, = self.waiting.getValue((now,))
+        self.waiting.removeKey((now,))
         out = []
-        frame = pd.concat(list(rows)).sort_values("us")
-        for now, on in zip(frame["us"], frame["is_on"]):
-            now = int(now)
-            if not on:
-                since, fired = None, False
-            elif since is None or now - last != self.step:
-                since, fired = now, False
-            if since is not None and not fired and now - since + self.step >= self.hold:
-                fired = True
-                out.append((key[0], since, now))
-            last = now
-        self.state.update((since, last, fired))
-        yield pd.DataFrame(out, columns=["model_name", "since_us", "fired_us"])
+        if not on:
+            since, fired = None, False
+        elif since is None or now - last != self.step:
+            since, fired = now, False
+        if since is not None and not fired and now - since + self.step >= self.hold:
+            fired = True
+            out.append((key[0], since * 1000, now * 1000))
+        self.state.update((since, now, fired))
+        yield pd.DataFrame(out, columns=["model_name", "since_us", "fired_us"]).astype({"model_name": "str", "since_us": "int64", "fired_us": "int64"})
 
     def close(self) -> None:
         pass
@@ -202,12 +287,15 @@ class AlertHold(StatefulProcessor):
 
 def stream_alert_hold(series: DataFrame, condition, hold_seconds: int, step_seconds: int, target: str, checkpoint: str,
                       lateness: str = LATENESS) -> int:
-    """``series`` has model_name, slot (timestamp) and the columns ``condition`` reads."""
+    """``series`` has model_name, slot (timestamp, one row per model and slot) and the columns ``condition`` reads.
+
+    An alert is decided once the watermark, ``lateness`` behind the newest slot of any model, has passed it.
+    """
     marked = series.withWatermark("slot", lateness).select(
-        "model_name", "slot", F.unix_micros("slot").alias("us"), F.coalesce(condition, F.lit(False)).alias("is_on"))
+        "model_name", "slot", F.unix_millis("slot").alias("ms"), F.coalesce(condition, F.lit(False)).alias("is_on"))
     fired = marked.groupBy("model_name").transformWithStateInPandas(
         statefulProcessor=AlertHold(hold_seconds, step_seconds),
-        outputStructType="model_name string, since_us bigint, fired_us bigint", outputMode="Append", timeMode="None")
+        outputStructType="model_name string, since_us bigint, fired_us bigint", outputMode="Append", timeMode="EventTime")
     return to_folder(fired, target, checkpoint)
 
 

@@ -165,3 +165,80 @@ def test_typed_table_rejects_missing_required_column(spark):
     from sentiloom.schemas import TABLES
 
     assert P.to_declared(spark.createDataFrame([("1",)], "post_id string"), "posts").columns == TABLES["posts"].names
+
+
+def test_a_repeat_never_passes(spark):
+    """Batches months apart, a restart with the same checkpoint, a new checkpoint, and a batch that runs twice."""
+    source, target, checkpoint = (scratch_path(spark, n) for n in ("whole", "whole-out", "whole-cp"))
+
+    def land(rows):
+        one = spark.createDataFrame(rows, "post_id string, t long, x int").select("post_id", F.timestamp_seconds("t").alias("created_utc"), "x").coalesce(1)
+        one.write.mode("append").parquet(source)
+        return one.schema
+
+    def run(place):
+        J.stream_dedup_whole(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), target, place, 4)
+        return sorted((r.post_id, r.x) for r in spark.read.parquet(f"{target}/posts").collect())
+
+    schema = land([("a", 1_700_000_000, 1), ("b", 1_700_000_000, 2), ("a", 1_600_000_000, 3), (None, 1, 9)])
+    assert run(checkpoint) == [("a", 3), ("b", 2)]
+    land([("a", 1_750_000_000, 4), ("c", 1_750_000_000, 5)])
+    land([("c", 1_400_000_000, 6), ("d", 1, 7)])
+    want = [("a", 3), ("b", 2), ("c", 5), ("d", 7)]
+    assert run(checkpoint) == want and run(checkpoint) == want
+    assert run(scratch_path(spark, "whole-cp-2")) == want  # all files again, under another run
+
+
+def test_the_seen_ids_are_not_shuffled(spark):
+    target = scratch_path(spark, "seen")
+    name = J._key_table(spark, target, "string", 4)
+    spark.range(100).selectExpr("cast(id as string) post_id", "'r' run", "id % 3 batch").repartition(4, "post_id").write.mode("append").insertInto(name)
+    batch = spark.createDataFrame([("7", 1), ("x", 1), ("x", 2)], "post_id string, created_utc int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = J.unseen(batch, spark.table(name).filter("batch < 9"), 4)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [(r.post_id, r.created_utc) for r in left.collect()] == [("x", 1)]
+    store = plan[plan.index("Sort [_seen") :]  # the right side of the join
+    assert "SortMergeJoin" in plan and "Bucketed: true" in store and "Exchange" not in store, plan
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_panes_stay_within_the_rank_error(spark):
+    """A pane and a window with far more values than the sketch keeps."""
+    log = spark.range(60_000).select(
+        F.timestamp_seconds(1_704_067_200 + F.col("id") % 60).alias("predicted_at"), (F.col("id") % 10 != 0).alias("success"),
+        F.when(F.col("id") % 7 != 0, ((F.col("id") * 7919) % 60_013).cast("double")).alias("response_time_ms"))
+    source, target, checkpoint = (scratch_path(spark, n) for n in ("panes", "panes-out", "panes-cp"))
+    log.repartition(3).write.parquet(source)
+    J.stream_sliding_rates(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source), target, checkpoint)
+    rates = {r.slot.timestamp() - 1_704_067_200: r for r in J.sliding_rates(J.final_state(spark, target, ["pane"])).collect()}
+    assert len(rates) == 11 and rates[0].calls == 60_000 and rates[0].error_rate == pytest.approx(0.1)
+    whole = np.sort([r.response_time_ms for r in log.filter("response_time_ms is not null").collect()])
+    assert abs(np.searchsorted(whole, rates[0].p95_ms) / len(whole) - 0.95) < 0.002
+
+
+def test_alert_slots_in_any_order_and_batch(spark):
+    rng = np.random.default_rng(5)
+    states = {m: rng.random(200) < 0.7 for m in ("m1", "m2")}
+    rows = [(m, 3600 * k, bool(on)) for m, series in states.items() for k, on in enumerate(series) if k % 37]  # some slots are missing
+    order = rng.permutation(len(rows))
+    source, target, checkpoint = (scratch_path(spark, n) for n in ("holds", "holds-out", "holds-cp"))
+    frame = lambda part: spark.createDataFrame(part, "model_name string, t long, bad boolean").select("model_name", F.timestamp_seconds("t").alias("slot"), "bad")
+    for part in np.array_split(order, 5):
+        one = frame([rows[i] for i in part]).coalesce(1)
+        one.write.mode("append").parquet(source)
+    frame([("end", 3600 * 2000, False)]).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    J.stream_alert_hold(stream, F.col("bad"), 3 * 3600, 3600, target, checkpoint, "300 hours")
+    got = sorted((r.model_name, r.since_us // 3_600_000_000, r.fired_us // 3_600_000_000) for r in spark.read.parquet(target).collect())
+    want = []
+    for m, series in states.items():
+        run = 0
+        for k in range(201):
+            run = run + 1 if k < 200 and k % 37 and series[k] else 0
+            if run == 3:
+                want.append((m, k - 2, k))
+    assert got == sorted(want) and len(want) > 10
