@@ -141,14 +141,25 @@ def class_quotas(df: DataFrame, label: str, share: float, max_copies: int | None
     return counts.withColumn("quota", want.cast("bigint"))
 
 
+COPY_BLOCK = 1000  # copies of a row that one row of the second step makes
+
+
 def replicas(df: DataFrame, label: str, share: float, max_copies: int | None, key: str, seed: int) -> DataFrame:
-    """One row per copy to make, with ``copy_no``; quotas are met exactly by cycling through the class."""
+    """One row per copy to make, with ``copy_no``; quotas are met exactly by cycling through the class.
+
+    Copies are made in two steps: slim rows (key, block of copies) are dealt out first, so the many copies of one row are made by
+    several tasks; the wide row then meets its blocks.
+    """
     quotas = class_quotas(df, label, share, max_copies).select(label, "quota").filter("quota > 0")
     slim = group_join(df.select(key, label), quotas, [label])
     placed = with_group_position(slim.withColumn("_h", seeded(seed, key)), [label], ["_h", key], "_pos", "_n")
-    copies = F.ceil((F.col("quota") - F.col("_pos")) / F.col("_n")).cast("int")
-    chosen = placed.select(key, copies.alias("_copies")).filter("_copies > 0")
-    return df.join(chosen, key).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    copies = F.floor((F.col("quota") - F.col("_pos") + F.col("_n") - 1) / F.col("_n"))  # whole numbers
+    chosen = placed.select(key, copies.cast("long").alias("_copies")).filter("_copies > 0")
+    last = F.floor((F.col("_copies") - 1) / COPY_BLOCK)
+    blocks = chosen.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition(key, "_block")
+    first, end = F.col("_block") * COPY_BLOCK + 1, F.least(F.col("_copies"), (F.col("_block") + 1) * COPY_BLOCK)
+    numbered = blocks.select(key, F.explode(F.sequence(first, end)).alias("copy_no"))
+    return df.join(numbered, key)
 
 
 def union_augmented(df: DataFrame, copies: DataFrame) -> DataFrame:

@@ -129,15 +129,15 @@ def _class_quotas(v):
 
 @query("union_augmented", f"""
 SELECT post_id, copy_no, auto_label_id, method FROM (
- SELECT post_id, 0 AS copy_no, y_true AS auto_label_id, 'original' AS method FROM truth
- UNION ALL SELECT post_id, unnest(range(1, 1 + greatest(0, ceil((quota - pos) / n))::BIGINT))::INT, y_true, 'copy'
+ SELECT post_id, 0::BIGINT AS copy_no, y_true AS auto_label_id, 'original' AS method FROM truth
+ UNION ALL SELECT post_id, unnest(range(1, 1 + greatest(0, ceil((quota - pos) / n))::BIGINT)), y_true, 'copy'
  FROM (SELECT t.*, q.quota, row_number() OVER (PARTITION BY y_true ORDER BY md5('42|' || post_id), post_id) - 1 AS pos,
   count(*) OVER (PARTITION BY y_true)::DOUBLE AS n FROM truth t
   JOIN {_QUOTA.format(want='greatest(0, floor(top * 0.5) - count)')} q ON q.auto_label_id = t.y_true) x) y""", "truth")
 def _union_augmented(v):
     rows = v.truth.withColumnRenamed("y_true", "auto_label_id")
     made = A.replicas(rows, "auto_label_id", A.RATIO, None, "post_id", 42).withColumn("augmentation_method", F.lit("copy"))
-    both = A.union_augmented(rows.withColumn("copy_no", F.lit(0)), made)
+    both = A.union_augmented(rows.withColumn("copy_no", F.lit(0).cast("long")), made)
     return both.select("post_id", "copy_no", "auto_label_id", F.col("augmentation_method").alias("method"))
 
 

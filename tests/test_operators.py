@@ -329,3 +329,17 @@ def test_empty_dictionary(spark):
     none = spark.createDataFrame([], "word string, lemma string")
     got = joins.lemma_join(spark.createDataFrame([("p", ["a", "b"])], "post_id string, w array<string>"), "w", none).collect()
     assert [r.lemmatized_text for r in got] == ["a b"]
+
+
+def test_many_copies_of_one_row_are_made_by_several_tasks(spark):
+    many = spark.range(400_000).select(F.col("id").cast("string").alias("post_id"), F.lit(1).alias("y"))
+    df = spark.createDataFrame([("one", 0)], "post_id string, y int").unionByName(many)
+    made = A.replicas(df, "y", 0.5, None, "post_id", 42).select("post_id", "copy_no")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the slim rows are too few bytes to be kept apart
+    try:
+        blocks = made.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+        spread = blocks.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r.n for r in spread) == 199_999 and len(spread) >= 4 and max(r.n for r in spread) < 120_000
+    assert made.agg(F.min("copy_no"), F.max("copy_no"), F.count_distinct("copy_no")).first()[:] == (1, 199_999, 199_999)
