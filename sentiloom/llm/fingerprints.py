@@ -9,7 +9,7 @@ single precision.
 
 The operator compares every text with an edited one that borrows the beginning of the next document.  Texts are shuffled once: runs of ids
 have one bucket each, the first document of a run is copied to the end of the run before, and a task walks its sorted rows with
-one row of lookahead.
+one row of lookahead.  A text and its edited form share most terms; those are sampled once for both.
 """
 
 from __future__ import annotations
@@ -64,11 +64,16 @@ class Sampler:
         return logs
 
     def sample(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """One number of ``_BITS`` bits per sample: a hash of the chosen term and its t; zero without terms."""
-        if len(terms) == 0:
-            return np.zeros(self.samples, np.uint16)
-        best = np.full(self.samples, np.inf, np.float32)
-        chosen = np.zeros(self.samples, np.uint64)
+        """The samples of one set of weighted terms."""
+        return self.samples_of(terms, weights, np.ones(len(terms), dtype=bool))[0]
+
+    def samples_of(self, terms: np.ndarray, weights: np.ndarray, *members: np.ndarray) -> list[np.ndarray]:
+        """For each set of terms, a mask over ``terms``: a number of ``_BITS`` bits per sample, a hash of the chosen term and its t; zero without terms.
+
+        ``terms`` ascend, and among equal values the first term is chosen, so a set has the same samples whatever it is sampled with.
+        """
+        best = np.full((len(members), self.samples), np.inf, np.float32)
+        chosen = np.zeros((len(members), self.samples), np.uint64)
         columns = np.arange(self.samples)
         for i in range(0, len(terms), _CHUNK):
             term, log_w = terms[i : i + _CHUNK], self._logs(weights[i : i + _CHUNK])
@@ -86,19 +91,37 @@ class Sampler:
             else:
                 t = None
                 value = self.log_c[spot] - r * (1 - b)
-            at = value.argmin(axis=0)
-            least = value[at, columns]
-            better = least < best
-            kind = term[at] if t is None else term[at] + t[at, columns].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            best[better] = least[better]
-            chosen[better] = kind[better]
+            for m, member in enumerate(members):
+                mine = np.flatnonzero(member[i : i + _CHUNK])
+                if not len(mine):
+                    continue
+                at = mine[(value[mine] if len(mine) < len(term) else value).argmin(axis=0)]
+                least = value[at, columns]
+                better = least < best[m]
+                kind = term[at] if t is None else term[at] + t[at, columns].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                best[m, better] = least[better]
+                chosen[m, better] = kind[better]
         y = (chosen ^ self.seeds) * np.uint64(0xBF58476D1CE4E5B9)
-        return (y >> np.uint64(64 - _BITS)).astype(np.uint16)
+        return [row if member.any() else np.zeros(self.samples, np.uint16) for row, member in zip((y >> np.uint64(64 - _BITS)).astype(np.uint16), members)]
 
     def of(self, text: str) -> np.ndarray:
         terms, weights = np.unique(grams(hash_words(words(text)), 2), return_counts=True)
         return self.sample(terms, weights)
 
+    def of_both(self, text: str, other: str) -> list[np.ndarray]:
+        """The samples of two texts; a term that has one weight in both is worked out once."""
+        (terms, weights), (more, counts) = (np.unique(grams(hash_words(words(x)), 2), return_counts=True) for x in (text, other))
+        at = np.searchsorted(terms, more)
+        at[at == len(terms)] = 0
+        shared = (terms[at] == more) & (weights[at] == counts) if len(terms) else np.zeros(len(more), dtype=bool)
+        second = np.zeros(len(terms), dtype=bool)
+        second[at[shared]] = True
+        all_terms = np.concatenate((terms, more[~shared]))
+        order = np.argsort(all_terms, kind="stable")
+        first = np.arange(len(all_terms)) < len(terms)
+        second = np.concatenate((second, np.ones(len(all_terms) - len(terms), dtype=bool)))
+        return self.samples_of(all_terms[order], np.concatenate((weights, counts[~shared]))[order], first[order], second[order])
+
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Share of equal samples, an estimate of the generalised Jaccard similarity."""
@@ -158,21 +181,30 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, waiting = sampler.value, None
+        # `waiting` has a next document but no samples yet, `sampled` lacks the samples of its next document only
+        s, waiting, sampled = sampler.value, None, None
         for batch in batches:
             out = []
+
+            def done(row: tuple | None, following: np.ndarray) -> None:
+                if row is not None:
+                    doc_id, chars, digest, own, changed = row
+                    out.append((doc_id, chars, digest, own.tobytes().hex(), changed.tobytes().hex(), likeness(own, changed), likeness(own, following)))
+
             for bucket, copy, doc_id, text in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                own = s.of(text)
                 if waiting is not None:
-                    before_id, before, print_before = waiting
+                    before_id, before = waiting
                     changed = edited(before, text)
-                    print_changed = s.of(changed)
-                    out.append((before_id, len(before), hashlib.sha256(changed.encode()).hexdigest(), print_before.tobytes().hex(),
-                                print_changed.tobytes().hex(), likeness(print_before, print_changed), likeness(print_before, own)))
-                waiting = None if copy else (doc_id, text, own)
+                    own, own_changed = s.of_both(before, changed)
+                    done(sampled, own)
+                    sampled = (before_id, len(before), hashlib.sha256(changed.encode()).hexdigest(), own, own_changed)
+                waiting = None if copy else (doc_id, text)
+                if copy:
+                    done(sampled, s.of(text))
+                    sampled = None
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], schema=schema)
-        if waiting is not None:
+        if waiting is not None or sampled is not None:
             raise ValueError("the table changed while it was read")
 
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

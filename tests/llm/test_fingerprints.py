@@ -67,3 +67,19 @@ def test_weights_above_the_table():
 def test_quantiles():
     x = _gamma_quantiles(np.array([1e-9, 0.1, 0.5, 0.9, 0.999999]))
     assert np.allclose(1 - (1 + x) * np.exp(-x), [1e-9, 0.1, 0.5, 0.9, 0.999999], rtol=1e-4)
+
+
+def test_samples_of_two_texts_at_once_are_those_of_each(spark):
+    import random
+
+    from sentiloom.llm.fingerprints import Sampler
+
+    s, rnd = Sampler(), random.Random(3)
+    texts = ["", "one", "x " * 5000, *[" ".join(rnd.choice("abcdefghij") for _ in range(rnd.choice([3, 40, 900]))) for _ in range(30)],
+             *[" ".join(f"w{rnd.randint(0, 3000)}" for _ in range(2500)) for _ in range(4)]]
+    for a in texts:
+        b = rnd.choice(texts)
+        mixed = a[: len(a) * 2 // 3] + b[: len(a) // 3]
+        for other in (b, mixed, a):
+            together = s.of_both(a, other)
+            assert (together[0] == s.of(a)).all() and (together[1] == s.of(other)).all()
