@@ -13,6 +13,7 @@ The templates are a constant of the module, or a parameter; their index is small
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 
 import numpy as np
@@ -28,6 +29,18 @@ from sentiloom.llm.registry import llm_query
 GRAM, WINDOW, BAND = 3, 4, 8
 COVERAGE = 0.75
 
+#: Fixed value: the disclaimer that ends the clauses below.
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES "
+    "OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+    "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY "
+    "OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
+#: Words that tell one license of a family from another; so do numbers.
+DECIDING = {"sa", "nc", "nd", "lesser", "library", "affero", "cc0", "neither"}
+SHORT = 20  # words of a template that is a single line
+
 #: Public license lines and notices (name -> text).
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -38,6 +51,14 @@ TEMPLATES = {
         "governing permissions and limitations under the License."),
     "mit": "Released under the MIT License.",
     "mit-notice": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in "
+        "the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
+        "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
+        "permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, "
+        "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+        "THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF "
+        "OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    "mit-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in "
         "the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
         "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
@@ -45,6 +66,33 @@ TEMPLATES = {
     "bsd-notice": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of "
         "source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of "
+        "source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. " + _BSD_END),
+    "bsd-3-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of "
+        "source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of "
+        "the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        + _BSD_END),
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at "
+        "http://mozilla.org/MPL/2.0/."),
+    "gpl-2.0-notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+        "Foundation; either version 2 of the License, or (at your option) any later version."),
+    "lgpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version."),
+    "agpl-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your option) any later version."),
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-notice": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
@@ -52,6 +100,10 @@ TEMPLATES = {
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "cc0-1.0": "Released into the public domain under CC0 1.0 Universal.",
     "isc-notice": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
         "and this permission notice appear in all copies."),
@@ -66,6 +118,28 @@ def tokens(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return hash_words([w.lower().encode() for w, _ in found]), [s for _, s in found]
 
 
+def deciding(text: str) -> np.ndarray:
+    """Which of the words of a text tell licenses of one family apart."""
+    found = [w.lower() for w in _WORD.findall(text)]
+    return np.fromiter((w in DECIDING or w.isdecimal() for w in found), bool, len(found))
+
+
+def agrees(pairs: list[tuple[int, int]], needed: np.ndarray, given: np.ndarray) -> bool:
+    """Whether the words that decide a license are matched: all of a line's, and of a longer notice those within the stretch it was found in.
+
+    ``needed`` and ``given`` mark them in the template and in the text.  A line may hold none that the template lacks, also not as the next word.
+    """
+    (first, begin), (last, end) = pairs[0], pairs[-1]
+    have = np.zeros(len(needed), dtype=bool)
+    have[[i for i, _ in pairs]] = True
+    line = len(needed) <= SHORT
+    if (needed & ~have)[slice(None) if line else slice(first, last + 1)].any():
+        return False
+    foreign = given[begin : end + 1].copy()
+    foreign[[j - begin for _, j in pairs]] = False
+    return not (line and foreign.any())
+
+
 def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Positions of the least hash (the rightmost of equals) of each ``window`` neighbours; of all if there are fewer."""
     if len(hashes) <= window:
@@ -80,6 +154,7 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.words = [tokens(templates[n])[0] for n in self.names]
+        self.decides = [deciding(templates[n]) for n in self.names]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, words in enumerate(self.words):
             if len(words):
@@ -148,23 +223,53 @@ def scan(text: str, index: Index, least: float = COVERAGE) -> list[tuple[str, in
     hashes = grams(words, GRAM)
     # a text is as long as it is: its own winnowing would only thin the hits of templates shorter than a window
     hit = np.flatnonzero(np.isin(hashes, index.known))
+    if not len(hit):
+        return []
+    given = deciding(text)
     seeds = sorted((k, int(j) - i) for j in hit for k, i in index.places[int(hashes[j])])
     found, at = [], 0
     while at < len(seeds):
         k, low = seeds[at]
-        high, at = low, at + 1
-        while at < len(seeds) and seeds[at][0] == k and seeds[at][1] - high <= BAND and seeds[at][1] - low <= 4 * BAND:
-            high, at = seeds[at][1], at + 1
-        template = index.words[k]
+        diagonals, at = [low], at + 1
+        while at < len(seeds) and seeds[at][0] == k and seeds[at][1] - diagonals[-1] <= BAND and seeds[at][1] - low <= 4 * BAND:
+            diagonals.append(seeds[at][1])
+            at += 1
+        template, high = index.words[k], diagonals[-1]
         begin, end = max(0, low - BAND), min(len(words), high + BAND + len(template))
-        for pairs in occurrences(template, words, begin, end, low - BAND, high + BAND, least):
-            found.append((spans[pairs[0][1]][0], spans[pairs[-1][1]][1], index.names[k], len(pairs), len(pairs) / len(template)))
+        if len(template) <= SHORT and not np.isin(template[index.decides[k]], words[begin:end]).all():
+            continue  # a line whose deciding words are not there
+        aligned = []
+        for d in sorted(set(diagonals)):  # a whole template needs no search; what lies between is aligned
+            if d >= begin and np.array_equal(words[d : d + len(template)], template):
+                aligned += occurrences(template, words, begin, d, low - BAND, high + BAND, least)
+                aligned.append([(i, d + i) for i in range(len(template))])
+                begin = d + len(template)
+        aligned += occurrences(template, words, begin, end, low - BAND, high + BAND, least)
+        for pairs in aligned:
+            if agrees(pairs, index.decides[k], given):
+                found.append((spans[pairs[0][1]][0], spans[pairs[-1][1]][1], index.names[k], len(pairs), len(pairs) / len(template)))
+    return outermost(found)
+
+
+def outermost(found: list[tuple]) -> list[tuple[str, int, int, int, float]]:
+    """Occurrences that lie in no other one, by start; of equal spans that with most matched words, then the fullest, then by name.
+
+    Two alignments of one template that share words are one occurrence.  Kept spans lie in no other, so sorted by start they are sorted by
+    end too, and a look at the neighbours tells whether a span is inside one.
+    """
     kept: list[tuple] = []
-    for f in sorted(set(found), key=lambda f: (f[0] - f[1], -f[4], f[2], f[0])):  # longest first
-        # two alignments of one template that share words are one occurrence
-        if not any((o[0] <= f[0] and f[1] <= o[1]) or (o[2] == f[2] and f[0] < o[1] and o[0] < f[1]) for o in kept):
-            kept.append(f)
-    return [(name, a, b, matched, coverage) for a, b, name, matched, coverage in sorted(kept)]
+    by_name: dict[str, list[tuple]] = defaultdict(list)
+    for f in sorted(set(found), key=lambda f: (f[0] - f[1], -f[3], -f[4], f[2], f[0])):  # longest first
+        at = bisect.bisect_right(kept, f[0], key=lambda o: o[0])
+        if at and kept[at - 1][1] >= f[1]:
+            continue
+        mine = by_name[f[2]]
+        spot = bisect.bisect_right(mine, f[0], key=lambda o: o[0])
+        if (spot and mine[spot - 1][1] > f[0]) or (spot < len(mine) and mine[spot][0] < f[1]):
+            continue
+        kept.insert(at, f)
+        mine.insert(spot, f)
+    return [(name, a, b, matched, coverage) for a, b, name, matched, coverage in kept]
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
