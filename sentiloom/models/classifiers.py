@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from sentiloom.models import boosting
 from sentiloom.models.boosting import Fitted, Model, Settings
+from sentiloom.models.resamples import Resampled
 from sentiloom.models.stages import HELPERS, TextVectors
 from sentiloom.operators.joins import group_join
 from sentiloom.operators.sampling import class_weights, seeded_unit, stratified_kfold
@@ -294,25 +295,11 @@ def oof_stacking(df: DataFrame, makers: dict, label: str = "auto_label_id", fold
     return Stacked({name: fit_or_uniform(make, df) for name, make in makers.items()}, label, meta_type, key=key, held=held).fit_meta(held)
 
 
-def bootstrap_scores(train: DataFrame, score: DataFrame, features: list[str], label: str = "auto_label_id", rounds: int = 3,
-                     key: str = "post_id", max_iter: int = 20) -> DataFrame:
-    """Long rows (post, round, p_*) of models fitted on seeded Poisson resamples."""
-    prepare = Pipeline(stages=[Imputer(strategy="mean", inputCols=features, outputCols=features),
-                               VectorAssembler(inputCols=features, outputCol="_features")]).fit(as_double(train, features))
-    ready = prepare.transform(as_double(train, features)).select(key, label, "_features").persist()
-    target = prepare.transform(as_double(score, features)).select(key, "_features")
-    out = None
-    for i in range(rounds):
-        u = seeded_unit(1000 + i, key)
-        # inverse of the Poisson(1) distribution function: times the row is drawn
-        times = F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.91970, 2).when(u < 0.98101, 3).otherwise(4)
-        drawn = ready.withColumn("weight", times.cast("double")).filter("weight > 0")
-        model = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="weight", family="multinomial",
-                                   maxIter=max_iter, regParam=0.01, probabilityCol="_probability").fit(drawn)
-        part = probability_columns(model.transform(target)).select(key, F.lit(f"round{i}").alias("model"), "label_id", *PROBS)
-        out = part if out is None else out.unionByName(part)
-    ready.unpersist()
-    return out
+def bootstrap_scores(train: DataFrame, score: DataFrame, features: list[str], label: str = "auto_label_id", rounds: int = 10, key: str = "post_id") -> DataFrame:
+    """Long rows (post, model, p_*) of logistic models fitted on ``rounds`` seeded Poisson resamples, all in the same passes."""
+    scored = Resampled(features, K, rounds, label=label, key=key).fit(train).scores(score)
+    out = scored.select(key, F.concat(F.lit("round"), F.col("round").cast("string")).alias("model"), *[F.get("p", F.lit(i)).alias(p) for i, p in enumerate(PROBS)])
+    return out.select(key, "model", argmax_id([F.col(p) for p in PROBS]).alias("label_id"), *PROBS)
 
 
 def batch_score(model, df: DataFrame, text_col: str = "full_text", features: list[str] | None = None) -> DataFrame:
