@@ -7,6 +7,7 @@ executor and every rerun gets the same values.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +35,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return measured(df, name)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffles, broadcasts and checkpoints that no table refers to any more.
+
+    It follows the driver's garbage collection, which may not happen for a long time while many small jobs run; loops over
+    jobs call this once a round.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(docs: DataFrame) -> Column:
     """128-bit digest of a row's doc_id and text, null for a null text: rows that share an id or have none keep apart by their texts."""
     doc_id = F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit(""))

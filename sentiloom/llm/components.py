@@ -26,19 +26,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
         down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether some node still has two edges down, or is both a child and a root."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    met = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+    return not met.filter("child > 1 or (child = 1 and root = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (u, v), u <> v, of any sortable type -> (node, root): the least node of each component.
 
     Only nodes with an edge are returned.  The rounds grow with the logarithm of the longest path; each ends in a
-    checkpoint, so a lost executor costs one round at most.  Nothing but two numbers per round reaches the driver.
+    checkpoint, so a lost executor costs one round at most, and they end as soon as all edges form stars.  Nothing but one row
+    per round reaches the driver.
     """
-    edges = cut(edges.select("u", "v").filter("u <> v").distinct())
-    before = None
-    while True:
+    edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while _unfinished(edges):
         edges = cut(_small_star(_large_star(edges)))
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentiloom.llm.common import WORD, row_key, stored, table
+from sentiloom.llm.common import WORD, release, row_key, stored, table
 from sentiloom.llm.registry import llm_query
 from sentiloom.operators.ranking import running_totals, with_position
 
@@ -118,6 +118,7 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by id, text and source; rows equal in all three share the largest ``taken`` of them.  Columns of the two names
     are replaced.
     """
+    release(spark)
     keyed = docs.drop("size", "taken").withColumns({"_llm_key": row_key(docs), "_llm_source": F.col("source").cast("string")})
     takes = _mixture(keyed.select("doc_id", "source", "text", "_llm_key"), ["_llm_key"]).groupBy("_llm_key", F.col("source").alias("_llm_from")).agg(
         F.max("size").alias("size"), F.max("taken").alias("taken")).filter("taken > 0").withColumnRenamed("_llm_key", "_llm_taken_key")

@@ -12,7 +12,8 @@
 A bucket never yields all its pairs.  Members have a rank; round ``t`` compares the members of ranks ``[16^(t-1), 16^t)``
 (first: rank 0) with the later members *of other components found so far*.  In a group of near copies the first rounds
 link nearly all, and later rounds have nothing left to compare.  No rank is left out: the rounds go on until no bucket
-holds two components with a rank not yet compared.
+holds two components with a rank not yet compared.  Rank 0 is the member with the least digest; the others draw theirs below
+the bucket's size from their digest, ties in order of their numbers, so a bucket is never sorted and may span many tasks.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from sentiloom.llm.common import WORD, long_lists, map_batches, mix, row_key, seeds, shingle_set, stored, table
+from sentiloom.llm.common import WORD, long_lists, map_batches, mix, release, row_key, seeds, shingle_set, stored, table
 from sentiloom.llm.components import components
 from sentiloom.llm.registry import llm_query
 from sentiloom.session import cut
@@ -137,8 +137,10 @@ def _classes(rows: DataFrame) -> DataFrame:
 def _buckets(classes: DataFrame) -> DataFrame:
     """(key, size, rank, cid, n, root, o0..., w0...): members of buckets with two classes or more."""
     banded = classes.select(F.explode("bands").alias("key"), "cid")
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = banded.join(shared, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("cid"), "cid")) - 1)
+    drawn = F.struct(F.xxhash64("cid").alias("digest"), "cid")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(drawn).alias("first")).filter("size > 1")
+    later = 1 + F.pmod(F.xxhash64("cid", "key"), F.col("size") - 1)
+    members = banded.join(shared, "key").withColumn("rank", F.when(F.col("cid") == F.col("first.cid"), F.lit(0)).otherwise(later).cast("long")).drop("first")
     facts = classes.select("cid", "n", *[F.get("odd", F.lit(i)).alias(c) for i, c in enumerate(_ODD)],
                            *[F.get("whole", F.lit(i)).alias(c) for i, c in enumerate(_WHOLE)])
     return members.join(facts, "cid").withColumn("root", F.col("cid"))
@@ -156,7 +158,8 @@ def _candidates(members: DataFrame, start: int, stop: int) -> DataFrame:
         return sum((F.bit_count(F.col(f"u_{c}").bitwiseXOR(F.col(f"v_{c}"))) for c in names), F.lit(0))
 
     due = left.filter((F.col("u_rank") >= start) & (F.col("u_rank") < stop)).withColumnRenamed("key", "u_key")
-    near = due.join(right, (F.col("u_key") == F.col("key")) & (F.col("u_rank") < F.col("v_rank")) & (F.col("u_root") != F.col("v_root"))
+    later = (F.col("u_rank") < F.col("v_rank")) | ((F.col("u_rank") == F.col("v_rank")) & (F.col("u_cid") < F.col("v_cid")))
+    near = due.join(right, (F.col("u_key") == F.col("key")) & later & (F.col("u_root") != F.col("v_root"))
                     & (100 * F.least("u_n", "v_n") >= PERCENT * F.greatest("u_n", "v_n")) & (apart(_ODD) <= most_differing(LEAST_ESTIMATE))
                     & ((100 + PERCENT) * apart(_WHOLE) <= (100 - PERCENT) * both))
     return near.select(F.col("u_cid").alias("u"), F.col("v_cid").alias("v"), F.col("u_root").alias("cu"), F.col("v_root").alias("cv")).distinct()
@@ -172,6 +175,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
+def _moved(roots: DataFrame, now: DataFrame) -> DataFrame:
+    """(node, root) after the components ``now`` of a later round, whose nodes are roots of ``roots`` or new."""
+    both = roots.join(now.select(F.col("node").alias("_old"), F.col("root").alias("_new")), F.col("root") == F.col("_old"), "full")
+    return cut(both.select(F.coalesce("node", "_old").alias("node"), F.coalesce("_new", "root").alias("root")))
+
+
 def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     """(node, root) of the classes with links, None without any."""
     members = stored(_buckets(classes), "buckets")
@@ -179,29 +188,23 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     chosen = candidates.select(F.col("least_id").alias("_llm_id")).distinct()
     texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_llm_id"]), "left_semi")
     sets = stored(_sets(texts).dropDuplicates(["class"]).join(candidates.select("cid", "class"), "class").select("cid", "shingles"), "sets")
-    merged, start = [], 0
+    roots, start = None, 0
     while True:
         stop = max(1, start * GROWTH)
         found = cut(_confirmed(_candidates(members, start, stop), sets))
         start = stop
         if not found.isEmpty():
             now = components(found)
-            merged.append(now)
+            roots = now if roots is None else _moved(roots, now)
             moved = now.select(F.col("node").alias("root"), F.col("root").alias("_new"))
             members = members.join(moved, "root", "left").withColumn("root", F.coalesce("_new", "root")).drop("_new")
         # a bucket is settled once it holds one component, or once all its ranks have been compared; components only grow
-        mixed = members.filter(F.col("size") > start + 1).groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
+        mixed = members.filter(F.col("size") > max(start, 2)).groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("key")
         members = cut(members.join(mixed, "key", "left_semi"))
+        release(members.sparkSession)
         if members.isEmpty():
             break
-    if not merged:
-        return None
-    if len(merged) == 1:
-        return merged[0]
-    stars = merged[0]
-    for more in merged[1:]:
-        stars = stars.unionByName(more)
-    return components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return roots
 
 
 def _grouped(rows: DataFrame, docs: DataFrame) -> DataFrame:
