@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentiloom.llm.common import grams, hash_words, long_lists, map_batches, mix, row_key, seeds, shingle_set, stored, table, words
+from sentiloom.llm.common import grams, hash_words, long_lists, map_batches, mix, release, row_key, seeds, shingle_set, stored, table, words
 from sentiloom.llm.registry import llm_query
 
 FUNCTIONS = 64
@@ -170,6 +170,7 @@ def _pairs(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Dat
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go; each row by its own text, whatever rows share its doc_id or have none."""
+    release(spark)
     found = _pairs(docs.select(row_key(docs).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_llm_key")).distinct()
     return docs.withColumn("_llm_key", row_key(docs)).join(found, "_llm_key", "left_anti").select(*docs.columns)
 

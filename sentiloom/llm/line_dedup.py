@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentiloom.llm.common import table
+from sentiloom.llm.common import release, table
 from sentiloom.llm.registry import llm_query
 
 _EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
@@ -89,6 +89,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated lines leave the texts; every document stays, its n_chars follows its text."""
+    release(spark)
     new = {"text": F.col("_llm_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_llm_covered").isNull(), F.col("n_chars")).otherwise(F.length("_llm_text").cast("long"))
