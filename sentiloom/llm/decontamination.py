@@ -7,7 +7,8 @@ at least 0.17 even for the smallest items of the class, three quarters of which
 probability 5e-6.  Minima of wider windows are minima of narrower ones, so each shingle is hashed once per function for all classes.
 
 Window minima are first looked up in a Bloom filter of the items' minima, whose size is a constant; what passes is joined
-with the items' minima on the cluster.  So the benchmark may grow without bound: a full filter costs speed, not results.
+with the items' minima on the cluster.  A long text is gone over in pieces that overlap by one window, so the memory for its windows
+does not grow with its length.  So the benchmark may grow without bound: a full filter costs speed, not results.
 A candidate's containment is counted on the full sets of item and document.
 """
 
@@ -28,6 +29,7 @@ FILTER_BITS = 1 << 25
 PERCENT = 75
 _WORD_BITS = 64
 _CHUNK = 2048
+_PIECE = 8192  # shingles of a text whose windows are held at once
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -60,10 +62,21 @@ def item_keys(shingles: np.ndarray, factors, shifts) -> np.ndarray:
     return _keys(block_minima(shingles, n, factors, shifts), size_class(n))[0] if n else np.zeros(0, np.uint64)
 
 
-def window_keys(shingles: np.ndarray, classes: list[int], factors, shifts):
-    """Band keys of all windows, class by class (as 2-d arrays)."""
+def window_keys(shingles: np.ndarray, classes: list[int], factors, shifts, piece: int = _PIECE):
+    """Band keys of all windows (2-d arrays), piece by piece and class by class; ``classes`` ascend, and a window may come twice.
+
+    A piece is a whole number of the largest blocks and one more, which the next piece begins with: every window starts in a block before
+    that one, and so lies whole in a piece.  Memory grows with the piece or, if it is larger, the largest item, not with the text.
+    """
     if len(shingles) == 0 or not classes:
         return
+    most = classes[-1]
+    step = max(most, piece // most * most)
+    for i in range(0, max(1, len(shingles) - most), step):
+        yield from _piece_keys(shingles[i : i + step + most], classes, factors, shifts)
+
+
+def _piece_keys(shingles: np.ndarray, classes: list[int], factors, shifts):
     width, minima = classes[0], block_minima(shingles, classes[0], factors, shifts)
     for u in classes:
         while width < u:  # fold pairs of blocks
@@ -125,7 +138,7 @@ def _hits(docs: DataFrame, bits: np.ndarray, classes: list[int]) -> DataFrame:
         ids, sizes, keys, sets = [], [], [], []
         for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
             ordered = grams(hash_words(words(text.as_py())))
-            found = [passing(k, loaded) for k in window_keys(ordered, classes, factors, shifts)]
+            found = [np.unique(passing(k, loaded)) for k in window_keys(ordered, classes, factors, shifts)]
             found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
             if len(found):
                 whole = np.unique(ordered)
