@@ -94,7 +94,9 @@ def _mixture(docs: DataFrame, carried: list[str], weights=WEIGHTS, share: float
         F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text").cast("string")).alias("size"),
         F.xxhash64(F.lit(seed), "doc_id").alias("_order"), *carried), "sizes")
     aims = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
-    quotas = shard_quotas(aims, block).groupBy("sid").agg(F.sum("quota").alias("blocks"))
+    release(docs.sparkSession)  # every step is a range sort or two; what it leaves behind does not wait for the end of all
+    quotas = stored(shard_quotas(aims, block).groupBy("sid").agg(F.sum("quota").alias("blocks")), "quotas")
+    release(docs.sparkSession)
     plan = aims.join(quotas, "sid", "left").withColumn("words", F.least(F.coalesce(F.col("blocks"), F.lit(0)) * block, F.col("full")))
     rounds = F.floor(F.try_divide(F.col("words"), F.col("source_size")))
     plan = plan.withColumns({
@@ -103,6 +105,7 @@ def _mixture(docs: DataFrame, carried: list[str], weights=WEIGHTS, share: float
     }).withColumn("rest", F.col("words") - F.col("rounds") * F.col("source_size")).withColumnRenamed("source", "_source")
     known = sized.join(plan.select("sid", "_source"), sized["source"].eqNullSafe(F.col("_source"))).drop("_source")
     placed = running_totals(known, ["sid"], ["_order", "doc_id", "size", *carried], ["size"]).withColumn("_from", F.col("cum_size") - F.col("size"))
+    release(docs.sparkSession)
     out = placed.join(plan.select("sid", "source_size", "target", "rounds", "begin", "rest"), "sid")
 
     def overlap(shift: Column) -> Column:
