@@ -8,6 +8,7 @@ executor and every rerun gets the same values.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ WIDTH = 5
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 _CACHED_WORDS = 200_000
+_CLEANING = 0.5  # seconds
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,10 +41,13 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffles, broadcasts and checkpoints that no table refers to any more.
 
     It follows the driver's garbage collection, which may not happen for a long time while many small jobs run; loops over
-    jobs call this once a round.
+    jobs call this once a round.  The cleaner drops blocks behind the first collection; the second gives their memory back, and the heap
+    shrinks to what is in use.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(_CLEANING)
+    spark.sparkContext._jvm.System.gc()
 
 
 def row_key(docs: DataFrame) -> Column:

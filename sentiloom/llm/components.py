@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentiloom.llm.common import release
 from sentiloom.session import cut
 
 
@@ -44,5 +45,6 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while _unfinished(edges):
         edges = cut(_small_star(_large_star(edges)))
+        release(edges.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -188,6 +188,7 @@ def _linked(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
     chosen = candidates.select(F.col("least_id").alias("_llm_id")).distinct()
     texts = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_llm_id"]), "left_semi")
     sets = stored(_sets(texts).dropDuplicates(["class"]).join(candidates.select("cid", "class"), "class").select("cid", "shingles"), "sets")
+    release(docs.sparkSession)
     roots, start = None, 0
     while True:
         stop = max(1, start * GROWTH)
@@ -239,6 +240,7 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by id and text, so unlike texts with one doc_id or without any are groups of their own.  Texts without
     words are linked with nothing and all stay.
     """
+    release(spark)
     rows = stored(sketches(docs.select("doc_id", "text", row_key(docs).alias("key"))), "sketches")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     kept = rows.select("doc_id", "key", "class").join(_grouped(rows, docs).select("class", "root"), "class").groupBy("root").agg(
