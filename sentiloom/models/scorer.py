@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 BATCH = 32  # fixed value
@@ -15,16 +15,18 @@ def scorer_udf(load: Callable[[], Callable[[list[str]], np.ndarray]], batch_size
     """Text column -> array of three probabilities.
 
     ``load`` runs once per Python worker and returns a function from a list of texts to
-    an (n, 3) array in the order negative, neutral, positive.
+    an (n, 3) array in the order negative, neutral, positive.  Of an Arrow batch only
+    ``batch_size`` texts at a time become Python strings.
     """
 
-    @F.pandas_udf("array<double>")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = load()
-        for series in texts:
-            values = series.fillna("").tolist()
-            rows = [np.asarray(predict(values[i:i + batch_size]), dtype=float) for i in range(0, len(values), batch_size)]
-            yield pd.Series(list(np.vstack(rows)) if rows else [], index=series.index, dtype=object)
+        for column in texts:
+            rows = [np.asarray(predict([t or "" for t in column.slice(i, batch_size).to_pylist()]), dtype=float)
+                    for i in range(0, len(column), batch_size)]
+            flat = np.vstack(rows) if rows else np.zeros((0, 3))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
 
     return score
 
