@@ -38,7 +38,8 @@ def _read_latest_file(v):
     path = scratch_path(v.spark, "runs")
     rows = v.posts.select(*_POST_COLS.split(", ")).repartition(8, "post_id")  # several part files a run
     rows.withColumn("run", F.lit("first")).write.parquet(f"{path}/a")
-    rows.withColumn("run", F.lit("second")).write.parquet(f"{path}/b")
+    again = v.spark.read.schema(rows.schema).parquet(f"{path}/a")  # what the first run wrote: the posts are joined and dealt out once
+    again.withColumn("run", F.lit("second")).write.parquet(f"{path}/b")
     return P.read_latest_file(v.spark, f"{path}/*")
 
 
