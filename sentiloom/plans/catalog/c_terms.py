@@ -11,6 +11,7 @@ from sentiloom.operators import voting as V
 from sentiloom.plans import oracle as O
 from sentiloom.plans.catalog.c_text import CLEANED, TEXTS, r6
 from sentiloom.plans.registry import query
+from sentiloom.session import measured
 
 _WORDS = f"(SELECT post_id, regexp_extract_all(lower(cleaned_text), {O.q(P.TERM)}) AS w FROM {CLEANED})"
 
@@ -35,14 +36,14 @@ def _with_cte(sql):
 
 @query("tfidf", _with_cte(_tfidf(100, False)), "posts")
 def _tfidf_query(v):
-    texts = v.cleaned.select("post_id", "cleaned_text")
+    texts = measured(v.cleaned.select("post_id", "cleaned_text"), "texts")  # joined and cleaned once
     vocabulary = TM.fit_vocabulary(texts, "cleaned_text", 100)
     return TM.tfidf(texts, "cleaned_text", vocabulary).select("post_id", "term", "term_index", *r6("weight"))
 
 
 @query("tfidf_sublinear", _with_cte(_tfidf(5000, True)), "posts")
 def _tfidf_sublinear(v):
-    texts = v.cleaned.select("post_id", "cleaned_text")
+    texts = measured(v.cleaned.select("post_id", "cleaned_text"), "texts")  # joined and cleaned once
     vocabulary = TM.fit_vocabulary(texts, "cleaned_text", 5000)
     return TM.tfidf(texts, "cleaned_text", vocabulary, sublinear=True).select("post_id", "term", "term_index", *r6("weight"))
 
