@@ -18,10 +18,15 @@ WHOLE = "3650 days"  # a bound beyond the table's times, where every row counts
 
 
 def streamed(v, df, name, files=1):
-    """Write a derived table to the shared folder and open it as a stream of one micro-batch per file."""
+    """Write a derived table to the shared folder and open it as a stream of ``files`` micro-batches, each of as many files as its size asks for."""
     path = scratch_path(v.spark, name)
-    (df.repartition(files) if files > 1 else df).write.parquet(path)
-    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1 if files > 1 else 1000).parquet(path)
+    if files == 1:
+        df.write.parquet(path)
+        return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+    splits = max(v.spark.read.parquet(f"{v.folder}/{t}.parquet").rdd.getNumPartitions() for t in ("documents", "events"))
+    each = -(-splits // files)
+    df.repartition(files * each).write.parquet(path)
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def streamed_in_order(v, df, name, by, cuts):
