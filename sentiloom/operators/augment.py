@@ -17,6 +17,7 @@ from sentiloom.operators.frames import min_length_filter
 from sentiloom.operators.joins import group_join
 from sentiloom.operators.ranking import with_group_position
 from sentiloom.operators.sampling import seeded, seeded_unit
+from sentiloom.session import measured
 
 CONSERVATIVE_SHARE, MAX_COPIES, RATIO = 0.3, 2, 0.5  # fixed values
 MIN_WORDS, MIN_WORDS_ADVANCED, KEEP_SHARE = 5, 3, 0.8
@@ -50,7 +51,7 @@ def synonym_replacement(text: Column, key: list, n: int = 1, seed: int = 42, min
         spots = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))),
                          lambda i: F.lower(F.get(w, i)).isin(list(L.SYNONYMS)))
         ranked = F.transform(spots, lambda i: F.struct(seeded(seed, *key, i).alias("h"), i.alias("i")))
-        drawn = F.transform(F.slice(F.array_sort(ranked), 1, n), lambda e: e["i"])
+        drawn = F.transform(F.slice(F.sort_array(ranked), 1, n), lambda e: e["i"])
         replaced = bind(drawn, lambda chosen: F.transform(w, lambda x, i: F.when(
             F.array_contains(chosen, i), _synonym_of(x, _draw(seed + 1, *key, i))).otherwise(x)))
         return F.when(F.size(w) < min_words, text).otherwise(F.array_join(replaced, " "))
@@ -198,6 +199,7 @@ def text_mixup(df: DataFrame, text_col: str, label: str, alpha: float = 0.5, key
 
     Partners meet on (class, position), a unique key, so no pair grid arises.
     """
+    df = measured(df.select(key, label, text_col), "mixed")  # each text is made once, though it is read as itself and as a partner
     placed = with_group_position(df.select(key, label).withColumn("_h", seeded(seed, key)), [label], ["_h", key],
                                  "_pos", "_n").drop("_h")
     partner = placed.select(F.col(label).alias("_label"), F.pmod(F.col("_pos") - 1, F.col("_n")).alias("_at"),
@@ -208,11 +210,11 @@ def text_mixup(df: DataFrame, text_col: str, label: str, alpha: float = 0.5, key
 
     def sampled(text: Column, share: float, who: str) -> Column:
         words = _words(text)
-        ranked = F.array_sort(F.transform(words, lambda w, i: F.struct(seeded(seed, key, F.lit(who), i).alias("h"), w.alias("w"))))
+        ranked = F.sort_array(F.transform(words, lambda w, i: F.struct(seeded(seed, key, F.lit(who), i).alias("h"), w.alias("w"))))
         return F.slice(ranked, 1, F.floor(F.size(words) * share).cast("int"))
 
     both = F.concat(sampled(F.col(text_col), alpha, "a"), sampled(F.col("_other"), 1 - alpha, "b"))
-    mixed = F.transform(F.array_sort(F.transform(both, lambda e: F.struct(F.md5(e["h"]).alias("h"), e["w"].alias("w")))), lambda e: e["w"])
+    mixed = F.transform(F.sort_array(F.transform(both, lambda e: F.struct(F.md5(e["h"]).alias("h"), e["w"].alias("w")))), lambda e: e["w"])
     return pairs.select(key, "partner_id", label, F.array_join(mixed, " ").alias("mixed_text"))
 
 
@@ -220,7 +222,8 @@ def smart_balance(posts: DataFrame, seed: int = 42) -> DataFrame:
     """Heuristic labels, length filter, conservative augmentation and label names."""
     t = full_text(F.col("title"), F.col("content"))
     labeled = posts.withColumn("full_text", t).withColumn("heuristic_label", heuristic_label(F.col("full_text")))
-    kept = min_length_filter(labeled)
+    written = measured(min_length_filter(labeled).drop("full_text"), "balanced")  # quotas, places and copies read these files
+    kept = written.withColumn("full_text", t).select(*labeled.columns)
     balanced = augment_minority_conservative(kept, "full_text", "heuristic_label", seed=seed)
     return balanced.withColumnRenamed("heuristic_label", "auto_label_id").withColumn(
         "auto_label", label_name(F.col("auto_label_id")))
