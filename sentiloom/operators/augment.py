@@ -39,13 +39,13 @@ def _synonym_of(word: Column, unit: Column) -> Column:
     return F.get(choices, _pick(unit, F.size(choices)))
 
 
-def _words(text: Column) -> Column:
+def words_of(text: Column) -> Column:
+    """Words of a text; the edits take them ready-made as ``words`` where several edits share them."""
     return tokens(F.coalesce(text, F.lit("")))
 
 
-def synonym_replacement(text: Column, key: list, n: int = 1, seed: int = 42, min_words: int = MIN_WORDS) -> Column:
+def synonym_replacement(text: Column, key: list, n: int = 1, seed: int = 42, min_words: int = MIN_WORDS, words: Column | None = None) -> Column:
     """Replace ``n`` words that have synonyms; short texts stay as they are."""
-    words = _words(text)
 
     def edit(w: Column) -> Column:
         spots = F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))),
@@ -56,10 +56,10 @@ def synonym_replacement(text: Column, key: list, n: int = 1, seed: int = 42, min
             F.array_contains(chosen, i), _synonym_of(x, _draw(seed + 1, *key, i))).otherwise(x)))
         return F.when(F.size(w) < min_words, text).otherwise(F.array_join(replaced, " "))
 
-    return bind(words, edit)
+    return bind(words_of(text) if words is None else words, edit)
 
 
-def random_insertion(text: Column, key: list, seed: int = 42, min_words: int = MIN_WORDS_ADVANCED) -> Column:
+def random_insertion(text: Column, key: list, seed: int = 42, min_words: int = MIN_WORDS_ADVANCED, words: Column | None = None) -> Column:
     """Insert a synonym of one drawn word at a drawn place, if it has one."""
 
     def edit(w: Column) -> Column:
@@ -75,10 +75,10 @@ def random_insertion(text: Column, key: list, seed: int = 42, min_words: int = M
 
         return bind(F.struct(new.alias("new"), at.alias("at")), place)
 
-    return bind(_words(text), edit)
+    return bind(words_of(text) if words is None else words, edit)
 
 
-def random_swap(text: Column, key: list, n: int = 2, seed: int = 42, min_words: int = MIN_WORDS_ADVANCED) -> Column:
+def random_swap(text: Column, key: list, n: int = 2, seed: int = 42, min_words: int = MIN_WORDS_ADVANCED, words: Column | None = None) -> Column:
     """Swap ``n`` drawn pairs of different places, one after the other."""
 
     def edit(w: Column) -> Column:
@@ -90,7 +90,7 @@ def random_swap(text: Column, key: list, n: int = 2, seed: int = 42, min_words:
             moved = _swapped(moved, a, F.pmod(a + shift, size))
         return F.when(size < min_words, text).otherwise(F.array_join(moved, " "))
 
-    return bind(_words(text), edit)
+    return bind(words_of(text) if words is None else words, edit)
 
 
 def _swapped(words: Column, a: Column, b: Column) -> Column:
@@ -99,7 +99,7 @@ def _swapped(words: Column, a: Column, b: Column) -> Column:
 
 
 def random_deletion(text: Column, key: list, p: float = 0.05, seed: int = 42, min_words: int = MIN_WORDS,
-                    keep_share: float = KEEP_SHARE) -> Column:
+                    keep_share: float = KEEP_SHARE, words: Column | None = None) -> Column:
     """Drop words with probability ``p``; unchanged when less than ``keep_share`` would stay, never empty."""
 
     def edit(w: Column) -> Column:
@@ -112,7 +112,7 @@ def random_deletion(text: Column, key: list, p: float = 0.05, seed: int = 42, mi
 
         return bind(F.transform(F.filter(numbered, lambda e: e["u"] > p), lambda e: e["w"]), join)
 
-    return bind(_words(text), edit)
+    return bind(words_of(text) if words is None else words, edit)
 
 
 def edit_text(method: Column, text: Column, key: list, seed: int, conservative: bool) -> Column:
@@ -209,7 +209,7 @@ def text_mixup(df: DataFrame, text_col: str, label: str, alpha: float = 0.5, key
     pairs = df.select(key, label, text_col).join(couples, key).join(texts, "partner_id")
 
     def sampled(text: Column, share: float, who: str) -> Column:
-        words = _words(text)
+        words = words_of(text)
         ranked = F.sort_array(F.transform(words, lambda w, i: F.struct(seeded(seed, key, F.lit(who), i).alias("h"), w.alias("w"))))
         return F.slice(ranked, 1, F.floor(F.size(words) * share).cast("int"))
 

@@ -234,10 +234,10 @@ SELECT post_id, CASE WHEN len(w) < 5 THEN cleaned_text ELSE array_to_string(list
  CASE WHEN len(w) < 3 THEN cleaned_text ELSE array_to_string({_swap('once', 'a1', '((a1 + s1) % greatest(len(w), 1))')}, ' ') END AS swap, deletion
 FROM picked JOIN gone USING (post_id)""", "posts")
 def _text_edits(v):
-    t, key = F.col("cleaned_text"), ["post_id"]
-    return v.cleaned.select(
-        "post_id", A.synonym_replacement(t, key).alias("synonym"), A.random_insertion(t, key).alias("insertion"),
-        A.random_swap(t, key).alias("swap"), A.random_deletion(t, key).alias("deletion"))
+    t, key, words = F.col("cleaned_text"), ["post_id"], F.col("_words")
+    return v.cleaned.select("post_id", "cleaned_text").withColumn("_words", A.words_of(t)).select(
+        "post_id", A.synonym_replacement(t, key, words=words).alias("synonym"), A.random_insertion(t, key, words=words).alias("insertion"),
+        A.random_swap(t, key, words=words).alias("swap"), A.random_deletion(t, key, words=words).alias("deletion"))
 
 
 def _half(words, who):
