@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from sentiloom import lexicons as L
 from sentiloom.functions import patterns as P
+from sentiloom.functions.marks import text_marks
+
+#: Column with all counts of :func:`with_marks`; the counting functions below take them from there if the table has it.
+MARKED = "_marks"
 
 
 def lit_array(values) -> Column:
@@ -81,15 +85,20 @@ def _where_marked(text: Column, marks: list[str], pattern: str, to: str = "") ->
     return bind(text, replaced)
 
 
-def clean_text(text: Column) -> Column:
-    """Lower case without links, addresses, names and hash marks."""
+def _unlinked(text: Column) -> Column:
+    """Lower case without links, addresses, names and hash marks; white space is left as it is."""
     out = F.lower(F.coalesce(text, F.lit("")))
     out = _where_marked(out, ["http", "www"], P.URL)
     # starting only at a word's first character keeps the match linear in Java
     out = _where_marked(out, ["@"], f"(?<!{P.NWS})" + P.EMAIL)
     for mark, pattern in (("@", P.AT_NAME), ("u/", P.USER_PATH), ("r/", P.FORUM_PATH)):
         out = _where_marked(out, [mark], pattern)
-    return squeeze(_where_marked(out, ["#"], P.HASHTAG, "$1"))
+    return _where_marked(out, ["#"], P.HASHTAG, "$1")
+
+
+def clean_text(text: Column) -> Column:
+    """Lower case without links, addresses, names and hash marks."""
+    return squeeze(_unlinked(text))
 
 
 def strip_special(text: Column, keep_dollar: bool = True) -> Column:
@@ -112,11 +121,10 @@ def lemmatize(text: Column) -> Column:
 
 
 def preprocess_text(text: Column, full: bool = True) -> Column:
-    """Clean, strip, drop stop words and lemmatise in one token pass."""
+    """Clean, strip, drop stop words and lemmatise in one token pass; the words are cut at any white space, so it isn't squeezed before."""
     if not full:
         return clean_text(text)
-    words = tokens(strip_special(clean_text(text)))
-    kept = F.filter(words, lambda t: ~F.lower(t).isin(L.STOP_FILTER))
+    kept = F.filter(F.split(strip_special(_unlinked(text)), P.WS + "+"), lambda t: ~t.isin(["", *L.STOP_FILTER]))
     return F.array_join(F.transform(kept, lemma_of), " ")
 
 
@@ -138,6 +146,15 @@ def distinct_words(text: Column) -> Column:
     return F.size(F.array_distinct(tokens(text)))
 
 
+def with_marks(df: DataFrame, text_col: str) -> DataFrame:
+    """Add the counts of ``text_col`` that several feature functions share, taken in one go over the text."""
+    return df.withColumn(MARKED, text_marks(F.col(text_col)))
+
+
+def _mark(df: DataFrame, name: str, otherwise: Column) -> Column:
+    return F.col(f"{MARKED}.{name}") if MARKED in df.columns else otherwise
+
+
 def text_statistics(df: DataFrame, text_col: str = "cleaned_text") -> DataFrame:
     t = F.col(text_col)
     ends = count_matches(t, P.SENTENCE_END_SPACED)
@@ -154,15 +171,15 @@ def char_class_counts(df: DataFrame, text_col: str = "full_text") -> DataFrame:
     t = F.col(text_col)
     return df.withColumns({
         "text_length": F.length(t),
-        "word_count": word_count(t),
-        "uppercase_count": count_matches(t, "[A-Z]"),
-        "lowercase_count": F.length(F.regexp_replace(t, "[^a-z]+", "")),
-        "digit_count": count_matches(t, P.DIGIT),
-        "space_count": count_matches(t, P.WS),
-        "exclamation_count": count_char(t, "!"),
-        "question_count": count_char(t, "?"),
-        "comma_count": count_char(t, ","),
-        "period_count": count_char(t, "."),
+        "word_count": _mark(df, "words", word_count(t)),
+        "uppercase_count": _mark(df, "uppercase", count_matches(t, "[A-Z]")),
+        "lowercase_count": _mark(df, "lowercase", F.length(F.regexp_replace(t, "[^a-z]+", ""))),
+        "digit_count": _mark(df, "digits", count_matches(t, P.DIGIT)),
+        "space_count": _mark(df, "spaces", count_matches(t, P.WS)),
+        "exclamation_count": _mark(df, "exclamations", count_char(t, "!")),
+        "question_count": _mark(df, "questions", count_char(t, "?")),
+        "comma_count": _mark(df, "commas", count_char(t, ",")),
+        "period_count": _mark(df, "periods", count_char(t, ".")),
     })
 
 
@@ -193,9 +210,9 @@ def readability(df: DataFrame, text_col: str = "full_text", min_words: int = 3)
     """Flesch scores; a syllable is a vowel group, shorter texts score 0."""
     t = F.lower(F.col(text_col))
     counted = df.withColumns({
-        "_words": word_count(t).cast("double"),
-        "_ends": F.greatest(F.lit(1), count_matches(t, P.SENTENCE_END)).cast("double"),
-        "_syllables": count_matches(t, P.VOWEL_GROUP),
+        "_words": _mark(df, "words", word_count(t)).cast("double"),
+        "_ends": F.greatest(F.lit(1), _mark(df, "ends", count_matches(t, P.SENTENCE_END))).cast("double"),
+        "_syllables": _mark(df, "vowel_groups", count_matches(t, P.VOWEL_GROUP)),
     })
     enough = F.coalesce(F.col("_words"), F.lit(0.0)) >= min_words
     per_sentence, per_word = F.col("_words") / F.col("_ends"), F.try_divide(F.col("_syllables").cast("double"), F.col("_words"))
@@ -213,7 +230,12 @@ def lexical_diversity(df: DataFrame, text_col: str = "full_text") -> DataFrame:
 
 
 def avg_word_length(df: DataFrame, text_col: str = "full_text") -> DataFrame:
-    return df.withColumn("avg_word_length", F.coalesce(mean_word_length(F.col(text_col)), F.lit(0.0)))
+    t = F.col(text_col)
+    mean = mean_word_length(t)
+    if MARKED in df.columns:
+        letters = F.length(t) - F.col(f"{MARKED}.spaces")
+        mean = F.try_divide(letters.cast("double"), F.col(f"{MARKED}.words").cast("double"))
+    return df.withColumn("avg_word_length", F.coalesce(mean, F.lit(0.0)))
 
 
 def _words_in(df: DataFrame, text_col: str) -> Column:
@@ -222,7 +244,7 @@ def _words_in(df: DataFrame, text_col: str) -> Column:
 
 
 def sentence_features(df: DataFrame, text_col: str = "full_text") -> DataFrame:
-    ends = count_matches(F.col(text_col), P.SENTENCE_END)
+    ends = _mark(df, "ends", count_matches(F.col(text_col), P.SENTENCE_END))
     return df.withColumns({
         "sentence_count": ends,
         "avg_sentence_length": _words_in(df, text_col) / (ends + 1),

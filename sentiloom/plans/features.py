@@ -39,10 +39,10 @@ def clean_features(df: DataFrame, text_col: str = "full_text") -> DataFrame:
 
 def production_features(df: DataFrame, text_col: str = "preprocessed_text", temporal: bool = False) -> DataFrame:
     """The served feature set; the five time columns are off, as in the trained model."""
-    out = X.char_ratios(X.char_class_counts(df, text_col), commas=False)
+    out = X.char_ratios(X.char_class_counts(X.with_marks(df, text_col), text_col), commas=False)
     out = X.sentence_features(X.avg_word_length(X.lexical_diversity(X.readability(out, text_col), text_col), text_col), text_col)
     out = X.keyword_ratios(X.keyword_counts(out, text_col), text_col, urgency=False)
-    out = X.price_percent(X.coin_flags(out, text_col, L.COINS_PRODUCTION), text_col)
+    out = X.price_percent(X.coin_flags(out.drop(X.MARKED), text_col, L.COINS_PRODUCTION), text_col)
     out = E.engagement_post(out, production=True)
     return E.temporal_cyclic(out, production=True) if temporal else out
 
